@@ -1,27 +1,23 @@
-"""Price expressions: typical price, VWAP, distances, gap direction."""
+"""SQL of price measures: typical price, VWAP, distances, gap direction."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Prices enter sums as whole millionths. A DOUBLE holds whole numbers up to 2^53
 # exactly, so such a sum does not depend on the order in which tasks add, and a
 # difference of two running sums is as exact as a direct sum.
-PRICE_UNITS = 1_000_000.0
+PRICE_UNITS = 1_000_000
 
 
-def price_units(price: Column) -> Column:
-    return F.rint(price * F.lit(PRICE_UNITS))
+def price_units(price: str) -> str:
+    return f"rint(({price}) * {PRICE_UNITS}D)"
 
 
 # Three times the typical price (high + low + close), in price units.
-_TYPICAL = f"rint((high + low + close) * {PRICE_UNITS}D)"
+_TYPICAL = price_units("high + low + close")
 _VOLUME = "coalesce(volume, 0)"
 
-# The four aggregates a VWAP needs. They are SQL text because frames in calendar days
-# over a DATE order can only be written in SQL.
-_VWAP_PARTS = {
+# The four aggregates a VWAP needs.
+VWAP_SUMS = {
     "tpv": f"sum({_TYPICAL} * {_VOLUME})",
     "vol": f"sum(cast({_VOLUME} as double))",
     "tp": f"sum({_TYPICAL})",
@@ -29,38 +25,30 @@ _VWAP_PARTS = {
 }
 
 
-def vwap_parts(prefix: str, frame: str | None = None) -> dict[str, Column]:
-    """The aggregates of a VWAP by column name, optionally over a range frame by symbol."""
-    over = f" over (partition by symbol order by date range between {frame})" if frame else ""
-    return {f"{prefix}_{name}": F.expr(part + over) for name, part in _VWAP_PARTS.items()}
-
-
-def vwap(tpv: Column, vol: Column, tp: Column, n: Column) -> Column:
+def vwap(tpv: str, vol: str, tp: str, n: str) -> str:
     """Sum(tp * volume) / sum(volume); the plain mean of tp when no volume traded."""
-    unit = F.lit(3 * PRICE_UNITS)
-    weighted = F.coalesce(tpv, F.lit(0.0)) / (vol * unit)
-    return F.when(vol > 0, weighted).when(n > 0, tp / (n * unit))
+    unit = f"{3 * PRICE_UNITS}D"
+    return (
+        f"case when {vol} > 0 then coalesce({tpv}, 0D) / ({vol} * {unit})"
+        f" when {n} > 0 then {tp} / ({n} * {unit}) end"
+    )
 
 
-def percent_from(close: Column, base: Column) -> Column:
+def percent_from(base: str, close: str = "close") -> str:
     """Distance of close from base in percent; null unless base is positive."""
-    return F.when(base > 0, (close - base) / base * F.lit(100.0))
+    return f"case when {base} > 0 then ({close} - {base}) / {base} * 100D end"
 
 
-def is_up(mode: str) -> Column:
-    """Whether a row is judged as an up gap, for gap mode up, down or both."""
-    if mode == "up":
-        return F.lit(True)
-    if mode == "down":
-        return F.lit(False)
+def by_mode(mode: str, up: str, down: str) -> str:
+    """SQL for up gaps, down gaps, or whichever a row is."""
     if mode == "both":
-        return F.col("open") >= F.col("prev_close")
-    raise ValueError(f"gap mode must be up, down or both, not {mode!r}")
+        return f"if(open >= prev_close, {up}, {down})"
+    if mode not in ("up", "down"):
+        raise ValueError(f"gap mode must be up, down or both, not {mode!r}")
+    return up if mode == "up" else down
 
 
-def gap_percent(mode: str) -> Column:
+def gap_percent(mode: str) -> str:
     """Opening gap as a fraction of the previous close, positive in the gap's direction."""
-    move = F.when(is_up(mode), F.col("open") - F.col("prev_close")).otherwise(
-        F.col("prev_close") - F.col("open")
-    )
-    return F.when(F.col("prev_close") != 0, move / F.col("prev_close"))
+    move = by_mode(mode, "open - prev_close", "prev_close - open")
+    return f"({move}) / nullif(prev_close, 0D)"

@@ -2,76 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from gapscan.functions.prices import is_up
-from gapscan.operators.gaps import by_symbol
+from gapscan.functions.columns import BY_SYMBOL, WindowFeature, add, add_features
+from gapscan.functions.prices import by_mode
 from gapscan.schema import HORIZONS
 
 FORWARD_BARS = max(HORIZONS)
 
 
-def with_forward(bars: DataFrame, n: int = FORWARD_BARS) -> DataFrame:
-    """Adds date_i, high_i and low_i of the i-th following bar, i = 1..n.
+def forward_columns(n: int = FORWARD_BARS) -> WindowFeature:
+    """date_i, high_i and low_i of the i-th following bar, i = 1..n.
 
     Flat columns keep every later expression on them inside generated code.
     """
-    w = by_symbol()
-    return bars.withColumns(
-        {f"{name}_{i}": F.lead(name, i).over(w) for i in range(1, n + 1) for name in ("date", "high", "low")}
-    )
+    return WindowFeature({
+        f"{name}_{i}": f"lead({name}, {i}) over ({BY_SYMBOL})"
+        for i in range(1, n + 1)
+        for name in ("date", "high", "low")
+    })
+
+
+def with_forward(bars: DataFrame, n: int = FORWARD_BARS) -> DataFrame:
+    return add_features(bars, [forward_columns(n)])
 
 
 def drop_forward(df: DataFrame, n: int = FORWARD_BARS) -> DataFrame:
-    return df.drop(*[f"{name}_{i}" for i in range(1, n + 1) for name in ("date", "high", "low")])
+    return df.drop(*forward_columns(n).windows)
 
 
 def forward_bars(df: DataFrame, n: int = FORWARD_BARS) -> DataFrame:
     """One row per bar and following bar, numbered rn = 1..n. Expects with_forward."""
-    following = F.array(*[
-        F.struct(
-            F.lit(i).alias("rn"),
-            F.col(f"date_{i}").alias("forward_date"),
-            F.col(f"high_{i}").alias("high"),
-            F.col(f"low_{i}").alias("low"),
-        )
-        for i in range(1, n + 1)
-    ])
-    return (
-        df.select("symbol", "date", F.explode(following).alias("bar"))
-        .select("symbol", "date", "bar.*")
-        .where(F.col("forward_date").isNotNull())
-    )
+    following = ", ".join(f"{i}, date_{i}, high_{i}, low_{i}" for i in range(1, n + 1))
+    rows = df.selectExpr("symbol", "date", f"stack({n}, {following}) as (rn, forward_date, high, low)")
+    return rows.where("forward_date is not null")
 
 
-def _within(name: str, i: int, days: int | None) -> Column:
+def _within(name: str, i: int, days: int | None) -> str:
     """The i-th following bar's column, null when it is more than `days` calendar days on."""
-    if days is None:
-        return F.col(f"{name}_{i}")
-    return F.when(F.datediff(f"date_{i}", "date") <= days, F.col(f"{name}_{i}"))
+    column = f"{name}_{i}"
+    return column if days is None else f"if(datediff(date_{i}, date) <= {days}, {column}, null)"
 
 
-def lowest(n: int, days: int | None = None) -> Column:
-    return F.least(*[_within("low", i, days) for i in range(1, n + 1)])
+def lowest(n: int, days: int | None = None) -> str:
+    return f"least({', '.join(_within('low', i, days) for i in range(1, n + 1))})"
 
 
-def highest(n: int, days: int | None = None) -> Column:
-    return F.greatest(*[_within("high", i, days) for i in range(1, n + 1)])
+def highest(n: int, days: int | None = None) -> str:
+    return f"greatest({', '.join(_within('high', i, days) for i in range(1, n + 1))})"
 
 
-def first_touch(level: Column, mode: str, n: int, days: int | None = None) -> Column:
+def first_touch(level: str, mode: str, n: int, days: int | None = None) -> str:
     """Number of the first of the next n bars that comes back to the level, or null.
 
     An up gap comes back when a low is at or under the level, a down gap when a high
     is at or over it. With days, only bars at most that many calendar days on count;
     a bar per day is the most there is, so n = days bars cover them.
     """
-    hits = []
-    for i in range(1, n + 1):
-        hit = F.when(is_up(mode), _within("low", i, days) <= level).otherwise(_within("high", i, days) >= level)
-        hits.append(F.when(hit, F.lit(i)))
-    return F.coalesce(*hits)
+
+    def first(side: str, comparison: str) -> str:
+        hits = [f"case when {_within(side, i, days)} {comparison} {level} then {i} end" for i in range(1, n + 1)]
+        return f"coalesce({', '.join(hits)})"
+
+    return by_mode(mode, first("low", "<="), first("high", ">="))
 
 
 def with_forward_extremes(df: DataFrame) -> DataFrame:
@@ -79,69 +72,70 @@ def with_forward_extremes(df: DataFrame) -> DataFrame:
     columns = {}
     for h in HORIZONS:
         columns |= {f"lowest_{h}d": lowest(h), f"highest_{h}d": highest(h)}
-    return df.withColumns(columns)
+    return add(df, columns)
+
+
+def _with_touch(df: DataFrame, touches: dict[int, str], retraced: str, days: str) -> DataFrame:
+    found = add(df, {f"{days}_{h}d": touch for h, touch in touches.items()})
+    return add(found, {f"{retraced}_{h}d": f"{days}_{h}d is not null" for h in touches})
 
 
 def with_vwap_touch(df: DataFrame, mode: str) -> DataFrame:
     """Adds whether and on which bar price came back to the anchored VWAP."""
-    columns = {}
-    for h in HORIZONS:
-        touch = first_touch(F.col("anchored_vwap"), mode, h)
-        columns |= {f"retraced_to_vwap_{h}d": touch.isNotNull(), f"days_to_retrace_{h}d": touch}
-    return df.withColumns(columns)
+    touches = {h: first_touch("anchored_vwap", mode, h) for h in HORIZONS}
+    return _with_touch(df, touches, "retraced_to_vwap", "days_to_retrace")
 
 
 def with_ema_touch(df: DataFrame, mode: str) -> DataFrame:
     """Adds whether price came back to the 21-EMA within h calendar days, and on which bar."""
-    columns = {}
-    for h in HORIZONS:
-        touch = first_touch(F.col("ema_21"), mode, h, days=h)
-        columns |= {f"retraced_to_21ema_{h}d": touch.isNotNull(), f"days_to_21ema_{h}d": touch}
-    return df.withColumns(columns)
+    touches = {h: first_touch("ema_21", mode, h, days=h) for h in HORIZONS}
+    return _with_touch(df, touches, "retraced_to_21ema", "days_to_21ema")
 
 
-def with_excursions(df: DataFrame) -> DataFrame:
-    """Adds the largest rise and fall from the close over the next h bars, 0 without bars."""
-    close = F.col("close")
+def excursions(h: int) -> dict[str, str]:
+    """Largest rise and fall from the close over the next h bars, 0 without bars."""
+    moves = {"mfe": f"(highest_{h}d - close)", "mae": f"(close - lowest_{h}d)"}
     columns = {}
-    for h in HORIZONS:
-        moves = {"mfe": F.col(f"highest_{h}d") - close, "mae": close - F.col(f"lowest_{h}d")}
-        for name, move in moves.items():
-            columns[f"{name}_dollars_{h}d"] = F.coalesce(F.when(close > 0, move), F.lit(0.0))
-            columns[f"{name}_percent_{h}d"] = F.coalesce(F.when(close > 0, move / close * 100), F.lit(0.0))
-    return df.withColumns(columns)
+    for name, move in moves.items():
+        columns[f"{name}_dollars_{h}d"] = f"coalesce(case when close > 0 then {move} end, 0D)"
+        columns[f"{name}_percent_{h}d"] = f"coalesce(case when close > 0 then {move} / close * 100 end, 0D)"
+    return columns
 
 
-def _move_back(mode: str, h: int) -> Column:
+def _move_back(mode: str, h: int) -> str:
     """How far price came back from the open in h bars; null without bars."""
-    back = F.when(is_up(mode), F.col("open") - F.col(f"lowest_{h}d")).otherwise(F.col(f"highest_{h}d") - F.col("open"))
-    return F.when(back.isNotNull(), F.greatest(F.lit(0.0), back))
+    back = by_mode(mode, f"open - lowest_{h}d", f"highest_{h}d - open")
+    return f"case when {back} >= 0 then {back} when {back} < 0 then 0D end"
 
 
-def with_retrace_percent(df: DataFrame, mode: str) -> DataFrame:
-    """Adds how much of the way from open to anchored VWAP was covered; may exceed 100."""
-    way = F.when(is_up(mode), F.col("open") - F.col("anchored_vwap")).otherwise(F.col("anchored_vwap") - F.col("open"))
-    covered = {
-        f"retrace_percentage_{h}d": F.coalesce(
-            F.when((F.col("anchored_vwap") > 0) & (way > 0), _move_back(mode, h) / way * 100), F.lit(0.0)
-        )
-        for h in HORIZONS
+def retrace_percent(mode: str, h: int) -> dict[str, str]:
+    """How much of the way from open to anchored VWAP was covered; may exceed 100."""
+    way = by_mode(mode, "(open - anchored_vwap)", "(anchored_vwap - open)")
+    covered = f"case when anchored_vwap > 0 and {way} > 0 then ({_move_back(mode, h)}) / {way} * 100 end"
+    return {f"retrace_percentage_{h}d": f"coalesce({covered}, 0D)"}
+
+
+def gap_closure(mode: str, h: int) -> dict[str, str]:
+    """How much of the gap was closed, may exceed 100, and whether it was filled."""
+    size = "abs(open - prev_close)"
+    filled = by_mode(mode, f"lowest_{h}d <= prev_close", f"highest_{h}d >= prev_close")
+    return {
+        f"gap_closure_percentage_{h}d":
+            f"coalesce(case when {size} > 0 then ({_move_back(mode, h)}) / {size} * 100 end, 0D)",
+        f"gap_filled_{h}d": f"coalesce({size} > 0 and {filled}, false)",
     }
-    return df.withColumns(covered)
+
+
+def with_excursions(df: DataFrame) -> DataFrame:
+    return add(df, {name: sql for h in HORIZONS for name, sql in excursions(h).items()})
+
+
+def with_retrace_percent(df: DataFrame, mode: str) -> DataFrame:
+    return add(df, {name: sql for h in HORIZONS for name, sql in retrace_percent(mode, h).items()})
 
 
 def with_gap_closure(df: DataFrame, mode: str) -> DataFrame:
-    """Adds how much of the gap was closed, may exceed 100, and whether it was filled."""
-    size = F.abs(F.col("open") - F.col("prev_close"))
-    columns = {}
-    for h in HORIZONS:
-        closed = F.when(size > 0, _move_back(mode, h) / size * 100)
-        filled = F.when(is_up(mode), F.col(f"lowest_{h}d") <= F.col("prev_close")).otherwise(
-            F.col(f"highest_{h}d") >= F.col("prev_close")
-        )
-        columns[f"gap_closure_percentage_{h}d"] = F.coalesce(closed, F.lit(0.0))
-        columns[f"gap_filled_{h}d"] = F.coalesce((size > 0) & filled, F.lit(False))
-    return df.withColumns(columns)
+    return add(df, {name: sql for h in HORIZONS for name, sql in gap_closure(mode, h).items()})
 
 
 def retrace_from_open_calendar(df: DataFrame, days: int = 10) -> DataFrame:
@@ -150,24 +144,26 @@ def retrace_from_open_calendar(df: DataFrame, days: int = 10) -> DataFrame:
     Counts the days to the first low at or under the anchored VWAP. The percentage
     is 0 when the open is not above it and can be negative. Expects with_forward.
     """
-    level, start = F.col("anchored_vwap"), F.col("open")
-    to_touch = F.coalesce(*[
-        F.when(_within("low", i, days) <= level, F.datediff(f"date_{i}", "date")) for i in range(1, days + 1)
-    ])
-    percent = F.when(start > level, (start - lowest(days, days)) / (start - level) * 100)
-    return df.withColumns({
-        "retraced": to_touch.isNotNull(),
-        "days_to_retrace": to_touch,
-        "retrace_percentage": F.coalesce(percent, F.lit(0.0)),
+    touches = [
+        f"case when {_within('low', i, days)} <= anchored_vwap then datediff(date_{i}, date) end"
+        for i in range(1, days + 1)
+    ]
+    percent = (
+        f"case when open > anchored_vwap"
+        f" then (open - {lowest(days, days)}) / (open - anchored_vwap) * 100 end"
+    )
+    found = add(df, {"days_to_retrace": f"coalesce({', '.join(touches)})"})
+    return add(found, {
+        "retraced": "days_to_retrace is not null",
+        "retrace_percentage": f"coalesce({percent}, 0D)",
     })
 
 
 def excursions_calendar(df: DataFrame, days: int = 10) -> DataFrame:
     """Largest rise and fall from the close in the next calendar days, 0 without bars."""
-    close = F.col("close")
-    moves = {"mfe": highest(days, days) - close, "mae": close - lowest(days, days)}
+    moves = {"mfe": f"({highest(days, days)} - close)", "mae": f"(close - {lowest(days, days)})"}
     columns = {}
     for name, move in moves.items():
-        columns[f"{name}_dollars"] = F.coalesce(move, F.lit(0.0))
-        columns[f"{name}_percent"] = F.coalesce(F.when(close > 0, move / close * 100), F.lit(0.0))
-    return df.withColumns(columns)
+        columns[f"{name}_dollars"] = f"coalesce({move}, 0D)"
+        columns[f"{name}_percent"] = f"coalesce(case when close > 0 then {move} / close * 100 end, 0D)"
+    return add(df, columns)

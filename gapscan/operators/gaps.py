@@ -6,54 +6,45 @@ calendar day, so no partition of such a window can grow with the raw data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapscan.functions.prices import gap_percent, is_up, vwap, vwap_parts
+from gapscan.functions.columns import BY_SYMBOL, WindowFeature, add, add_features
+from gapscan.functions.prices import VWAP_SUMS, by_mode, gap_percent, vwap
 
 DEFAULT_THRESHOLD = 0.02
 DEFAULT_ROOM = 0.02
 PRICE_BAND = (20.0, 1000.0)
 
+# The close of the bar before, null on a symbol's first bar.
+PREV_CLOSE = WindowFeature({"prev_close": f"lag(close) over ({BY_SYMBOL})"})
 
-def by_symbol() -> WindowSpec:
-    return Window.partitionBy("symbol").orderBy("date")
+# The VWAP from three calendar days before through the day itself.
+_NEAR = {f"_near_{name}": sql for name, sql in VWAP_SUMS.items()}
+AVWAP_3D = WindowFeature(
+    windows={name: f"{sql} over ({BY_SYMBOL} range between 3 preceding and current row)" for name, sql in _NEAR.items()},
+    columns={"anchored_vwap": vwap(*_NEAR)},
+    scratch=tuple(_NEAR),
+)
 
 
 def with_prev_close(bars: DataFrame) -> DataFrame:
-    """Adds the close of the bar before, null on a symbol's first bar."""
-    return bars.withColumn("prev_close", F.lag("close").over(by_symbol()))
+    return add_features(bars, [PREV_CLOSE])
 
 
-def prev_close(bars: DataFrame) -> DataFrame:
-    """Bars that have an earlier one, with its close."""
-    return with_prev_close(bars).where(F.col("prev_close").isNotNull())
+def with_avwap_3d(bars: DataFrame) -> DataFrame:
+    return add_features(bars, [AVWAP_3D])
 
 
-def with_avwap_3d(bars: DataFrame) -> DataFrame:
-    """Adds the VWAP from three calendar days before through the day itself."""
-    parts = vwap_parts("_near", "3 preceding and current row")
-    summed = bars.withColumns(parts)
-    return summed.withColumn("anchored_vwap", vwap(*[F.col(name) for name in parts])).drop(*parts)
+def prev_close(bars: DataFrame) -> DataFrame:
+    """Bars that have an earlier one, with its close."""
+    return with_prev_close(bars).where("prev_close is not null")
 
 
 def vwap_by_symbol(bars: DataFrame) -> DataFrame:
     """VWAP of all bars of each symbol."""
-    parts = vwap_parts("_all")
-    summed = bars.groupBy("symbol").agg(*[part.alias(name) for name, part in parts.items()])
-    return summed.select("symbol", vwap(*[F.col(name) for name in parts]).alias("vwap"))
-
-
-def is_gap(mode: str, threshold: float, min_price: float, max_price: float) -> Column:
-    return F.col("prev_close").between(min_price, max_price) & (gap_percent(mode) >= threshold)
-
-
-def has_room(mode: str, room: float) -> Column:
-    """Whether the open lies on the far side of the anchored VWAP with enough room to it."""
-    distance = F.when(is_up(mode), F.col("open") - F.col("anchored_vwap")).otherwise(
-        F.col("anchored_vwap") - F.col("open")
-    )
-    return (distance > 0) & (distance >= room * F.col("prev_close"))
+    sums = bars.groupBy("symbol").agg(*[F.expr(sql).alias(name) for name, sql in VWAP_SUMS.items()])
+    return sums.selectExpr("symbol", f"{vwap(*VWAP_SUMS)} as vwap")
 
 
 def find_gaps(
@@ -70,8 +61,11 @@ def find_gaps(
     """
     if mode == "both" and threshold <= 0:
         raise ValueError("mode both needs a positive threshold, else a bar could gap both ways")
-    gaps = bars.where(is_gap(mode, threshold, min_price, max_price))
-    return gaps.withColumn("gap_percent", gap_percent(mode))
+    gaps = bars.where(
+        f"prev_close between {float(min_price)}D and {float(max_price)}D"
+        f" and {gap_percent(mode)} >= {float(threshold)}D"
+    )
+    return add(gaps, {"gap_percent": gap_percent(mode)})
 
 
 def largest_first(gaps: DataFrame) -> DataFrame:
@@ -79,8 +73,9 @@ def largest_first(gaps: DataFrame) -> DataFrame:
 
 
 def avwap_room(gaps: DataFrame, mode: str = "up", room: float = DEFAULT_ROOM) -> DataFrame:
-    """Gaps that open at least room x previous close away from the anchored VWAP."""
-    return gaps.where(has_room(mode, room))
+    """Gaps opening on the far side of the anchored VWAP, at least room x previous close away."""
+    distance = by_mode(mode, "open - anchored_vwap", "anchored_vwap - open")
+    return gaps.where(f"{distance} > 0 and {distance} >= {float(room)}D * prev_close")
 
 
 def top_gaps_per_date(gaps: DataFrame, n: int = 5) -> DataFrame:

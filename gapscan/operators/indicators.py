@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapscan.functions.prices import PRICE_UNITS, percent_from, price_units, vwap, vwap_parts
-from gapscan.operators.gaps import by_symbol
+from gapscan.functions.columns import BY_SYMBOL, WindowFeature, add, add_features
+from gapscan.functions.prices import PRICE_UNITS, VWAP_SUMS, percent_from, price_units, vwap
 from gapscan.schema import QUARTER_ANCHORS, SMA_PERIODS
 
 
@@ -31,70 +31,68 @@ SMA_330 = Sma(330, min_bars=1)
 SMA_330_STRICT = Sma(330, min_bars=330, within_days=500)
 
 
-def with_sma_distances(bars: DataFrame, averages: Sequence[Sma] = STANDARD_SMAS) -> DataFrame:
-    """Adds sma_<n>_distance_percent of the close for each average.
+def sma_distances(averages: Sequence[Sma] = STANDARD_SMAS) -> WindowFeature:
+    """sma_<n>_distance_percent of the close for each average.
 
     An average is the difference of two running sums, so its cost does not depend on
     its length.
     """
-    w = by_symbol()
-    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    close = price_units(F.col("close"))
-    running = bars.withColumns({
-        "_sum": F.sum(close).over(so_far),
-        "_priced": F.count(close).over(so_far),
-        "_bars": F.row_number().over(w),
-    })
-    earlier = {}
+    so_far = f"{BY_SYMBOL} rows between unbounded preceding and current row"
+    windows = {
+        "_closes": f"sum({price_units('close')}) over ({so_far})",
+        "_priced": f"count(close) over ({so_far})",
+        "_bars": f"row_number() over ({BY_SYMBOL})",
+    }
+    lagged, columns = {}, {}
     for a in averages:
-        earlier[f"_sum_{a.bars}"] = F.lag("_sum", a.bars).over(w)
-        earlier[f"_priced_{a.bars}"] = F.lag("_priced", a.bars).over(w)
-        if a.within_days is not None:
-            earlier[f"_oldest_{a.bars}"] = F.lag("date", a.bars - 1).over(w)
-    shifted = running.withColumns(earlier)
-
-    def distance(a: Sma) -> Column:
-        total = F.col("_sum") - F.coalesce(F.col(f"_sum_{a.bars}"), F.lit(0.0))
-        priced = F.col("_priced") - F.coalesce(F.col(f"_priced_{a.bars}"), F.lit(0))
-        average = F.when(priced > 0, total / (priced * F.lit(PRICE_UNITS)))
-        enough = F.col("_bars") >= a.min_bars
+        lagged[f"_closes_{a.bars}"] = f"lag(_closes, {a.bars}) over ({BY_SYMBOL})"
+        lagged[f"_priced_{a.bars}"] = f"lag(_priced, {a.bars}) over ({BY_SYMBOL})"
+        enough = f"_bars >= {a.min_bars}"
         if a.within_days is not None:
-            enough = enough & (F.datediff("date", f"_oldest_{a.bars}") <= a.within_days)
-        return F.when(enough, percent_from(F.col("close"), average))
+            lagged[f"_oldest_{a.bars}"] = f"lag(date, {a.bars - 1}) over ({BY_SYMBOL})"
+            enough += f" and datediff(date, _oldest_{a.bars}) <= {a.within_days}"
+        total = f"(_closes - coalesce(_closes_{a.bars}, 0D))"
+        priced = f"(_priced - coalesce(_priced_{a.bars}, 0))"
+        average = f"({total} / (nullif({priced}, 0) * {PRICE_UNITS}D))"
+        columns[f"sma_{a.bars}_distance_percent"] = f"case when {enough} then {percent_from(average)} end"
+    return WindowFeature(windows, columns, lagged, scratch=(*windows, *lagged))
 
-    distances = {f"sma_{a.bars}_distance_percent": distance(a) for a in averages}
-    return shifted.withColumns(distances).drop("_sum", "_priced", "_bars", *earlier)
 
+def with_sma_distances(bars: DataFrame, averages: Sequence[Sma] = STANDARD_SMAS) -> DataFrame:
+    return add_features(bars, [sma_distances(averages)])
 
-def with_ema(bars: DataFrame, span: int = 21, max_bars: int = 50, min_bars: int = 21) -> DataFrame:
-    """Adds ema_<span>, recursive from the oldest of the last max_bars closes.
 
-    Null with fewer than min_bars bars. The fold runs only on the rows that survive
-    later filters, as it is a plain projection over the window's list of closes.
+def ema(span: int = 21, max_bars: int = 50, min_bars: int = 21) -> WindowFeature:
+    """ema_<span>, recursive from the oldest of the last max_bars closes.
+
+    Null with fewer than min_bars bars. The fold is a plain projection over the
+    window's list of closes, so it runs only on rows that survive later filters.
     """
     alpha = 2.0 / (span + 1)
-    recent = by_symbol().rowsBetween(1 - max_bars, 0)
-    listed = bars.withColumns({
-        "_closes": F.collect_list("close").over(recent),
-        "_recent": F.count(F.lit(1)).over(recent),
-    })
-    ema = F.aggregate(
-        "_closes",
-        F.lit(None).cast("double"),
-        lambda acc, x: F.when(acc.isNull(), x).otherwise(acc * F.lit(1 - alpha) + x * F.lit(alpha)),
+    recent = f"{BY_SYMBOL} rows between {max_bars - 1} preceding and current row"
+    step = f"(acc, x) -> if(acc is null, x, acc * {1 - alpha!r}D + x * {alpha!r}D)"
+    return WindowFeature(
+        windows={
+            "_ema_closes": f"collect_list(close) over ({recent})",
+            "_ema_bars": f"count(1) over ({recent})",
+        },
+        columns={
+            f"ema_{span}": f"case when _ema_bars >= {min_bars}"
+                           f" then aggregate(_ema_closes, cast(null as double), {step}) end"
+        },
+        scratch=("_ema_closes", "_ema_bars"),
     )
-    return listed.withColumn(f"ema_{span}", F.when(F.col("_recent") >= min_bars, ema)).drop("_closes", "_recent")
 
 
-def quarter_start(date: Column) -> Column:
-    return F.trunc(date, "quarter")
+def with_ema(bars: DataFrame, span: int = 21, max_bars: int = 50, min_bars: int = 21) -> DataFrame:
+    return add_features(bars, [ema(span, max_bars, min_bars)])
 
 
 def anchor_dates(dates: DataFrame) -> DataFrame:
     """For each date, the dates its anchored VWAPs start from."""
-    start = quarter_start(F.col("date"))
-    return dates.select(
-        "date", *[F.date_sub(start, back).alias(f"anchor_{name}") for name, back in QUARTER_ANCHORS.items()]
+    return dates.selectExpr(
+        "date",
+        *[f"date_sub(trunc(date, 'quarter'), {back}) as anchor_{name}" for name, back in QUARTER_ANCHORS.items()],
     )
 
 
@@ -103,53 +101,54 @@ def with_anchored_vwap_distances(bars: DataFrame) -> DataFrame:
 
     All days of a quarter share their anchors. So each symbol and quarter gets one
     marker row on the quarter's first day; there a range frame ending a fixed number
-    of days back holds the sums from before an anchor. A VWAP since an anchor is the
-    running sums of the day less the marker's. That needs no join and no pairs of
-    bars: one pass over the bars of a symbol, on the partitioning they already have.
+    of days back finds the running sums from before an anchor. A VWAP since an anchor
+    is the running sums of the day less those. That needs no join and no pairs of
+    bars: a few passes over a symbol's bars on the partitioning they already have.
     """
-    w = by_symbol()
-    quarter = quarter_start(F.col("date"))
-    new_quarter = F.coalesce(F.lag(quarter).over(w) != quarter, F.lit(True))
-    rows = F.when(F.col("_new_quarter"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
-    marked = (
-        bars.withColumn("_new_quarter", new_quarter)
-        .withColumn("_marker", F.explode(rows))
-        .withColumn("date", F.when(F.col("_marker"), quarter).otherwise(F.col("date")))
-        .drop("_new_quarter")
+    names = list(bars.columns)
+    blank = {"high", "low", "close", "volume"}
+    opened = add(bars, {
+        "_quarter": "trunc(date, 'quarter')",
+        "_opens": f"coalesce(lag(trunc(date, 'quarter')) over ({BY_SYMBOL}) <> trunc(date, 'quarter'), true)",
+    })
+    marked = opened.selectExpr("*", "explode(if(_opens, array(true, false), array(false))) as _marker").selectExpr(
+        "_marker",
+        "if(_marker, _quarter, date) as date",
+        # A marker carries no bar of its own.
+        *[f"if(_marker, null, {n}) as {n}" if n in blank else n for n in names if n != "date"],
     )
-
-    # A marker carries no bar of its own.
-    blank = {name: F.when(~F.col("_marker"), F.col(name)) for name in ("high", "low", "close", "volume")}
-    columns = vwap_parts("_now", "unbounded preceding and current row")
-    for name, back in QUARTER_ANCHORS.items():
-        columns |= vwap_parts(f"_{name}", f"unbounded preceding and {back + 1} preceding")
-    summed = marked.withColumns(blank).withColumns(columns)
-
-    parts = list(vwap_parts(""))  # with a leading underscore each
-    before = {
-        f"_before_{name}": F.last(
-            F.when(F.col("_marker"), F.struct(*[F.col(f"_{name}{p}").alias(p) for p in parts])), ignorenulls=True
-        ).over(w)
-        for name in QUARTER_ANCHORS
-    }
-    carried = summed.withColumns(before).where(~F.col("_marker"))
-
-    def since(name: str) -> Column:
-        return vwap(*[
-            F.col(f"_now{p}") - F.coalesce(F.col(f"_before_{name}")[p], F.lit(0)) for p in parts
-        ])
-
-    distances = {
-        f"avwap_{name}_distance_percent": percent_from(F.col("close"), since(name)) for name in QUARTER_ANCHORS
+    # Rows of the same date are peers in a range frame, so the bar and the marker of a
+    # quarter's first day have the same running sums.
+    running = add(marked, {f"_{name}": f"{sql} over ({BY_SYMBOL})" for name, sql in VWAP_SUMS.items()})
+    packed = add(running, {"_sums": "struct(_tpv, _vol, _tp, _n)"}).drop("_tpv", "_vol", "_tp", "_n")
+    before = add(packed, {
+        f"_at_{name}": f"last(_sums) over ({BY_SYMBOL} range between unbounded preceding and {back + 1} preceding)"
+        for name, back in QUARTER_ANCHORS.items()
+    })
+    anchors = ", ".join(f"'{name}', _at_{name}" for name in QUARTER_ANCHORS)
+    carried = add(before, {
+        "_anchors": f"last(if(_marker, named_struct({anchors}), null), true) over ({BY_SYMBOL})"
+    }).where("not _marker")
+
+    # Three small projections instead of one large one: a generated method beyond 8000
+    # bytes is never compiled by the JVM.
+    sums = {name: [f"_since_{name}{p}" for p in ("_tpv", "_vol", "_tp", "_n")] for name in QUARTER_ANCHORS}
+    since = {
+        column: f"_sums.{p} - coalesce(_anchors.`{name}`.{p}, 0)"
+        for name, columns in sums.items()
+        for column, p in zip(columns, ("_tpv", "_vol", "_tp", "_n"))
     }
-    return carried.withColumns(distances).drop("_marker", *columns, *before)
+    averages = add(add(carried, since), {f"_avwap_{name}": vwap(*columns) for name, columns in sums.items()})
+    distances = [f"{percent_from(f'_avwap_{name}')} as avwap_{name}_distance_percent" for name in QUARTER_ANCHORS]
+    return averages.selectExpr(*names, *distances)
 
 
 def benchmark_gains(bars: DataFrame, symbol: str = "SPY") -> DataFrame:
     """Percent change of the benchmark's close on each of its dates but the first."""
-    closes = bars.where(F.col("symbol") == symbol).withColumn("before", F.lag("close").over(by_symbol()))
-    gain = F.when(F.col("before") != 0, (F.col("close") - F.col("before")) / F.col("before") * 100)
-    return closes.where(F.col("before").isNotNull()).select("date", gain.alias("spy_daily_gain_percent"))
+    closes = add(bars.where(F.col("symbol") == symbol), {"before": f"lag(close) over ({BY_SYMBOL})"})
+    return closes.where("before is not null").selectExpr(
+        "date", "(close - before) / nullif(before, 0D) * 100 as spy_daily_gain_percent"
+    )
 
 
 def with_benchmark_gain(gaps: DataFrame, bars: DataFrame, symbol: str = "SPY") -> DataFrame:

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapscan.functions.prices import is_up
+from gapscan.functions.columns import add, add_features
+from gapscan.functions.prices import by_mode
 from gapscan.operators import forward, gaps, indicators
 from gapscan.operators.indicators import SMA_330, STANDARD_SMAS, Sma
-from gapscan.schema import OUTCOME_COLUMNS
+from gapscan.schema import HORIZONS, OUTCOME_COLUMNS
 from gapscan.sources.bars import dedupe_bars
 
 
@@ -23,7 +24,7 @@ def candidate_gaps(
     max_price: float = gaps.PRICE_BAND[1],
 ) -> DataFrame:
     """Gaps with room to the anchored VWAP."""
-    priced = gaps.with_avwap_3d(gaps.with_prev_close(unique_bars))
+    priced = add_features(unique_bars, [gaps.PREV_CLOSE, gaps.AVWAP_3D])
     found = gaps.find_gaps(priced, mode, threshold, min_price, max_price)
     return gaps.avwap_room(found, mode, room)
 
@@ -51,12 +52,17 @@ def gap_outcomes(
     be unique per symbol and date can skip the de-duplication.
     """
     unique = dedupe_bars(bars) if deduplicate else bars
-    anchored = indicators.with_anchored_vwap_distances(unique)
-    priced = gaps.with_avwap_3d(gaps.with_prev_close(anchored))
-    averaged = indicators.with_ema(indicators.with_sma_distances(priced, (*STANDARD_SMAS, sma_330)))
-    looking_ahead = forward.with_forward(averaged)
-
-    found = gaps.find_gaps(looking_ahead, mode, threshold, min_price, max_price)
+    described = add_features(
+        indicators.with_anchored_vwap_distances(unique),
+        [
+            gaps.PREV_CLOSE,
+            gaps.AVWAP_3D,
+            indicators.sma_distances((*STANDARD_SMAS, sma_330)),
+            indicators.ema(),
+            forward.forward_columns(),
+        ],
+    )
+    found = gaps.find_gaps(described, mode, threshold, min_price, max_price)
     found = gaps.avwap_room(found, mode, room)
     if start is not None:
         found = found.where(F.col("date") >= F.to_date(F.lit(start)))
@@ -66,13 +72,15 @@ def gap_outcomes(
         found = found.where(~F.col("symbol").isin(*exclude))
 
     followed = forward.with_ema_touch(forward.with_vwap_touch(forward.with_forward_extremes(found), mode), mode)
-    measured = forward.with_gap_closure(forward.with_retrace_percent(forward.with_excursions(followed), mode), mode)
-    compared = indicators.with_benchmark_gain(measured, unique, benchmark)
-    named = compared.withColumns({
-        "ticker": F.col("symbol"),
-        "gap_up_percent": F.col("gap_percent") * 100,
-        "open_price": F.col("open"),
-        "close_price": F.col("close"),
-        "direction": F.when(is_up(mode), F.lit("short")).otherwise(F.lit("long")),
+    measured = {name: sql for h in HORIZONS
+                for part in (forward.excursions(h), forward.retrace_percent(mode, h), forward.gap_closure(mode, h))
+                for name, sql in part.items()}
+    named = add(followed, measured | {
+        "ticker": "symbol",
+        "gap_up_percent": "gap_percent * 100",
+        "open_price": "open",
+        "close_price": "close",
+        "direction": by_mode(mode, "'short'", "'long'"),
     })
-    return named.select(*OUTCOME_COLUMNS, "direction")
+    compared = indicators.with_benchmark_gain(named, unique, benchmark)
+    return compared.select(*OUTCOME_COLUMNS, "direction")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gapscan.functions.columns import add
 from gapscan.schema import BAR_COLUMNS
 
 
@@ -22,20 +23,21 @@ def read_bars(spark: SparkSession, source: str, format: str | None = None, **opt
 
 def bars(df: DataFrame) -> DataFrame:
     """The bar columns with their types; a missing volume counts as none traded."""
-    typed = [F.col(name).cast(kind).alias(name) for name, kind in BAR_COLUMNS.items()]
-    return df.select(*typed).withColumn("volume", F.coalesce("volume", F.lit(0).cast("bigint")))
+    sources = {name: "coalesce(volume, 0)" if name == "volume" else name for name in BAR_COLUMNS}
+    return df.selectExpr(*[f"cast({sources[name]} as {kind}) as {name}" for name, kind in BAR_COLUMNS.items()])
 
 
 def dedupe_bars(df: DataFrame) -> DataFrame:
     """One bar per symbol and date: most volume, then highest open, close, high, low.
 
-    An aggregate rather than a row_number: copies of a bar are dropped before the
-    shuffle, so a symbol holding a large part of the raw rows sends at most one row
-    per date and map task. Afterwards a symbol has at most one row per calendar day.
+    Spark plans this as a group limit that already runs before the shuffle, so a
+    symbol, or a single bar, that makes up a large part of the raw rows sends at most
+    one row per date and map task. Afterwards a symbol has at most one row per
+    calendar day, which bounds every later window by symbol.
     """
-    ranked = F.struct(F.coalesce("volume", F.lit(0).cast("bigint")).alias("volume"), "open", "close", "high", "low")
-    best = df.groupBy("symbol", "date").agg(F.max(ranked).alias("bar"))
-    return best.select("symbol", "date", *[f"bar.{c}" for c in ("open", "high", "low", "close", "volume")])
+    best_first = "coalesce(volume, 0) desc, open desc, close desc, high desc, low desc"
+    ranked = add(df, {"_copy": f"row_number() over (partition by symbol, date order by {best_first})"})
+    return ranked.where("_copy = 1").drop("_copy")
 
 
 def trading_dates(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
