@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapscan.functions.columns import BY_SYMBOL, WindowFeature, add, add_features
+from gapscan.functions.columns import BY_SYMBOL, WindowFeature, add, add_features, drop_scratch, merged
 from gapscan.functions.prices import PRICE_UNITS, VWAP_SUMS, percent_from, price_units, vwap
 from gapscan.schema import QUARTER_ANCHORS, SMA_PERIODS
 
@@ -37,25 +37,24 @@ def sma_distances(averages: Sequence[Sma] = STANDARD_SMAS) -> WindowFeature:
     An average is the difference of two running sums, so its cost does not depend on
     its length.
     """
-    so_far = f"{BY_SYMBOL} rows between unbounded preceding and current row"
-    windows = {
-        "_closes": f"sum({price_units('close')}) over ({so_far})",
-        "_priced": f"count(close) over ({so_far})",
-        "_bars": f"row_number() over ({BY_SYMBOL})",
+    running = {
+        "_closes": f"sum({price_units('close')}) over ({BY_SYMBOL})",
+        "_priced": f"count(close) over ({BY_SYMBOL})",
     }
-    lagged, columns = {}, {}
+    windows = {"_bars": f"row_number() over ({BY_SYMBOL})"}
+    columns = {}
     for a in averages:
-        lagged[f"_closes_{a.bars}"] = f"lag(_closes, {a.bars}) over ({BY_SYMBOL})"
-        lagged[f"_priced_{a.bars}"] = f"lag(_priced, {a.bars}) over ({BY_SYMBOL})"
+        windows[f"_closes_{a.bars}"] = f"lag(_closes, {a.bars}) over ({BY_SYMBOL})"
+        windows[f"_priced_{a.bars}"] = f"lag(_priced, {a.bars}) over ({BY_SYMBOL})"
         enough = f"_bars >= {a.min_bars}"
         if a.within_days is not None:
-            lagged[f"_oldest_{a.bars}"] = f"lag(date, {a.bars - 1}) over ({BY_SYMBOL})"
+            windows[f"_oldest_{a.bars}"] = f"lag(date, {a.bars - 1}) over ({BY_SYMBOL})"
             enough += f" and datediff(date, _oldest_{a.bars}) <= {a.within_days}"
         total = f"(_closes - coalesce(_closes_{a.bars}, 0D))"
         priced = f"(_priced - coalesce(_priced_{a.bars}, 0))"
         average = f"({total} / (nullif({priced}, 0) * {PRICE_UNITS}D))"
         columns[f"sma_{a.bars}_distance_percent"] = f"case when {enough} then {percent_from(average)} end"
-    return WindowFeature(windows, columns, lagged, scratch=(*windows, *lagged))
+    return WindowFeature(windows, columns, running, scratch=(*running, *windows))
 
 
 def with_sma_distances(bars: DataFrame, averages: Sequence[Sma] = STANDARD_SMAS) -> DataFrame:
@@ -96,31 +95,33 @@ def anchor_dates(dates: DataFrame) -> DataFrame:
     )
 
 
-def with_anchored_vwap_distances(bars: DataFrame) -> DataFrame:
+def with_anchored_vwap_distances(
+    bars: DataFrame,
+    features: Iterable[WindowFeature] = (),
+    dates_of: DataFrame | None = None,
+) -> DataFrame:
     """Adds avwap_<anchor>_distance_percent of the close for the quarter anchors.
 
     All days of a quarter share their anchors. So each symbol and quarter gets one
     marker row on the quarter's first day; there a range frame ending a fixed number
     of days back finds the running sums from before an anchor. A VWAP since an anchor
     is the running sums of the day less those. That needs no join and no pairs of
-    bars: a few passes over a symbol's bars on the partitioning they already have.
+    bars: a few passes over a symbol's bars, sorted once.
+
+    Further features share those passes. The quarters are read off dates_of, any table
+    with at least the symbols and dates of the bars; by default the bars themselves.
     """
+    features = list(features)
     names = list(bars.columns)
-    blank = {"high", "low", "close", "volume"}
-    opened = add(bars, {
-        "_quarter": "trunc(date, 'quarter')",
-        "_opens": f"coalesce(lag(trunc(date, 'quarter')) over ({BY_SYMBOL}) <> trunc(date, 'quarter'), true)",
-    })
-    marked = opened.selectExpr("*", "explode(if(_opens, array(true, false), array(false))) as _marker").selectExpr(
-        "_marker",
-        "if(_marker, _quarter, date) as date",
-        # A marker carries no bar of its own.
-        *[f"if(_marker, null, {n}) as {n}" if n in blank else n for n in names if n != "date"],
+    quarters = (dates_of or bars).selectExpr("symbol", "trunc(date, 'quarter') as date").distinct()
+    marked = add(bars, {"_marker": "false"}).unionByName(
+        add(quarters, {"_marker": "true"}), allowMissingColumns=True
     )
-    # Rows of the same date are peers in a range frame, so the bar and the marker of a
+    # Rows of one date are peers in these frames, so the bar and the marker of a
     # quarter's first day have the same running sums.
-    running = add(marked, {f"_{name}": f"{sql} over ({BY_SYMBOL})" for name, sql in VWAP_SUMS.items()})
-    packed = add(running, {"_sums": "struct(_tpv, _vol, _tp, _n)"}).drop("_tpv", "_vol", "_tp", "_n")
+    totals = {f"_{name}": f"{sql} over ({BY_SYMBOL})" for name, sql in VWAP_SUMS.items()}
+    summed = add(marked, totals | merged(features, "running"))
+    packed = add(summed, {"_sums": f"struct({', '.join(totals)})"}).drop(*totals)
     before = add(packed, {
         f"_at_{name}": f"last(_sums) over ({BY_SYMBOL} range between unbounded preceding and {back + 1} preceding)"
         for name, back in QUARTER_ANCHORS.items()
@@ -132,15 +133,15 @@ def with_anchored_vwap_distances(bars: DataFrame) -> DataFrame:
 
     # Three small projections instead of one large one: a generated method beyond 8000
     # bytes is never compiled by the JVM.
-    sums = {name: [f"_since_{name}{p}" for p in ("_tpv", "_vol", "_tp", "_n")] for name in QUARTER_ANCHORS}
-    since = {
-        column: f"_sums.{p} - coalesce(_anchors.`{name}`.{p}, 0)"
-        for name, columns in sums.items()
-        for column, p in zip(columns, ("_tpv", "_vol", "_tp", "_n"))
-    }
-    averages = add(add(carried, since), {f"_avwap_{name}": vwap(*columns) for name, columns in sums.items()})
-    distances = [f"{percent_from(f'_avwap_{name}')} as avwap_{name}_distance_percent" for name in QUARTER_ANCHORS]
-    return averages.selectExpr(*names, *distances)
+    since = {f"_since_{name}{total}": f"_sums.{total} - coalesce(_anchors.`{name}`.{total}, 0)"
+             for name in QUARTER_ANCHORS for total in totals}
+    averages = {f"_avwap_{name}": vwap(*[f"_since_{name}{total}" for total in totals]) for name in QUARTER_ANCHORS}
+    distances = {f"avwap_{name}_distance_percent": percent_from(f"_avwap_{name}") for name in QUARTER_ANCHORS}
+    distant = add(add(carried, since), averages).selectExpr(
+        *names, *merged(features, "running"), *[f"{sql} as {name}" for name, sql in distances.items()]
+    )
+    described = add(add(distant, merged(features, "windows")), merged(features, "columns"))
+    return drop_scratch(described, features)
 
 
 def benchmark_gains(bars: DataFrame, symbol: str = "SPY") -> DataFrame:

@@ -52,15 +52,16 @@ def gap_outcomes(
     be unique per symbol and date can skip the de-duplication.
     """
     unique = dedupe_bars(bars) if deduplicate else bars
-    described = add_features(
-        indicators.with_anchored_vwap_distances(unique),
-        [
+    described = indicators.with_anchored_vwap_distances(
+        unique,
+        features=[
             gaps.PREV_CLOSE,
             gaps.AVWAP_3D,
             indicators.sma_distances((*STANDARD_SMAS, sma_330)),
             indicators.ema(),
             forward.forward_columns(),
         ],
+        dates_of=bars,
     )
     found = gaps.find_gaps(described, mode, threshold, min_price, max_price)
     found = gaps.avwap_room(found, mode, room)
