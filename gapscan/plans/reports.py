@@ -142,19 +142,21 @@ def gap_histogram(outcomes: DataFrame, bins: int = 40) -> DataFrame:
     """Counts in equal-width bins from the smallest to the largest gap, the last one closed."""
     gap = F.col("gap_up_percent")
     counted = outcomes.where(gap.isNotNull()).groupBy(gap.alias("gap")).agg(F.count(F.lit(1)).alias("n"))
-    bounds = counted.agg(F.min("gap").alias("lowest"), F.max("gap").alias("highest"))
-    lowest, highest = bounds.select("lowest").scalar(), bounds.select("highest").scalar()
-    placed = counted.select("n", "gap", lowest.alias("lowest"), highest.alias("highest"))
+    lowest, highest = (counted.agg(bound("gap")).scalar() for bound in (F.min, F.max))
     number = F.when(
         F.col("highest") > F.col("lowest"), F.least(F.expr(f"width_bucket(gap, lowest, highest, {bins})"), F.lit(bins))
     ).otherwise(F.lit(1))
-    binned = placed.groupBy(number.cast("int").alias("bin"), "lowest", "highest").agg(F.sum("n").alias("count"))
-    width = (F.col("highest") - F.col("lowest")) / bins
-    return binned.select(
-        "bin",
-        (F.col("lowest") + (F.col("bin") - 1) * width).alias("bin_low"),
-        (F.col("lowest") + F.col("bin") * width).alias("bin_high"),
-        "count",
+    placed = counted.select("gap", "n", lowest.alias("lowest"), highest.alias("highest"))
+    filled = placed.groupBy(number.alias("bin")).agg(F.sum("n").alias("count"))
+    # At most one row per bin on both sides.
+    edges = counted.sparkSession.range(1, bins + 1, 1, 1).select(
+        F.col("id").alias("bin"), lowest.alias("lowest"), ((highest - lowest) / bins).alias("width")
+    )
+    return edges.join(F.broadcast(filled), "bin", "left").select(
+        F.col("bin").cast("int").alias("bin"),
+        (F.col("lowest") + (F.col("bin") - 1) * F.col("width")).alias("bin_low"),
+        (F.col("lowest") + F.col("bin") * F.col("width")).alias("bin_high"),
+        F.coalesce("count", F.lit(0)).alias("count"),
     ).orderBy("bin")
 
 
@@ -275,29 +277,33 @@ def equity_curve(outcomes: DataFrame) -> DataFrame:
     """
     long = (
         trade_pnl(outcomes)
-        .selectExpr("date", "ticker", f"stack(2, '5d', pnl_5, '10d', pnl_10) as (horizon, pnl)")
-        .withColumns({"pnl": F.col("pnl").cast(_MONEY), "chunk": F.substring(F.md5("ticker"), 1, 2)})
-        .repartition("horizon", "date", "chunk")
+        .selectExpr("date", "ticker", "stack(2, '5d', pnl_5, '10d', pnl_10) as (horizon, pnl)")
+        .withColumns({
+            "pnl": F.col("pnl").cast(_MONEY),
+            # Trades without a date come last.
+            "day": F.coalesce(F.unix_date("date"), F.lit(2**31 - 1)),
+            "chunk": F.substring(F.md5(F.coalesce("ticker", F.lit(""))), 1, 2),
+        })
+        .repartition("horizon", "day", "chunk")
     )
-    chunk_key = ["horizon", "date", "chunk"]
+    chunk_key = ["horizon", "day", "chunk"]
     zero = F.lit(0).cast(_MONEY)
     sums = long.groupBy(*chunk_key).agg(
         F.coalesce(F.sum("pnl"), zero).alias("chunk_sum"), F.count("pnl").alias("known")
     )
-    in_date = Window.partitionBy("horizon", "date").orderBy("chunk")
-    chunks = sums.withColumn("chunk_end", F.sum("chunk_sum").over(in_date))
-    dates = chunks.groupBy("horizon", "date").agg(F.sum("chunk_sum").alias("date_sum"), F.sum("known").alias("known"))
+    in_day = Window.partitionBy("horizon", "day").orderBy("chunk")
+    chunks = sums.withColumn("chunk_end", F.sum("chunk_sum").over(in_day))
+    days = chunks.groupBy("horizon", "day").agg(F.sum("chunk_sum").alias("day_sum"), F.sum("known").alias("known"))
     # At most one row per calendar day and horizon.
-    by_date = Window.partitionBy("horizon").orderBy("date")
-    dates = dates.withColumns({
-        "date_end": F.sum("date_sum").over(by_date),
+    by_day = Window.partitionBy("horizon").orderBy("day")
+    days = days.withColumns({
+        "day_end": F.sum("day_sum").over(by_day),
         "any_known": F.sum("known").over(Window.partitionBy("horizon")),
     }).where("any_known > 0")
-    starts = chunks.join(dates, ["horizon", "date"]).select(
-        *chunk_key,
-        (F.col("date_end") - F.col("date_sum") + F.col("chunk_end") - F.col("chunk_sum")).alias("start"),
+    starts = chunks.join(days, ["horizon", "day"]).select(
+        *chunk_key, (F.col("day_end") - F.col("day_sum") + F.col("chunk_end") - F.col("chunk_sum")).alias("start")
     )
-    in_chunk = Window.partitionBy(*chunk_key).orderBy("ticker")
+    in_chunk = Window.partitionBy(*chunk_key).orderBy("ticker").rowsBetween(Window.unboundedPreceding, 0)
     running = long.withColumn("run", F.sum(F.coalesce("pnl", zero)).over(in_chunk))
     return running.join(starts, chunk_key).select(
         "horizon", "date", "ticker", (F.col("start") + F.col("run")).cast("double").alias("equity")
@@ -329,9 +335,9 @@ def benchmark_vs_retrace(outcomes: DataFrame) -> DataFrame:
 def benchmark_trend(outcomes: DataFrame) -> DataFrame:
     """Least-squares line of the retracement rate over the benchmark's gain, by date."""
     return benchmark_vs_retrace(outcomes).agg(
-        F.regr_slope("rate10", "spy").alias("slope"),
-        F.regr_intercept("rate10", "spy").alias("intercept"),
-        F.regr_r2("rate10", "spy").alias("r2"),
+        F.round(F.regr_slope("rate10", "spy"), 6).alias("slope"),
+        F.round(F.regr_intercept("rate10", "spy"), 6).alias("intercept"),
+        F.round(F.regr_r2("rate10", "spy"), 6).alias("r2"),
     )
 
 

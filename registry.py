@@ -1,0 +1,236 @@
+"""The registered queries: every operator on the test tables."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gapscan.operators import forward, gaps, indicators, keyed, snapshots, text
+from gapscan.plans.outcomes import candidate_gaps, gap_outcomes
+from gapscan.plans.reports import REPORTS
+from gapscan.plans.summaries import summary_by_date, summary_overall
+from gapscan.schema import LEGACY_NAMES, OUTCOME_COLUMNS
+from gapscan.sources.bars import bars, bars_of, dedupe_bars, trading_dates
+from gapscan.sources.lineitem_bars import raw_bars
+from gapscan.sources.outcome_files import normalize_outcomes, publish, read_outcomes, write_outcomes
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars(raw_bars(spark, sf_dir))
+
+
+def unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe_bars(raw(spark, sf_dir))
+
+
+def published(spark: SparkSession, sf_dir: str, mode: str = "up") -> DataFrame:
+    return publish(gap_outcomes(raw(spark, sf_dir), mode))
+
+
+def candidates(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    return candidate_gaps(unique(spark, sf_dir), mode)
+
+
+def followed(spark: SparkSession, sf_dir: str, mode: str, *features) -> DataFrame:
+    """Gaps with room, with their following bars and further features."""
+    described = gaps.add_features(
+        unique(spark, sf_dir), [gaps.PREV_CLOSE, gaps.AVWAP_3D, forward.forward_columns(), *features]
+    )
+    return forward.with_forward_extremes(gaps.avwap_room(gaps.find_gaps(described, mode), mode))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder where the cluster keeps checkpoints, or a local one in a test session."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-gapscan-")
+    return os.path.join(base, f"gapscan-{uuid.uuid4().hex}")
+
+
+def _gaps(mode: str) -> Query:
+    return lambda spark, d: gaps.largest_first(
+        gaps.find_gaps(gaps.with_prev_close(unique(spark, d)), mode)
+    )
+
+
+def _gaps_room(mode: str) -> Query:
+    return lambda spark, d: gaps.largest_first(candidates(spark, d, mode))
+
+
+def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/output-short"
+    write_outcomes(gap_outcomes(raw(spark, sf_dir), "up"), path)
+    return read_outcomes(spark, path)
+
+
+def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An outcome table as older files have it: old names, text values, columns missing."""
+    old = published(spark, sf_dir).drop("direction", "ema_21", "spy_daily_gain_percent")
+    renamed = old.withColumnsRenamed(LEGACY_NAMES)
+    as_text = renamed.select(*[F.col(c).cast("string").alias(c) for c in renamed.columns])
+    return normalize_outcomes(as_text, direction="short")
+
+
+def _touches(name: str) -> list[str]:
+    return [c for c in OUTCOME_COLUMNS if name in c]
+
+
+def _retrace_vwap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both gap modes, one after the other."""
+    parts = [
+        forward.with_vwap_touch(followed(spark, sf_dir, mode), mode).select(
+            F.lit(mode).alias("mode"), "symbol", "date", "anchored_vwap",
+            *[f"{c}_{h}d" for h in (5, 10) for c in ("retraced_to_vwap", "days_to_retrace")],
+        )
+        for mode in ("up", "down")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def _retrace_ema21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = followed(spark, sf_dir, "up", indicators.ema())
+    return forward.with_ema_touch(table, "up").select("symbol", "date", "ema_21", *_touches("21ema"))
+
+
+def _measured(columns: list[str], add_measures: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: add_measures(followed(spark, d, "up")).select("symbol", "date", *columns)
+
+
+def _horizons(*names: str) -> list[str]:
+    return [f"{name}_{h}d" for h in (5, 10) for name in names]
+
+
+def _report(report: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: report(published(spark, d))
+
+
+def _dated_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dates = trading_dates(raw(spark, sf_dir), "1900-01-01", "2100-01-01")
+    return summary_by_date(gap_outcomes(raw(spark, sf_dir), "up"), dates)
+
+
+def event_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their value in steps of 20 and their day."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.selectExpr(
+        "event_id", "user_id", "event_type", "ts", "cast(floor(value / 20) as bigint) as level", "to_date(ts) as day"
+    )
+
+
+def level_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.changes_only(
+        event_levels(spark, sf_dir), ["user_id", "event_type"], ["ts", "event_id"], "level", F.col("day")
+    )
+
+
+def _distinct_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.distinct_blocks(
+        level_changes(spark, sf_dir), ["user_id"], "day", ["ts", "event_id"], "event_type", "level"
+    )
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def _style_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = text.style_bodies(pages(spark, sf_dir).select("page_id", "html"), "html")
+    return text.extract_rules(bodies, "html")
+
+
+def _strip_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page texts with their own comments put into the form the operator removes."""
+    commented = pages(spark, sf_dir).selectExpr(
+        "page_id", "replace(replace(html, '<!--', '/*'), '-->', '*/') as html"
+    )
+    return text.strip_comments(commented, "html")
+
+
+def order_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small style sheet per order: one rule per line, at most seven lines each."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
+        "l_orderkey",
+        "l_linenumber",
+        "concat(l_returnflag, ' { status: ', l_linestatus, ';\n  discount: ',"
+        " cast(cast(round(l_discount * 20) as int) as string), '; }\n') as rule",
+    )
+    rules = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "rule"))).alias("r"))
+    return rules.select("l_orderkey", F.array_join("r.rule", "").alias("sheet"))
+
+
+def _cleaned_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.clean_rules(order_sheets(spark, sf_dir), "l_orderkey", "sheet")
+
+
+def _latest_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.latest_snapshots(event_levels(spark, sf_dir), "day", 10)
+
+
+QUERIES: dict[str, Query] = {
+    "candles_raw": raw,
+    "candles_dedup": unique,
+    "trading_dates": lambda s, d: trading_dates(raw(s, d), "1900-01-01", "2100-01-01"),
+    "outcomes_csv_roundtrip": _csv_roundtrip,
+    "outcomes_normalized": _normalized,
+    "outcomes_published": lambda s, d: published(s, d, "both"),
+    "prev_close": lambda s, d: gaps.prev_close(unique(s, d)),
+    "gaps_up": _gaps("up"),
+    "gaps_down": _gaps("down"),
+    "gaps_room_up": _gaps_room("up"),
+    "gaps_room_down": _gaps_room("down"),
+    "top_gaps_per_date": lambda s, d: gaps.top_gaps_per_date(candidates(s, d, "up")),
+    "candles_of_gap_symbols": lambda s, d: bars_of(raw(s, d), candidates(s, d, "up")),
+    "vwap_by_symbol": lambda s, d: gaps.vwap_by_symbol(unique(s, d)),
+    "avwap_3d": lambda s, d: gaps.with_avwap_3d(unique(s, d)).select("symbol", "date", "anchored_vwap"),
+    "sma_distances": lambda s, d: indicators.with_sma_distances(unique(s, d)).drop("open", "high", "low", "volume"),
+    "sma_330_distance": lambda s, d: indicators.with_sma_distances(unique(s, d), [indicators.SMA_330]).select(
+        "symbol", "date", "sma_330_distance_percent"
+    ),
+    "sma_330_strict": lambda s, d: indicators.with_sma_distances(unique(s, d), [indicators.SMA_330_STRICT]).select(
+        "symbol", "date", "sma_330_distance_percent"
+    ),
+    "ema_21": lambda s, d: indicators.with_ema(unique(s, d)).select("symbol", "date", "ema_21"),
+    "avwap_anchors": lambda s, d: indicators.anchor_dates(raw(s, d).select("date").distinct()),
+    "avwap_quarterly": lambda s, d: indicators.with_anchored_vwap_distances(unique(s, d), dates_of=raw(s, d)).drop(
+        "open", "high", "low", "volume"
+    ),
+    "benchmark_gain": lambda s, d: indicators.with_benchmark_gain(candidates(s, d, "up"), unique(s, d)).select(
+        "symbol", "date", "spy_daily_gain_percent"
+    ),
+    "forward_bars": lambda s, d: forward.forward_bars(followed(s, d, "up")),
+    "forward_extremes": _measured(_horizons("lowest", "highest"), lambda t: t),
+    "retrace_vwap": _retrace_vwap,
+    "retrace_ema21": _retrace_ema21,
+    "mfe_mae": _measured(
+        _horizons("mfe_dollars", "mae_dollars", "mfe_percent", "mae_percent"), forward.with_excursions
+    ),
+    "retrace_percent": _measured(_horizons("retrace_percentage"), lambda t: forward.with_retrace_percent(t, "up")),
+    "gap_closure": _measured(
+        _horizons("gap_closure_percentage", "gap_filled"), lambda t: forward.with_gap_closure(t, "up")
+    ),
+    "gap_outcomes_up": lambda s, d: gap_outcomes(raw(s, d), "up"),
+    "gap_outcomes_down": lambda s, d: gap_outcomes(raw(s, d), "down"),
+    "retrace_calendar_10d": _measured(
+        ["retraced", "days_to_retrace", "retrace_percentage"], forward.retrace_from_open_calendar
+    ),
+    "mfe_mae_calendar_10d": _measured(
+        ["mfe_dollars", "mae_dollars", "mfe_percent", "mae_percent"], forward.excursions_calendar
+    ),
+    "summary_by_date": _dated_summary,
+    "summary_overall": lambda s, d: summary_overall(_dated_summary(s, d)),
+    **{name: _report(report) for name, report in REPORTS.items()},
+    "changes_only": level_changes,
+    "distinct_blocks": _distinct_blocks,
+    "grouped_first_seen": lambda s, d: keyed.group_in_first_seen_order(
+        event_levels(s, d), "user_id", ["ts", "event_id"]
+    ),
+    "style_rules": _style_rules,
+    "strip_comments": _strip_comments,
+    "cleaned_rules": _cleaned_rules,
+    "latest_snapshots": _latest_snapshots,
+}
