@@ -126,22 +126,21 @@ def with_anchored_vwap_distances(
         f"_at_{name}": f"last(_sums) over ({BY_SYMBOL} range between unbounded preceding and {back + 1} preceding)"
         for name, back in QUARTER_ANCHORS.items()
     })
-    anchors = ", ".join(f"'{name}', _at_{name}" for name in QUARTER_ANCHORS)
+    at_anchors = ", ".join(f"_at_{name}" for name in QUARTER_ANCHORS)
     carried = add(before, {
-        "_anchors": f"last(if(_marker, named_struct({anchors}), null), true) over ({BY_SYMBOL})"
+        "_anchors": f"last(if(_marker, array({at_anchors}), null), true) over ({BY_SYMBOL})"
     }).where("not _marker")
-
-    # Three small projections instead of one large one: a generated method beyond 8000
-    # bytes is never compiled by the JVM.
-    since = {f"_since_{name}{total}": f"_sums.{total} - coalesce(_anchors.`{name}`.{total}, 0)"
-             for name in QUARTER_ANCHORS for total in totals}
-    averages = {f"_avwap_{name}": vwap(*[f"_since_{name}{total}" for total in totals]) for name in QUARTER_ANCHORS}
-    distances = {f"avwap_{name}_distance_percent": percent_from(f"_avwap_{name}") for name in QUARTER_ANCHORS}
-    distant = add(add(carried, since), averages).selectExpr(
-        *names, *merged(features, "running"), *[f"{sql} as {name}" for name, sql in distances.items()]
+    windowed = add(
+        carried.select(*names, *merged(features, "running"), "_sums", "_anchors"), merged(features, "windows")
     )
-    described = add(add(distant, merged(features, "windows")), merged(features, "columns"))
-    return drop_scratch(described, features)
+
+    # What follows is plain projection, so filters on the windows go first.
+    since = vwap(*[f"(_sums.{total} - coalesce(a.{total}, 0))" for total in totals])
+    averaged = add(windowed, {"_avwaps": f"transform(_anchors, a -> {since})"})
+    distances = {f"avwap_{name}_distance_percent": percent_from(f"_avwaps[{i}]")
+                 for i, name in enumerate(QUARTER_ANCHORS)}
+    measured = add(averaged, distances | merged(features, "columns"))
+    return drop_scratch(measured.drop("_sums", "_anchors", "_avwaps"), features)
 
 
 def benchmark_gains(bars: DataFrame, symbol: str = "SPY") -> DataFrame:
