@@ -95,6 +95,24 @@ def anchor_dates(dates: DataFrame) -> DataFrame:
     )
 
 
+def _with_quarter_markers(bars: DataFrame, dates_of: DataFrame | None) -> DataFrame:
+    """The bars plus a marker row without prices on the first day of each symbol's quarters."""
+    if dates_of is not None:
+        quarters = dates_of.selectExpr("symbol", "trunc(date, 'quarter') as date").distinct()
+        return add(bars, {"_marker": "false"}).unionByName(
+            add(quarters, {"_marker": "true"}), allowMissingColumns=True
+        )
+    opens = f"coalesce(trunc(lag(date) over ({BY_SYMBOL}), 'quarter') < trunc(date, 'quarter'), true)"
+    doubled = add(bars, {"_opens": opens}).selectExpr("*", "explode(if(_opens, array(true, false), array(false))) as _marker")
+    values = [name for name in bars.columns if name not in ("symbol", "date")]
+    return doubled.selectExpr(
+        "symbol",
+        "if(_marker, trunc(date, 'quarter'), date) as date",
+        *[f"if(_marker, null, {name}) as {name}" for name in values],
+        "_marker",
+    )
+
+
 def with_anchored_vwap_distances(
     bars: DataFrame,
     features: Iterable[WindowFeature] = (),
@@ -106,17 +124,16 @@ def with_anchored_vwap_distances(
     marker row on the quarter's first day; there a range frame ending a fixed number
     of days back finds the running sums from before an anchor. A VWAP since an anchor
     is the running sums of the day less those. That needs no join and no pairs of
-    bars: a few passes over a symbol's bars, sorted once.
+    bars, only a few passes over a symbol's bars. Further features share the passes.
 
-    Further features share those passes. The quarters are read off dates_of, any table
-    with at least the symbols and dates of the bars; by default the bars themselves.
+    Bars that are to be shuffled by symbol anyway best come with dates_of, a table to
+    read the symbols' quarters off, such as the raw bars: the markers then join before
+    the sort. Without it they are made from the sorted bars, which keeps a partitioning
+    by symbol the bars already have and costs a second, local sort.
     """
     features = list(features)
     names = list(bars.columns)
-    quarters = (dates_of or bars).selectExpr("symbol", "trunc(date, 'quarter') as date").distinct()
-    marked = add(bars, {"_marker": "false"}).unionByName(
-        add(quarters, {"_marker": "true"}), allowMissingColumns=True
-    )
+    marked = _with_quarter_markers(bars, dates_of)
     # Rows of one date are peers in these frames, so the bar and the marker of a
     # quarter's first day have the same running sums.
     totals = {f"_{name}": f"{sql} over ({BY_SYMBOL})" for name, sql in VWAP_SUMS.items()}

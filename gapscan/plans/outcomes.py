@@ -61,7 +61,7 @@ def gap_outcomes(
             indicators.ema(),
             forward.forward_columns(),
         ],
-        dates_of=bars,
+        dates_of=bars if deduplicate else None,
     )
     found = gaps.find_gaps(described, mode, threshold, min_price, max_price)
     found = gaps.avwap_room(found, mode, room)
