@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapscan.functions.columns import add
@@ -40,11 +40,16 @@ def dedupe_bars(df: DataFrame) -> DataFrame:
     return ranked.where("_copy = 1").drop("_copy")
 
 
-def trading_dates(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Distinct dates of the bars in [start, end], ascending; by default the last 30 days."""
+def in_dates(start: str | None = None, end: str | None = None) -> Column:
+    """Whether a row's date lies in [start, end]; by default in the last 30 days."""
     first = F.to_date(F.lit(start)) if start else F.date_sub(F.current_date(), 30)
     last = F.to_date(F.lit(end)) if end else F.current_date()
-    return df.where(F.col("date").between(first, last)).select("date").distinct().orderBy("date")
+    return F.col("date").between(first, last)
+
+
+def trading_dates(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Distinct dates of the bars in [start, end], ascending; by default of the last 30 days."""
+    return df.where(in_dates(start, end)).select("date").distinct().orderBy("date")
 
 
 def bars_of(df: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -14,8 +14,8 @@ def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         F.col("l_suppkey").alias("k"),
         F.col("l_shipdate").cast("date").alias("date"),
-        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("e"),
-        F.round("l_quantity").cast("bigint").alias("volume"),
+        F.rint(F.col("l_extendedprice") * 100).cast("bigint").alias("e"),
+        F.rint("l_quantity").cast("bigint").alias("volume"),
     )
     season = lines.withColumn("ym", F.expr("cast(year(date) * 6 + (month(date) - 1) div 2 as bigint)"))
     level = season.withColumn("lvl", F.expr("5000 + ((k * 7919 + ym * (104729 + k * 97) + ym * ym * 331) % 2500)"))
