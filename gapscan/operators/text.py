@@ -30,29 +30,35 @@ def style_bodies(df: DataFrame, html: str) -> DataFrame:
     return df.withColumn(html, F.array_join(bodies, "\n"))
 
 
-def extract_rules(df: DataFrame, text: str) -> DataFrame:
-    """One row per declaration: rule position, selector, declaration position, attribute, value.
-
-    Declarations end at semicolons and split at the first colon; text without a colon
-    is skipped. The pattern knows flat rules only.
-    """
+def _declarations(df: DataFrame, text: str) -> DataFrame:
+    """Declarations as extract_rules gives them, with the position of the selector's first rule."""
     found = df.withColumns({
-        "_selectors": F.regexp_extract_all(F.col(text), F.lit(RULE_PATTERN), F.lit(1)),
+        "_selectors": F.transform(F.regexp_extract_all(F.col(text), F.lit(RULE_PATTERN), F.lit(1)), _stripped),
         "_bodies": F.regexp_extract_all(F.col(text), F.lit(RULE_PATTERN), F.lit(2)),
     }).drop(text)
-    rules = found.select("*", F.posexplode(F.arrays_zip("_selectors", "_bodies")).alias("pos", "_rule"))
+    rules = found.select("*", F.posexplode("_bodies").alias("pos", "_body"))
     parts = rules.withColumns({
-        "selector": _stripped(F.col("_rule._selectors")),
-        "_parts": F.split(_stripped(F.col("_rule._bodies")), r";\s*"),
+        "selector": F.get("_selectors", F.col("pos")),
+        "_parts": F.split(_stripped(F.col("_body")), r";\s*"),
     })
     declarations = parts.select("*", F.posexplode("_parts").alias("declaration_pos", "_text")).where(
         F.contains("_text", F.lit(":"))
     )
     halves = declarations.withColumn("_halves", F.split(F.col("_text"), ":", 2))
     return halves.withColumns({
+        "first_pos": (F.array_position("_selectors", F.col("selector")) - 1).cast("int"),
         "attribute": _stripped(F.get("_halves", F.lit(0))),
         "value": _stripped(F.get("_halves", F.lit(1))),
-    }).drop("_selectors", "_bodies", "_rule", "_parts", "_text", "_halves")
+    }).drop("_selectors", "_bodies", "_body", "_parts", "_text", "_halves")
+
+
+def extract_rules(df: DataFrame, text: str) -> DataFrame:
+    """One row per declaration: rule position, selector, declaration position, attribute, value.
+
+    Declarations end at semicolons and split at the first colon; text without a colon
+    is skipped. The pattern knows flat rules only.
+    """
+    return _declarations(df, text).drop("first_pos")
 
 
 def clean_rules(df: DataFrame, id: str, text: str) -> DataFrame:
@@ -61,9 +67,8 @@ def clean_rules(df: DataFrame, id: str, text: str) -> DataFrame:
     A declaration stays when it changes what the selector had for the attribute, a
     rule when its remaining declarations are new for the selector.
     """
-    rules = extract_rules(df.select(id, text), text)
+    declarations = _declarations(df.select(id, text), text)
+    key = [id, "selector", "first_pos"]
     order = ["pos", "declaration_pos"]
-    changed = changes_only(rules, [id, "selector", "attribute"], order, "value", F.floor(F.col("pos") / 1000))
-    blocks = distinct_blocks(changed, [id, "selector"], "pos", order, "attribute", "value")
-    first = rules.groupBy(id, "selector").agg(F.min("pos").alias("first_pos"))
-    return blocks.join(first, [id, "selector"]).orderBy(id, "first_pos", "pos")
+    changed = changes_only(declarations, [*key, "attribute"], order, "value", F.floor(F.col("pos") / 1000))
+    return distinct_blocks(changed, key, "pos", order, "attribute", "value").orderBy(id, "first_pos", "pos")

@@ -536,7 +536,7 @@ def statements() -> dict[str, str]:
                 from kept group by l_orderkey, selector, pos),
         uniq as (select l_orderkey, selector, min(pos) pos, declarations from blk group by l_orderkey, selector, declarations)
         select u.*, first_pos from uniq u
-        join (select l_orderkey, selector, min(pos) first_pos from rule group by l_orderkey, selector) f
+        join (select l_orderkey, selector, cast(min(pos) as int) first_pos from cut group by l_orderkey, selector) f
         using (l_orderkey, selector)"""
     result["latest_snapshots"] = f"""with {EVENTS} select * from ev
         where day in (select distinct day from ev where day is not null order by day desc limit 10)"""

@@ -124,7 +124,7 @@ def event_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def level_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.changes_only(
-        event_levels(spark, sf_dir), ["user_id", "event_type"], ["ts", "event_id"], "level", F.col("day")
+        event_levels(spark, sf_dir), ["user_id", "event_type"], ["ts", "event_id"], "level", F.date_trunc("hour", "ts")
     )
 
 

@@ -59,6 +59,7 @@ def test_groups_in_first_seen_order(spark):
 
 
 SHEET = """
+.late { nothing }
 /* a { b: c } */
 .box { color: red; size: 1 ; junk; url: http://x/y }
 p { margin: 0 }
@@ -67,6 +68,7 @@ p { margin: 0 }
   size: 2; }
 .box { color: red; size: 1 }
 .box { color: blue; size: 2 }
+.late { top: 1 }
 """
 
 
@@ -101,11 +103,11 @@ def test_comments_and_rules(spark):
     assert (found[2].css, found[3].css, found[4].css) == ("abc", "/* open", None)
     rules = text.extract_rules(stripped.where("id = 1"), "css").orderBy("pos", "declaration_pos").collect()
     assert [(r.pos, r.selector, r.attribute, r.value) for r in rules][:4] == [
-        (0, ".box", "color", "red"), (0, ".box", "size", "1"), (0, ".box", "url", "http://x/y"), (1, "p", "margin", "0")
+        (1, ".box", "color", "red"), (1, ".box", "size", "1"), (1, ".box", "url", "http://x/y"), (2, "p", "margin", "0")
     ]
     cleaned = text.clean_rules(stripped, "id", "css").where("id = 1").collect()
     assert [(r.selector, r.declarations) for r in cleaned] == clean_by_hand(found[1].css)
-    assert len(cleaned) == 4
+    assert len(cleaned) == 5 and cleaned[0].selector == ".late"
 
 
 def test_style_bodies(spark):
