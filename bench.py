@@ -11,13 +11,12 @@ from __future__ import annotations
 
 import json
 import os
-import sys
 import time
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-import registry
+from gapscan.catalog import queries as catalog
 from gapscan.plans.outcomes import gap_outcomes
 from gapscan.plans.reports import REPORTS
 
@@ -52,12 +51,12 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    times = {name: seconds(lambda: registry.QUERIES[name](spark, SF_DIR)) for name in HEADLINE}
+    times = {name: seconds(lambda: catalog.QUERIES[name](spark, SF_DIR)) for name in HEADLINE}
 
-    both = lambda: gap_outcomes(registry.raw(spark, SF_DIR), "both")
+    both = lambda: gap_outcomes(catalog.raw(spark, SF_DIR), "both")
     times["gap_outcomes_both"] = seconds(both)
 
-    published: DataFrame = registry.published(spark, SF_DIR).persist(StorageLevel.MEMORY_AND_DISK)
+    published: DataFrame = catalog.published(spark, SF_DIR).persist(StorageLevel.MEMORY_AND_DISK)
     start = time.perf_counter()
     published.count()
     times["persist_published"] = round(time.perf_counter() - start, 3)
@@ -75,5 +74,4 @@ def main() -> None:
 
 
 if __name__ == "__main__":
-    sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
     main()

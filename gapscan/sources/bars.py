@@ -22,9 +22,18 @@ def read_bars(spark: SparkSession, source: str, format: str | None = None, **opt
 
 
 def bars(df: DataFrame) -> DataFrame:
-    """The bar columns with their types; a missing volume counts as none traded."""
-    sources = {name: "coalesce(volume, 0)" if name == "volume" else name for name in BAR_COLUMNS}
-    return df.selectExpr(*[f"cast({sources[name]} as {kind}) as {name}" for name, kind in BAR_COLUMNS.items()])
+    """The bar columns with their types.
+
+    A missing volume counts as none traded; a price that is not a number is unknown.
+    """
+    def typed(name: str, kind: str) -> str:
+        if name == "volume":
+            return "cast(coalesce(volume, 0) as bigint) as volume"
+        if kind == "double":
+            return f"nullif(cast({name} as double), double('NaN')) as {name}"
+        return f"cast({name} as {kind}) as {name}"
+
+    return df.selectExpr(*[typed(name, kind) for name, kind in BAR_COLUMNS.items()])
 
 
 def dedupe_bars(df: DataFrame) -> DataFrame:

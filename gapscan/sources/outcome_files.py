@@ -59,6 +59,8 @@ def normalize_outcomes(df: DataFrame, direction: str | None = None) -> DataFrame
         elif kind == "int" and kinds[source] == "string":
             # Counts may be written with a fraction, as in "3.0".
             value = F.col(source).try_cast("double").try_cast("int")
+        elif kind == "double":
+            value = F.nullif(F.col(source).try_cast("double"), F.lit(float("nan")))
         else:
             value = F.col(source).try_cast(kind)
         return value.alias(name)

@@ -21,6 +21,6 @@ def test_bars_to_report_tables(spark, tmp_path):
 
 
 def test_bars_from_table_with_missing_volume(spark):
-    frame(spark, [("A", None, 1.0, 1.0, 1.0, 1.0, None)]).createOrReplaceTempView("some_bars")
+    frame(spark, [("A", None, 1.0, 1.0, float("nan"), 1.0, None)]).createOrReplaceTempView("some_bars")
     (row,) = read_bars(spark, "some_bars").collect()
-    assert row.volume == 0
+    assert (row.volume, row.low, row.close) == (0, None, 1.0)

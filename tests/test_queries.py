@@ -3,7 +3,7 @@
 import pytest
 
 import check
-import registry
+from gapscan.catalog import queries as catalog
 import __spark_entry__ as entry_points
 from gapscan.plans.reports import REPORTS
 
@@ -18,7 +18,7 @@ def connection():
 
 @pytest.fixture(scope="module")
 def published(spark):
-    table = registry.published(spark, SF_DIR).persist()
+    table = catalog.published(spark, SF_DIR).persist()
     yield table
     table.unpersist()
 

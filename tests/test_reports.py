@@ -170,12 +170,12 @@ def test_reading_old_and_broken_files(spark, tmp_path):
     assert read_outcomes(spark, str(tmp_path / "header.csv")).count() == 0
     (tmp_path / "old-short.csv").write_text(
         "ticker,date,gap_up_percent,retraced_to_vwap,retrace_percentage,mfe_percent,days_to_retrace_5d\n"
-        "A,2020-01-02,3.5,True,50.0,7.25,3.0\nB,not a date,x,False,,,\n"
+        "A,2020-01-02,3.5,True,50.0,7.25,3.0\nB,not a date,x,False,NaN,,\n"
     )
     a, b = read_outcomes(spark, str(tmp_path / "old-short.csv")).orderBy("ticker").collect()
     assert (a.date, a.gap_up_percent, a.retraced_to_vwap_10d, a.retrace_percentage_10d) == (dt.date(2020, 1, 2), 3.5, True, 50.0)
     assert (a.mfe_percent_10d, a.days_to_retrace_5d, a.retraced_to_vwap_5d, a.direction) == (7.25, 3, None, "short")
-    assert (b.date, b.gap_up_percent, b.retraced_to_vwap_10d) == (None, None, False)
+    assert (b.date, b.gap_up_percent, b.retraced_to_vwap_10d, b.retrace_percentage_10d) == (None, None, False, None)
     assert [direction_of(p) for p in ("x/output-LONG.csv", "short.csv", "other.csv")] == ["long", "short", "unknown"]
 
 
