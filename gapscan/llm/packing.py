@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from gapscan.llm.common import buffers, pieces, prefix_hashes, range_hashes, wri
 WINDOW = 2048
 END = 1
 #: Words whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 600_000
 ROWS_A_PART = 500_000
 
 LETTER, DIGIT, OTHER, BLANK = 0, 1, 2, 3
@@ -67,18 +68,18 @@ class Tokens:
         self.starts, self.lengths, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
         self.ids, self.filled = np.zeros(1 << 18, np.uint32), 0
 
-    def learn(self, key: int, ids: list[int]) -> int:
-        if self.used == len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * self.used), np.resize(self.lengths, 2 * self.used)
-        while self.filled + len(ids) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        at = self.used
-        self.starts[at], self.lengths[at] = self.filled, len(ids)
-        self.ids[self.filled : self.filled + len(ids)] = ids
-        self.filled += len(ids)
-        self.used += 1
-        self.known[key] = at
-        return at
+    def learn(self, keys: list[int], found: list[list[int]]) -> None:
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        to, filled = self.used + len(found), self.filled + int(lengths.sum())
+        if to > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * to), np.resize(self.lengths, 2 * to)
+        if filled > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * filled)
+        self.lengths[self.used : to] = lengths
+        self.starts[self.used : to] = self.filled + np.cumsum(lengths) - lengths
+        self.ids[self.filled : filled] = np.fromiter(chain.from_iterable(found), np.uint32, filled - self.filled)
+        self.known.update(zip(keys, range(self.used, to), strict=True))
+        self.used, self.filled = to, filled
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by END, and n + 1 offsets."""
@@ -145,13 +146,14 @@ class Tokens:
         different, one, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > CACHE:
             self.forget()
-        known, at = self.known, np.empty(len(different), np.int64)
-        for i, key in enumerate(different.tolist()):
-            found = known.get(key)
-            if found is None:
-                k = one[i]
-                found = self.learn(key, self.word(data[places[k] : ends[k]].tobytes().decode()))
-            at[i] = found
+        keys = different.tolist()
+        known = self.known
+        missing = [i for i, key in enumerate(keys) if key not in known]
+        if missing:
+            k = one[missing]
+            words = [data[a:b].tobytes().decode() for a, b in zip(places[k].tolist(), ends[k].tolist(), strict=True)]
+            self.learn([keys[i] for i in missing], [self.word(word) for word in words])
+        at = np.fromiter((known[key] for key in keys), np.int64, len(keys))
         return at[back]
 
 
