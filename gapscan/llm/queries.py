@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscan.llm import decontaminate, packing, sharding, url_filter
+from gapscan.llm import chat, decontaminate, embedding_pq, minhash, packing, pii, sharding, suffix_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes, _ = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return classes.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_pq.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("starts").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    field = pii.train(pii.labelled_table(spark))
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), field)
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.expr(f"cast(size(filter(base_spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    hard = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
+    return chat.read_back(chat.format_windows(given))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % toxicity.FOLDS == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "flagged")
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_size(table(spark, sf_dir, "documents"), 40)
     return placed.select(
@@ -59,7 +98,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_minhash": op1_minhash,
+    "op2_embeddings": op2_embeddings,
+    "op3_suffix": op3_suffix,
+    "op4_pii": op4_pii,
     "op5_shards": op5_shards,
+    "op6_chat": op6_chat,
+    "op7_toxicity": op7_toxicity,
     "op8_urls": op8_urls,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
