@@ -26,6 +26,14 @@ WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[48:58] = WORD_BYTE[97:123] = WORD_BYTE[128:] = True
 
 
+def known_to_workers(spark: SparkSession) -> None:
+    """Lets Python workers that see this folder import the package from it; elsewhere it is sent with --py-files."""
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new name in the folder that the cluster shares; only a session without one (as in tests) gets its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)

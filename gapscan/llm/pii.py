@@ -70,6 +70,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 LABELS = 1 + 2 * len(KINDS)  # none, then begin and inside of each kind
 BITS = 13
 BLOCKS = 5  # own shape, the shapes before and after, the shape without lengths, digits with first and last sign
+UNSEEN = 1.5
 SPACE, UPPER, SMALL, DIGIT, OTHER = 0, 1, 2, 3, 4
 _CLASS = np.full(129, OTHER, np.uint8)
 _CLASS[:33] = SPACE
@@ -185,6 +186,7 @@ def fit(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 120, rate:
             gradient = gradient / n - weight * value
             squares[k] += gradient**2
             value += rate * gradient / np.sqrt(squares[k])
+    emissions[:, 0] = UNSEEN  # what training has not seen speaks for "none"
     emissions[used] = w
     return Field(emissions, t)
 
@@ -265,12 +267,15 @@ def labelled_table(spark: SparkSession, rows: int = 600, seed: int = 5) -> DataF
     word = lambda: "".join(chr(97 + k) for k in rng.integers(0, 26, rng.integers(1, 11)))
     byte = lambda: str(rng.integers(0, 256))
     pick = lambda options: options[rng.integers(0, len(options))]()
+    marks = lambda: str(rng.choice(list("!?#$%&*=~^|<>/_"))) * int(rng.integers(1, 4))
     plain = [word] * 12 + [
         lambda: word().capitalize(), lambda: word().upper(), lambda: f"{word()}-{word()}", lambda: number(rng.integers(1, 9)),
         lambda: f"{number(2)}.{number(2)}.{number(4)}", lambda: f"{number(2)}:{number(2)}", lambda: f"{number(2)},{number(2)}",
         lambda: f"{number(4)}-{number(2)}-{number(2)}", lambda: f"v{number(1)}.{number(1)}.{number(1)}", lambda: f"${number(3)}",
         lambda: f"{word()}_{number(4)}", lambda: f"{word()}{number(2)}", lambda: f"({word()})", lambda: f"{number(1)}.{number(1)}", lambda: "|",
         lambda: f"https://{word()}.{word()}/{word()}", lambda: f"@{word()}", lambda: f"+{number(1)}", lambda: f"{number(2)}%", lambda: "-", lambda: "+",
+        lambda: word() + marks(), lambda: word().upper() + marks(), lambda: word().capitalize() + marks(), lambda: marks(), lambda: number(3) + marks(),
+        lambda: word() + pick([lambda: ",", lambda: ".", lambda: ":", lambda: ";"]) + marks(), lambda: marks() + word(), lambda: f'"{word()}"',
     ]
     personal = {
         "email": [lambda: f"{word()}@{word()}.{word()}", lambda: f"{word()}.{number(2)}@{word()}{number(1)}.{word()}.{word()}", lambda: f"{word()}_{word()}@{word()}.{word()}"],

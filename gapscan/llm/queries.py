@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapscan.llm import chat, decontaminate, embedding_pq, minhash, packing, pii, sharding, suffix_dedup, toxicity, url_filter
+from gapscan.llm.common import known_to_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +19,7 @@ def tokenizer_paths() -> tuple:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    known_to_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -27,8 +27,9 @@ ANCHOR = 40
 SHARD_BYTES = 1 << 20
 #: Different segments with one anchor beyond which each string is counted by itself.
 HOT_SEGMENTS = 20_000
-SEPARATOR = 0xFF
 UNKNOWN = 32767
+#: More than the bytes that are worked on at once.
+PLACES = 4 * PIECE_BYTES
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -38,7 +39,9 @@ def segments(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, anchor: in
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     sums = prefix_hashes(data)
     _, down = powers(len(sums))
-    least = mix((sums[anchor:] - sums[:-anchor]) * down[: len(sums) - anchor])
+    hashes = mix((sums[anchor:] - sums[:-anchor]) * down[: len(sums) - anchor])
+    # the place in the low bits: of equal ones the first counts, and it is known where it stands
+    least = hashes & ~np.uint64(PLACES - 1) | np.arange(len(hashes), dtype=np.uint64)
     width, reach = span - anchor + 1, 1
     while reach * 2 <= width:
         least = np.minimum(least[:-reach], least[reach:])
@@ -59,7 +62,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, anchor: in
     keep = whole[start]
     start, count = start[keep], count[keep]
     content = range_hashes(sums, start, start + count - 1 + span)
-    return least[start], content, start, count, np.searchsorted(offsets, start, "right") - 1
+    anchors = hashes[(least[start] & np.uint64(PLACES - 1)).astype(np.int64)]
+    return anchors, content, start, count, np.searchsorted(offsets, start, "right") - 1
 
 
 def _segment_rows(span: int, anchor: int):
