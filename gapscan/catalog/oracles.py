@@ -218,11 +218,15 @@ def bar_query(select: str, *ctes: str) -> str:
 
 
 def gap_query(select: str, *ctes: str) -> str:
-    return f"with {','.join([base('up', 'down'), *ctes])} {select}"
+    """With the modes that the statement speaks of, and no others."""
+    text = " ".join([select, *ctes])
+    return f"with {','.join([base(*[m for m in ('up', 'down') if f'_{m}' in text]), *ctes])} {select}"
 
 
-def report_query(select: str, *ctes: str) -> str:
-    return f"with {','.join([full('up'), *ctes])} {select}"
+def report_query(select: str, *ctes: str, mode: str = "up") -> str:
+    """Statements speak of the up gaps; for down gaps they are put to those."""
+    said = ",".join([full(mode), *[c.replace("pub_up", f"pub_{mode}") for c in ctes]])
+    return f"with {said} {select.replace('pub_up', f'pub_{mode}')}"
 
 
 def rate(condition: str) -> str:
@@ -255,7 +259,7 @@ def performance(h: int) -> str:
     )
 
 
-def bucket_table(which: Buckets, value: str, measures: str, columns: str, table: str = "pub_up") -> str:
+def bucket_table(which: Buckets, value: str, measures: str, columns: str, table: str = "pub_up", mode: str = "up") -> str:
     """Measures per bucket, empty buckets kept."""
     rows = ", ".join(
         f"({i}, {low}::double, {high}::double, '{label}')"
@@ -266,11 +270,12 @@ def bucket_table(which: Buckets, value: str, measures: str, columns: str, table:
           select bucket_no, {measures} from (select *, {value} val from {table}) x
           join dim on val >= lo and val < hi group by bucket_no) y on y.bucket_no = dim.bucket_no""",
         f"dim as (select cast(a as int) bucket_no, lo, hi, bucket from (values {rows}) v(a, lo, hi, bucket))",
+        mode=mode,
     )
 
 
-def win_table(which: Buckets, value: str, h: int) -> str:
-    return bucket_table(which, value, f"{rate(f'retraced_to_vwap_{h}d')} rate", "y.rate")
+def win_table(which: Buckets, value: str, h: int, mode: str = "up") -> str:
+    return bucket_table(which, value, f"{rate(f'retraced_to_vwap_{h}d')} rate", "y.rate", mode=mode)
 
 
 def pnl(h: int) -> str:
@@ -492,7 +497,7 @@ def statements() -> dict[str, str]:
     )
     result["equity_curve"] = report_query(
         """select horizon, date, ticker, cast(sum(coalesce(cast(pnl as decimal(18,6)), 0)) over (partition by horizon
-             order by date nulls last, substr(md5(ticker), 1, 2), ticker rows between unbounded preceding and current row)
+             order by date nulls last, ticker rows between unbounded preceding and current row)
              as double) equity
         from (select '5d' horizon, date, ticker, pnl_5 pnl from trade
               union all select '10d', date, ticker, pnl_10 from trade)""", PNL
@@ -515,8 +520,10 @@ def statements() -> dict[str, str]:
 
     result["changes_only"] = f"with {EVENTS} select * from chg"
     result["distinct_blocks"] = f"""with {EVENTS}, blk as (select user_id, day,
-        string_agg(event_type || ': ' || level, '; ' order by ts, event_id) declarations from chg group by user_id, day)
-        select user_id, min(day) as day, declarations from blk group by user_id, declarations"""
+        string_agg(event_type || ': ' || level, '; ' order by ts, event_id) declarations from chg group by user_id, day),
+        firsts as (select user_id, min(day) as day from blk group by user_id, declarations)
+        select user_id, day, row_number() over (partition by user_id, day order by ts, event_id) as ordinal, event_type, level
+        from chg join firsts using (user_id, day)"""
     result["grouped_first_seen"] = f"""with {EVENTS} select ev.*, first_value(ts) over w first_ts,
         first_value(event_id) over w first_event_id from ev window w as (partition by user_id order by ts, event_id)"""
     style = r"""bodies as (select page_id,
@@ -535,9 +542,86 @@ def statements() -> dict[str, str]:
                 string_agg(attribute || ': ' || value, '; ' order by declaration_pos) declarations
                 from kept group by l_orderkey, selector, pos),
         uniq as (select l_orderkey, selector, min(pos) pos, declarations from blk group by l_orderkey, selector, declarations)
-        select u.*, first_pos from uniq u
+        select l_orderkey, selector, first_pos, pos, attribute, value,
+               row_number() over (partition by l_orderkey, selector, pos order by declaration_pos) as ordinal
+        from kept join (select l_orderkey, selector, pos from uniq) u using (l_orderkey, selector, pos)
         join (select l_orderkey, selector, cast(min(pos) as int) first_pos from cut group by l_orderkey, selector) f
         using (l_orderkey, selector)"""
+    for name, sql in {
+        "forward_extremes": f"select symbol, date, lowest_5d, highest_5d, lowest_10d, highest_10d from ext_down",
+        "mfe_mae": f"select symbol, date, {excursions(5)}, {excursions(10)} from ext_down",
+        "retrace_percent": f"select symbol, date, {retrace('down', 5)}, {retrace('down', 10)} from ext_down",
+        "gap_closure": f"select symbol, date, {closure('down', 5)}, {closure('down', 10)} from ext_down",
+    }.items():
+        result[f"{name}_down"] = gap_query(sql, extremes("down"))
+    result["retrace_ema21_down"] = gap_query(
+        "select symbol, date, ema_21, " + ", ".join(
+            f"days_to_21ema_{h}d is not null retraced_to_21ema_{h}d, days_to_21ema_{h}d" for h in HORIZONS
+        ) + " from touch_down", EMA, ema_touch("down"),
+    )
+    result["gap_outcomes_month"] = (
+        f"with {full('up')} select * from outcome_up where date between date '1995-03-01' and date '1995-03-31'"
+    )
+    result["top_gap_outcomes"] = report_query("select date, rank, ticker, gap_up_percent, {} from ({})".format(
+        ", ".join(f"{name}_{h}d" for h in HORIZONS for name in ("retrace_percentage", "mfe_percent", "mae_percent")),
+        "select *, cast(row_number() over (partition by date order by gap_up_percent desc, ticker) as int) as rank"
+        " from pub_up qualify rank <= 5",
+    ))
+    for name in ("vwap_by_symbol", "avwap_3d", "avwap_quarterly"):
+        scaled = result[name].replace("close, volume from candle", "close, volume*10000000 as volume from candle")
+        assert scaled != result[name]
+        result[f"{name}_busy"] = scaled
+
+    # the same reports on down gaps
+    result["report_header_long"] = report_query(
+        "select count(*) row_count, count(distinct date) date_count, max(direction) direction from pub_up", mode="down"
+    )
+    result["perf_by_year_10d_long"] = report_query(
+        f"select cast(year(date) as int) as year, {performance(10)} from pub_up where date is not null group by 1", mode="down"
+    )
+    result["perf_by_gap_size_10d_long"] = bucket_table(
+        buckets.GAP_SIZE, "gap_up_percent", performance(10), f"coalesce(y.trades, 0) trades, {measured}", mode="down"
+    )
+    for h in HORIZONS:
+        result[f"win_by_avwap_distance_{h}d_long"] = win_table(
+            buckets.AVWAP_DISTANCE, "greatest(0.0::double, (anchored_vwap-open_price)*100/open_price)", h, mode="down"
+        )
+    result["equity_curve_long"] = report_query(
+        """select horizon, date, ticker, cast(sum(coalesce(cast(pnl as decimal(18,6)), 0)) over (partition by horizon
+             order by date nulls last, ticker rows between unbounded preceding and current row) as double) equity
+        from (select '5d' horizon, date, ticker, pnl_5 pnl from trade
+              union all select '10d', date, ticker, pnl_10 from trade)""", PNL, mode="down"
+    )
+
+    # a file with one horizon: what it lacks is unknown
+    none = "cast(null as double)"
+    result["overall_rates_of_old_file"] = report_query(
+        f"""select {none} avwap_rate_5d, {two_decimals(rate('retraced_to_vwap_10d'))} avwap_rate_10d, {none} ema21_rate_5d,
+        {none} ema21_rate_10d, {none} gap_fill_rate_5d, {none} gap_fill_rate_10d from pub_up"""
+    )
+    result["profit_factor_overall_of_old_file"] = report_query(
+        f"select {none} profit_factor_5d, coalesce({fraction_pf(10)}, 0) profit_factor_10d from pub_up"
+    )
+    for h in HORIZONS:
+        had = h == 10
+        result[f"perf_by_year_{h}d_of_old_file"] = report_query(
+            f"""select cast(year(date) as int) as year, count(*) trades,
+            {two_decimals(rate('retraced_to_vwap_10d')) if had else none} avwap_rate, {fraction_pf(10) if had else none} avwap_pf,
+            {none} gap_close_rate, {none} gap_close_pf, {none} ema21_rate, {none} ema21_pf
+            from pub_up where date is not null group by 1"""
+        )
+        result[f"monthly_win_{h}d_of_old_file"] = result[f"monthly_win_{h}d"] + ("" if had else " where false")
+        result[f"win_by_gap_{h}d_of_old_file"] = (
+            result[f"win_by_gap_{h}d"] if had else bucket_table(buckets.GAP_WIDE, "gap_up_percent", f"{none} rate", f"{none} rate")
+        )
+    result["monthly_sma5_of_old_file"] = report_query(
+        f"""select month, total, cast(null as bigint) retraced5, retraced10, {none} rate5, r10 rate10, {none} sma5,
+           avg(r10) over (order by month rows between 4 preceding and current row) sma10
+           from (select *, retraced10*100/total::double r10 from months)""", MONTHS
+    )
+    result["monthly_win_both_of_old_file"] = report_query("select month, '10d' horizon, win10 rate from months", MONTHS)
+    # moving averages and anchors came later, so there is no level to be above or below of
+    result["win_above_below_of_old_file"] = f"select * from ({result['win_above_below']}) where false"
     result["latest_snapshots"] = f"""with {EVENTS} select * from ev
         where day in (select distinct day from ev where day is not null order by day desc limit 10)"""
     return result

@@ -15,7 +15,7 @@ from gapscan.plans.outcomes import candidate_gaps, gap_outcomes
 from gapscan.plans.reports import REPORTS
 from gapscan.plans.summaries import summary_by_date, summary_overall
 from gapscan.schema import LEGACY_NAMES, OUTCOME_COLUMNS
-from gapscan.sources.bars import bars, bars_of, dedupe_bars, trading_dates
+from gapscan.sources.bars import OPEN, bars, bars_of, dedupe_bars, trading_dates
 from gapscan.sources.lineitem_bars import raw_bars
 from gapscan.sources.outcome_files import normalize_outcomes, publish, read_outcomes, write_outcomes
 
@@ -92,25 +92,64 @@ def _retrace_vwap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _retrace_ema21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = followed(spark, sf_dir, "up", indicators.ema())
-    return forward.with_ema_touch(table, "up").select("symbol", "date", "ema_21", *_touches("21ema"))
+def _retrace_ema21(mode: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table = followed(spark, sf_dir, mode, indicators.ema())
+        return forward.with_ema_touch(table, mode).select("symbol", "date", "ema_21", *_touches("21ema"))
 
+    return query
 
-def _measured(columns: list[str], add_measures: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, d: add_measures(followed(spark, d, "up")).select("symbol", "date", *columns)
+
+def _measured(columns: list[str], add_measures: Callable[[DataFrame], DataFrame], mode: str = "up") -> Query:
+    return lambda spark, d: add_measures(followed(spark, d, mode)).select("symbol", "date", *columns)
 
 
 def _horizons(*names: str) -> list[str]:
     return [f"{name}_{h}d" for h in (5, 10) for name in names]
 
 
-def _report(report: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, d: report(published(spark, d))
+def _report(report: Callable[[DataFrame], DataFrame], mode: str = "up") -> Query:
+    return lambda spark, d: report(published(spark, d, mode))
+
+
+#: A range of dates inside the test tables.
+MONTH = ("1995-03-01", "1995-03-31")
+
+#: Reports whose measures an old file lacks in part, and those that treat the two directions differently.
+OLD_FILE_REPORTS = (
+    "overall_rates", "profit_factor_overall", "perf_by_year_5d", "perf_by_year_10d", "monthly_sma5", "monthly_win_5d",
+    "monthly_win_10d", "monthly_win_both", "win_by_gap_5d", "win_by_gap_10d", "win_above_below",
+)
+LONG_REPORTS = (
+    "report_header", "perf_by_year_10d", "perf_by_gap_size_10d", "win_by_avwap_distance_5d", "win_by_avwap_distance_10d", "equity_curve",
+)
+
+#: What outcome files had before they had two horizons.
+OLD_COLUMNS = ("ticker", "date", "gap_up_percent", "open_price", "close_price", "anchored_vwap")
+
+
+def _old_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An outcome file of the oldest kind: one horizon, under its old names."""
+    old = published(spark, sf_dir).select(*OLD_COLUMNS, *LEGACY_NAMES).withColumnsRenamed(LEGACY_NAMES)
+    return publish(normalize_outcomes(old, direction="short"))
+
+
+def _report_of_old_file(name: str) -> Query:
+    return lambda spark, d: REPORTS[name](_old_file(spark, d))
+
+
+def _busy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with volumes as real markets have them."""
+    return unique(spark, sf_dir).withColumn("volume", F.col("volume") * 10_000_000)
+
+
+def _top_gap_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = gaps.top_gaps_per_date(published(spark, sf_dir), size="gap_up_percent", symbol="ticker")
+    return ranked.select("date", "rank", "ticker", "gap_up_percent", *_horizons("retrace_percentage", "mfe_percent", "mae_percent"))
 
 
 def _dated_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dates = trading_dates(raw(spark, sf_dir), "1900-01-01", "2100-01-01")
+    dates = trading_dates(raw(spark, sf_dir), OPEN, OPEN)
     return summary_by_date(gap_outcomes(raw(spark, sf_dir), "up"), dates)
 
 
@@ -130,7 +169,7 @@ def level_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _distinct_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.distinct_blocks(
-        level_changes(spark, sf_dir), ["user_id"], "day", ["ts", "event_id"], "event_type", "level"
+        level_changes(spark, sf_dir), ["user_id"], "day", ["ts", "event_id"], "event_type", "level", F.date_trunc("hour", "ts")
     )
 
 
@@ -174,7 +213,7 @@ def _latest_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "candles_raw": raw,
     "candles_dedup": unique,
-    "trading_dates": lambda s, d: trading_dates(raw(s, d), "1900-01-01", "2100-01-01"),
+    "trading_dates": lambda s, d: trading_dates(raw(s, d), OPEN, OPEN),
     "outcomes_csv_roundtrip": _csv_roundtrip,
     "outcomes_normalized": _normalized,
     "outcomes_published": lambda s, d: published(s, d, "both"),
@@ -205,7 +244,25 @@ QUERIES: dict[str, Query] = {
     "forward_bars": lambda s, d: forward.forward_bars(followed(s, d, "up")),
     "forward_extremes": _measured(_horizons("lowest", "highest"), lambda t: t),
     "retrace_vwap": _retrace_vwap,
-    "retrace_ema21": _retrace_ema21,
+    "retrace_ema21": _retrace_ema21("up"),
+    "retrace_ema21_down": _retrace_ema21("down"),
+    "forward_extremes_down": _measured(_horizons("lowest", "highest"), lambda t: t, "down"),
+    "mfe_mae_down": _measured(
+        _horizons("mfe_dollars", "mae_dollars", "mfe_percent", "mae_percent"), forward.with_excursions, "down"
+    ),
+    "retrace_percent_down": _measured(
+        _horizons("retrace_percentage"), lambda t: forward.with_retrace_percent(t, "down"), "down"
+    ),
+    "gap_closure_down": _measured(
+        _horizons("gap_closure_percentage", "gap_filled"), lambda t: forward.with_gap_closure(t, "down"), "down"
+    ),
+    "gap_outcomes_month": lambda s, d: gap_outcomes(raw(s, d), "up", *MONTH),
+    "top_gap_outcomes": _top_gap_outcomes,
+    "vwap_by_symbol_busy": lambda s, d: gaps.vwap_by_symbol(_busy(s, d)),
+    "avwap_3d_busy": lambda s, d: gaps.with_avwap_3d(_busy(s, d)).select("symbol", "date", "anchored_vwap"),
+    "avwap_quarterly_busy": lambda s, d: indicators.with_anchored_vwap_distances(_busy(s, d)).drop(
+        "open", "high", "low", "volume"
+    ),
     "mfe_mae": _measured(
         _horizons("mfe_dollars", "mae_dollars", "mfe_percent", "mae_percent"), forward.with_excursions
     ),
@@ -224,6 +281,8 @@ QUERIES: dict[str, Query] = {
     "summary_by_date": _dated_summary,
     "summary_overall": lambda s, d: summary_overall(_dated_summary(s, d)),
     **{name: _report(report) for name, report in REPORTS.items()},
+    **{f"{name}_long": _report(REPORTS[name], "down") for name in LONG_REPORTS},
+    **{f"{name}_of_old_file": _report_of_old_file(name) for name in OLD_FILE_REPORTS},
     "changes_only": level_changes,
     "distinct_blocks": _distinct_blocks,
     "grouped_first_seen": lambda s, d: keyed.group_in_first_seen_order(

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Metadata of a column that its file does not have: it is unknown, not a miss on every row.
+ABSENT = {"absent": True}
+
+
+def known(outcomes: DataFrame, name: str) -> bool:
+    return not outcomes.schema[name].metadata.get("absent", False)
+
+
+def if_known(outcomes: DataFrame, name: str, measure: Column) -> Column:
+    """The measure, or null if the table does not have its column."""
+    return measure if known(outcomes, name) else F.lit(None).cast("double")
+
+
 def flag(condition: str) -> Column:
     """A boolean column as 0/1, with unknown counted as 0."""
     return F.coalesce(F.col(condition).cast("int"), F.lit(0))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-# Prices enter sums as whole millionths. A DOUBLE holds whole numbers up to 2^53
-# exactly, so such a sum does not depend on the order in which tasks add, and a
-# difference of two running sums is as exact as a direct sum.
+# Prices enter sums as whole millionths (a rule: what lies beyond six decimals does not
+# count). Money is summed as whole DECIMALs, so sums do not depend on the order in which tasks
+# add, however large the volumes are, and a difference of two running sums is as exact as a
+# direct sum. Plain sums of closes stay DOUBLEs, which hold whole numbers up to 2^53 exactly: a
+# symbol has one close per calendar day, so that is a century of closes up to 240,000.
 PRICE_UNITS = 1_000_000
 
 
@@ -13,13 +15,13 @@ def price_units(price: str) -> str:
 
 
 # Three times the typical price (high + low + close), in price units.
-_TYPICAL = price_units("high + low + close")
-_VOLUME = "coalesce(volume, 0)"
+_TYPICAL = f"try_cast({price_units('high + low + close')} as decimal(18,0))"
+_VOLUME = "cast(coalesce(volume, 0) as decimal(19,0))"
 
 # The four aggregates a VWAP needs.
 VWAP_SUMS = {
     "tpv": f"sum({_TYPICAL} * {_VOLUME})",
-    "vol": f"sum(cast({_VOLUME} as double))",
+    "vol": f"sum({_VOLUME})",
     "tp": f"sum({_TYPICAL})",
     "n": f"count({_TYPICAL})",
 }
@@ -29,8 +31,8 @@ def vwap(tpv: str, vol: str, tp: str, n: str) -> str:
     """Sum(tp * volume) / sum(volume); the plain mean of tp when no volume traded."""
     unit = f"{3 * PRICE_UNITS}D"
     return (
-        f"case when {vol} > 0 then coalesce({tpv}, 0D) / ({vol} * {unit})"
-        f" when {n} > 0 then {tp} / ({n} * {unit}) end"
+        f"case when {vol} > 0 then coalesce(cast({tpv} as double), 0D) / (cast({vol} as double) * {unit})"
+        f" when {n} > 0 then cast({tp} as double) / ({n} * {unit}) end"
     )
 
 

@@ -27,10 +27,6 @@ def with_forward(bars: DataFrame, n: int = FORWARD_BARS) -> DataFrame:
     return add_features(bars, [forward_columns(n)])
 
 
-def drop_forward(df: DataFrame, n: int = FORWARD_BARS) -> DataFrame:
-    return df.drop(*forward_columns(n).windows)
-
-
 def forward_bars(df: DataFrame, n: int = FORWARD_BARS) -> DataFrame:
     """One row per bar and following bar, numbered rn = 1..n. Expects with_forward."""
     following = ", ".join(f"{i}, date_{i}, high_{i}, low_{i}" for i in range(1, n + 1))

@@ -78,7 +78,7 @@ def avwap_room(gaps: DataFrame, mode: str = "up", room: float = DEFAULT_ROOM) ->
     return gaps.where(f"{distance} > 0 and {distance} >= {float(room)}D * prev_close")
 
 
-def top_gaps_per_date(gaps: DataFrame, n: int = 5) -> DataFrame:
-    """The n largest gaps of each date, ranked."""
-    largest = Window.partitionBy("date").orderBy(F.desc("gap_percent"), "symbol")
+def top_gaps_per_date(gaps: DataFrame, n: int = 5, size: str = "gap_percent", symbol: str = "symbol") -> DataFrame:
+    """The n largest gaps of each date, ranked; for outcome tables name their columns."""
+    largest = Window.partitionBy("date").orderBy(F.desc(size), symbol)
     return gaps.withColumn("rank", F.row_number().over(largest)).where(F.col("rank") <= n)

@@ -61,7 +61,11 @@ def with_sma_distances(bars: DataFrame, averages: Sequence[Sma] = STANDARD_SMAS)
     return add_features(bars, [sma_distances(averages)])
 
 
-def ema(span: int = 21, max_bars: int = 50, min_bars: int = 21) -> WindowFeature:
+#: Closes that an EMA starts from at most.
+EMA_BARS = 50
+
+
+def ema(span: int = 21, max_bars: int = EMA_BARS, min_bars: int = 21) -> WindowFeature:
     """ema_<span>, recursive from the oldest of the last max_bars closes.
 
     Null with fewer than min_bars bars. The fold is a plain projection over the
@@ -83,7 +87,7 @@ def ema(span: int = 21, max_bars: int = 50, min_bars: int = 21) -> WindowFeature
     )
 
 
-def with_ema(bars: DataFrame, span: int = 21, max_bars: int = 50, min_bars: int = 21) -> DataFrame:
+def with_ema(bars: DataFrame, span: int = 21, max_bars: int = EMA_BARS, min_bars: int = 21) -> DataFrame:
     return add_features(bars, [ema(span, max_bars, min_bars)])
 
 

@@ -35,18 +35,38 @@ def changes_only(
 
 
 def distinct_blocks(
-    changes: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], attribute: str, value: str
+    changes: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], attribute: str, value: str, chunk: Column
 ) -> DataFrame:
     """Blocks of changed attributes, without those a key already had with the same content.
 
-    A block is one row: its declarations "attribute: value" in order. Of equal blocks
-    of a key the first is kept.
+    One row per declaration of a block that stays: keys, block, ordinal, attribute, value. Of equal
+    blocks of a key the first is kept. Blocks are told apart by their number of rows and two
+    64-bit digests of ordinals and declarations, which are sums, so a block is never gathered; `chunk` cuts
+    it into pieces in order that are numbered in parallel, as in changes_only.
     """
-    declaration = F.concat(F.col(attribute), F.lit(": "), F.col(value).cast("string"))
-    entries = F.collect_list(F.struct(*order, declaration.alias("declaration")))
-    blocks = changes.groupBy(*keys, block).agg(F.array_sort(entries).alias("entries"))
-    texts = blocks.select(*keys, block, F.array_join("entries.declaration", "; ").alias("declarations"))
-    return texts.groupBy(*keys, "declarations").agg(F.min(block).alias(block)).select(*keys, block, "declarations")
+    within = Window.partitionBy(*keys, block, "_chunk").orderBy(*order)
+    pieces = changes.withColumn("_chunk", chunk).withColumn("_local", F.row_number().over(within).cast("bigint"))
+    earlier = Window.partitionBy(*keys, block).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = pieces.groupBy(*keys, block, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    numbered = _joined(pieces, starts, [*keys, block, "_chunk"]).select(
+        *keys, block, (F.col("_local") + F.col("_start")).alias("ordinal"), attribute, value
+    )
+    # A null value differs from an empty text, so whether it is null counts as well.
+    content = ["ordinal", attribute, value, F.col(value).isNull()]
+    digests = [F.sum(F.xxhash64(F.lit(seed), *content).cast("decimal(38,0)")).alias(f"_digest_{seed}") for seed in (1, 2)]
+    blocks = numbered.groupBy(*keys, block).agg(F.count(F.lit(1)).alias("_n"), *digests)
+    firsts = blocks.groupBy(*keys, "_n", "_digest_1", "_digest_2").agg(F.min(block).alias(block)).select(*keys, block)
+    return _joined(numbered, firsts, [*keys, block])
+
+
+def _joined(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left rows with what the right has for the same key, null keys included."""
+    named = right.select(*[F.col(c).alias(f"_right_{c}") if c in on else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for c in on:
+        same &= F.col(c).eqNullSafe(F.col(f"_right_{c}"))
+    return left.join(named, same).drop(*[f"_right_{c}" for c in on])
 
 
 def group_in_first_seen_order(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

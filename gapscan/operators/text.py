@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapscan.operators.keyed import changes_only, distinct_blocks
 
-# The patterns of a flat rule and of a comment.
-RULE_PATTERN = r"([^{]+)\{([^}]+)\}"
+# The pattern of a comment, and that of a flat rule: text up to a brace, then text up to its end.
+# What is no rule is matched as well, a stretch at a time, so that no text is looked at twice.
+RULE_PATTERN = r"([^{]++)\{([^}]++)\}|[^{]++\{?+|\{"
 COMMENT_PATTERN = r"(?s)/\*.*?\*/"
 STYLE_PATTERN = r"(?is)<style[^>]*>(.*?)</style>"
 
@@ -30,26 +31,27 @@ def style_bodies(df: DataFrame, html: str) -> DataFrame:
     return df.withColumn(html, F.array_join(bodies, "\n"))
 
 
-def _declarations(df: DataFrame, text: str) -> DataFrame:
-    """Declarations as extract_rules gives them, with the position of the selector's first rule."""
-    found = df.withColumns({
-        "_selectors": F.transform(F.regexp_extract_all(F.col(text), F.lit(RULE_PATTERN), F.lit(1)), _stripped),
-        "_bodies": F.regexp_extract_all(F.col(text), F.lit(RULE_PATTERN), F.lit(2)),
-    }).drop(text)
-    rules = found.select("*", F.posexplode("_bodies").alias("pos", "_body"))
-    parts = rules.withColumns({
-        "selector": F.get("_selectors", F.col("pos")),
-        "_parts": F.split(_stripped(F.col("_body")), r";\s*"),
-    })
+def _rules(df: DataFrame, text: str) -> DataFrame:
+    """Rules by position with selector and body; linear in the text, whatever braces it has."""
+    # Behind the last closing brace no rule can end.
+    closed = F.expr(f"substring(`{text}`, 1, length(`{text}`) - length(substring_index(`{text}`, '}}', -1)))")
+    groups = [F.regexp_extract_all(closed, F.lit(RULE_PATTERN), F.lit(k)) for k in (1, 2)]
+    matches = F.zip_with(*groups, lambda selector, body: F.struct(selector.alias("selector"), body.alias("body")))
+    found = df.withColumn("_rules", F.filter(matches, lambda rule: rule["selector"] != "")).drop(text)
+    rules = found.select("*", F.posexplode("_rules").alias("pos", "_rule")).drop("_rules")
+    return rules.withColumns({"selector": _stripped(F.col("_rule.selector")), "_body": F.col("_rule.body")}).drop("_rule")
+
+
+def _declarations(rules: DataFrame) -> DataFrame:
+    parts = rules.withColumn("_parts", F.split(_stripped(F.col("_body")), r";\s*"))
     declarations = parts.select("*", F.posexplode("_parts").alias("declaration_pos", "_text")).where(
         F.contains("_text", F.lit(":"))
     )
     halves = declarations.withColumn("_halves", F.split(F.col("_text"), ":", 2))
     return halves.withColumns({
-        "first_pos": (F.array_position("_selectors", F.col("selector")) - 1).cast("int"),
         "attribute": _stripped(F.get("_halves", F.lit(0))),
         "value": _stripped(F.get("_halves", F.lit(1))),
-    }).drop("_selectors", "_bodies", "_body", "_parts", "_text", "_halves")
+    }).drop("_body", "_parts", "_text", "_halves")
 
 
 def extract_rules(df: DataFrame, text: str) -> DataFrame:
@@ -58,17 +60,21 @@ def extract_rules(df: DataFrame, text: str) -> DataFrame:
     Declarations end at semicolons and split at the first colon; text without a colon
     is skipped. The pattern knows flat rules only.
     """
-    return _declarations(df, text).drop("first_pos")
+    return _declarations(_rules(df, text))
 
 
 def clean_rules(df: DataFrame, id: str, text: str) -> DataFrame:
     """Each text's rules grouped by selector in order of first sight, repeats removed.
 
     A declaration stays when it changes what the selector had for the attribute, a
-    rule when its remaining declarations are new for the selector.
+    rule when its remaining declarations are new for the selector. One row per declaration
+    that stays, with the position of its rule and of the selector's first rule.
     """
-    declarations = _declarations(df.select(id, text), text)
+    first = F.min("pos").over(Window.partitionBy(id, "selector"))
+    declarations = _declarations(_rules(df.select(id, text), text).withColumn("first_pos", first))
     key = [id, "selector", "first_pos"]
     order = ["pos", "declaration_pos"]
     changed = changes_only(declarations, [*key, "attribute"], order, "value", F.floor(F.col("pos") / 1000))
-    return distinct_blocks(changed, key, "pos", order, "attribute", "value").orderBy(id, "first_pos", "pos")
+    piece = F.floor(F.col("declaration_pos") / 1000)
+    blocks = distinct_blocks(changed, key, "pos", order, "attribute", "value", piece)
+    return blocks.orderBy(id, "first_pos", "pos", "ordinal")

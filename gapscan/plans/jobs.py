@@ -6,11 +6,12 @@ from collections.abc import Iterable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gapscan.plans.outcomes import gap_outcomes
 from gapscan.plans.reports import REPORTS
 from gapscan.plans.summaries import summary_by_date
-from gapscan.sources.bars import in_dates, trading_dates
+from gapscan.sources.bars import OPEN, trading_dates
 from gapscan.sources.outcome_files import publish, read_outcomes, write_outcomes
 
 
@@ -19,13 +20,23 @@ def analyze(
 ) -> DataFrame:
     """Writes the outcomes of the dates in [start, end] to folder/output-<direction>.
 
-    Without dates, the last 30 days. Returns the summary by date, read back from the
-    written file rather than computed a second time.
+    Without dates, the last 30 days; OPEN leaves a side open. A file has one direction,
+    so mode both is run as its two modes, one after the other. Returns the summary by date, read back from the
+    written files rather than computed a second time.
     """
-    wanted = gap_outcomes(bars, mode, **settings).where(in_dates(start, end))
-    path = f"{folder}/output-{'short' if mode == 'up' else 'long'}"
-    write_outcomes(wanted, path)
-    return summary_by_date(read_outcomes(bars.sparkSession, path), trading_dates(bars, start, end))
+    if mode not in ("up", "down", "both"):
+        raise ValueError(f"mode must be up, down or both, not {mode!r}")
+    spark = bars.sparkSession
+    today, month_ago = spark.range(1).select(F.current_date().cast("string"), F.date_sub(F.current_date(), 30).cast("string")).first()
+    start, end = start or month_ago, end or today
+    bounds = [None if bound == OPEN else bound for bound in (start, end)]
+    read = None
+    for one in ("up", "down") if mode == "both" else (mode,):
+        path = f"{folder}/output-{'short' if one == 'up' else 'long'}"
+        write_outcomes(gap_outcomes(bars, one, *bounds, **settings), path)
+        outcomes = read_outcomes(spark, path)
+        read = outcomes if read is None else read.unionByName(outcomes)
+    return summary_by_date(read, trading_dates(bars, start, end))
 
 
 def report(outcomes: DataFrame, folder: str, names: Iterable[str] | None = None) -> dict[str, str]:

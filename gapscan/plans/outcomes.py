@@ -11,8 +11,8 @@ from gapscan.functions.columns import add, add_features
 from gapscan.functions.prices import by_mode
 from gapscan.operators import forward, gaps, indicators
 from gapscan.operators.indicators import SMA_330, STANDARD_SMAS, Sma
-from gapscan.schema import HORIZONS, OUTCOME_COLUMNS
-from gapscan.sources.bars import dedupe_bars
+from gapscan.schema import HORIZONS, OUTCOME_COLUMNS, QUARTER_ANCHORS
+from gapscan.sources.bars import around_dates, dedupe_bars
 
 
 def candidate_gaps(
@@ -50,7 +50,12 @@ def gap_outcomes(
     the two in one pass. All indicators and forward bars come from windows over one
     partitioning by symbol; rows that are no gap leave right after them. Bars known to
     be unique per symbol and date can skip the de-duplication.
+
+    With dates, only the bars that their measures can look at are read into the windows.
     """
+    if start is not None or end is not None:
+        lookback = max(sma_330.bars, *(a.bars for a in STANDARD_SMAS), indicators.EMA_BARS)
+        bars = around_dates(bars, start, end, max(QUARTER_ANCHORS.values()), lookback, max(HORIZONS))
     unique = dedupe_bars(bars) if deduplicate else bars
     described = indicators.with_anchored_vwap_distances(
         unique,
@@ -61,7 +66,6 @@ def gap_outcomes(
             indicators.ema(),
             forward.forward_columns(),
         ],
-        dates_of=bars if deduplicate else None,
     )
     found = gaps.find_gaps(described, mode, threshold, min_price, max_price)
     found = gaps.avwap_room(found, mode, room)

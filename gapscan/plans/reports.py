@@ -20,6 +20,8 @@ from gapscan.functions.measures import (
     exact_sum,
     flag,
     fraction_profit_factor,
+    if_known,
+    known,
     rate,
     retrace_fraction,
     win_profit_factor,
@@ -43,7 +45,7 @@ def overall_rates(outcomes: DataFrame) -> DataFrame:
     """Rates of AVWAP retracement, 21-EMA retracement and gap fill, per horizon."""
     conditions = {"avwap": "retraced_to_vwap", "ema21": "retraced_to_21ema", "gap_fill": "gap_filled"}
     return outcomes.agg(*[
-        F.round(rate(f"{condition}_{h}d"), 2).alias(f"{name}_rate_{h}d")
+        F.round(if_known(outcomes, f"{condition}_{h}d", rate(f"{condition}_{h}d")), 2).alias(f"{name}_rate_{h}d")
         for name, condition in conditions.items()
         for h in HORIZONS
     ])
@@ -52,23 +54,28 @@ def overall_rates(outcomes: DataFrame) -> DataFrame:
 def profit_factor_overall(outcomes: DataFrame) -> DataFrame:
     """Profit factor of the retrace fractions per horizon; 0 when there is no loss nor profit."""
     return outcomes.agg(*[
-        F.coalesce(F.round(fraction_profit_factor(f"retrace_percentage_{h}d"), 2), F.lit(0.0)).alias(
-            f"profit_factor_{h}d"
-        )
+        if_known(
+            outcomes,
+            f"retrace_percentage_{h}d",
+            F.coalesce(F.round(fraction_profit_factor(f"retrace_percentage_{h}d"), 2), F.lit(0.0)),
+        ).alias(f"profit_factor_{h}d")
         for h in HORIZONS
     ])
 
 
-def _performance(h: int) -> list[Column]:
+def _performance(outcomes: DataFrame, h: int) -> list[Column]:
     measures = {
-        "avwap_rate": rate(f"retraced_to_vwap_{h}d"),
-        "avwap_pf": fraction_profit_factor(f"retrace_percentage_{h}d"),
-        "gap_close_rate": rate(f"gap_filled_{h}d"),
-        "gap_close_pf": win_profit_factor(f"gap_filled_{h}d"),
-        "ema21_rate": rate(f"retraced_to_21ema_{h}d"),
-        "ema21_pf": win_profit_factor(f"retraced_to_21ema_{h}d"),
+        "avwap_rate": (rate, f"retraced_to_vwap_{h}d"),
+        "avwap_pf": (fraction_profit_factor, f"retrace_percentage_{h}d"),
+        "gap_close_rate": (rate, f"gap_filled_{h}d"),
+        "gap_close_pf": (win_profit_factor, f"gap_filled_{h}d"),
+        "ema21_rate": (rate, f"retraced_to_21ema_{h}d"),
+        "ema21_pf": (win_profit_factor, f"retraced_to_21ema_{h}d"),
     }
-    return [F.count(F.lit(1)).alias("trades"), *[_two_decimals(m).alias(name) for name, m in measures.items()]]
+    return [
+        F.count(F.lit(1)).alias("trades"),
+        *[_two_decimals(if_known(outcomes, of, measure(of))).alias(name) for name, (measure, of) in measures.items()],
+    ]
 
 
 def _two_decimals(measure: Column) -> Column:
@@ -78,12 +85,12 @@ def _two_decimals(measure: Column) -> Column:
 
 def performance_by_year(outcomes: DataFrame, h: int) -> DataFrame:
     dated = outcomes.where(F.col("date").isNotNull())
-    return dated.groupBy(F.year("date").alias("year")).agg(*_performance(h)).orderBy("year")
+    return dated.groupBy(F.year("date").alias("year")).agg(*_performance(outcomes, h)).orderBy("year")
 
 
 def performance_by_gap_size(outcomes: DataFrame, h: int) -> DataFrame:
     """Performance per gap size bucket; empty buckets have 0 trades and null measures."""
-    grouped = _by_bucket(outcomes, buckets.GAP_SIZE, F.col("gap_up_percent")).agg(*_performance(h))
+    grouped = _by_bucket(outcomes, buckets.GAP_SIZE, F.col("gap_up_percent")).agg(*_performance(outcomes, h))
     return _ordered(buckets.GAP_SIZE.complete(grouped, counts=["trades"]))
 
 
@@ -112,7 +119,10 @@ def monthly_sma5(outcomes: DataFrame) -> DataFrame:
         .groupBy(_month().alias("month"))
         .agg(
             F.count("ticker").alias("total"),
-            *[F.sum(flag(f"retraced_to_vwap_{h}d")).alias(f"retraced{h}") for h in HORIZONS],
+            *[
+                if_known(outcomes, f"retraced_to_vwap_{h}d", F.sum(flag(f"retraced_to_vwap_{h}d"))).cast("bigint").alias(f"retraced{h}")
+                for h in HORIZONS
+            ],
         )
     )
     share = lambda h: F.when(F.col("total") > 0, F.col(f"retraced{h}") * 100 / F.col("total"))
@@ -126,16 +136,16 @@ def _monthly_rates(outcomes: DataFrame) -> DataFrame:
 
 
 def monthly_win(outcomes: DataFrame, h: int) -> DataFrame:
-    """Win rate per month with its mean over the last 14 months there are."""
-    rates = _monthly_rates(outcomes).select("month", F.col(f"rate{h}").alias("rate"))
+    """Win rate per month with its mean over the last 14 months there are; no rows for a horizon that is not known."""
+    rates = _monthly_rates(outcomes).where(F.lit(known(outcomes, f"retraced_to_vwap_{h}d"))).select("month", F.col(f"rate{h}").alias("rate"))
     return rates.withColumn("ma14", _trailing_mean("rate", 14)).orderBy("month")
 
 
 def monthly_win_both(outcomes: DataFrame) -> DataFrame:
-    """Win rate per month and horizon, one row each."""
-    return _monthly_rates(outcomes).selectExpr(
-        "month", "stack(2, '5d', rate5, '10d', rate10) as (horizon, rate)"
-    ).orderBy("month", "horizon")
+    """Win rate per month and known horizon, one row each."""
+    have = F.array(*[F.lit(f"{h}d") for h in HORIZONS if known(outcomes, f"retraced_to_vwap_{h}d")]).cast("array<string>")
+    long = _monthly_rates(outcomes).selectExpr("month", "stack(2, '5d', rate5, '10d', rate10) as (horizon, rate)")
+    return long.where(F.array_contains(have, F.col("horizon"))).orderBy("month", "horizon")
 
 
 def gap_histogram(outcomes: DataFrame, bins: int = 40) -> DataFrame:
@@ -161,8 +171,11 @@ def gap_histogram(outcomes: DataFrame, bins: int = 40) -> DataFrame:
 
 
 def gap_box(outcomes: DataFrame) -> DataFrame:
-    """Five-number summary of the gap size, from counts of the distinct rounded values."""
-    gap = F.col("gap_up_percent")
+    """Five-number summary of the gap size in two decimals, from counts of the distinct values.
+
+    Rounding bounds their number, whatever the table: gaps of up to 1,000 percent have 100,000.
+    """
+    gap = F.round("gap_up_percent", 2)
     counted = outcomes.where(gap.isNotNull()).groupBy(gap.alias("gap")).agg(F.count(F.lit(1)).alias("n"))
     five = counted.agg(F.expr("percentile(gap, array(0.0, 0.25, 0.5, 0.75, 1.0), n)").alias("q"))
     names = ("lowest", "lower_quartile", "median", "upper_quartile", "highest")
@@ -179,7 +192,9 @@ def retrace_by_gap_bucket(outcomes: DataFrame) -> DataFrame:
 
 
 def _win_by(outcomes: DataFrame, which: Buckets, value: Column, h: int) -> DataFrame:
-    grouped = _by_bucket(outcomes, which, value).agg(rate(f"retraced_to_vwap_{h}d").alias("rate"))
+    grouped = _by_bucket(outcomes, which, value).agg(
+        if_known(outcomes, f"retraced_to_vwap_{h}d", rate(f"retraced_to_vwap_{h}d")).alias("rate")
+    )
     return _ordered(which.complete(grouped))
 
 
@@ -223,7 +238,10 @@ def _above_below(outcomes: DataFrame, levels: dict[str, str]) -> DataFrame:
         f"'{level}', '{side}', '{h}d', n_{i}, w{h}_{i}"
         for i, (level, side, _, _) in enumerate(sides)
         for h in HORIZONS
+        if known(outcomes, f"retraced_to_vwap_{h}d")
     ]
+    if not rows:
+        return outcomes.limit(0).selectExpr("'' as level", "'' as side", "'' as horizon", "0D as rate")
     long = counts.selectExpr(f"stack({len(rows)}, {', '.join(rows)}) as (level, side, horizon, n, wins)")
     return long.where("n > 0").selectExpr("level", "side", "horizon", "wins / n * 100 as rate")
 
@@ -270,10 +288,10 @@ def pnl_totals(outcomes: DataFrame) -> DataFrame:
 def equity_curve(outcomes: DataFrame) -> DataFrame:
     """Running profit over trades by date, per horizon; a horizon without any profit is left out.
 
-    Within a date trades run by chunk, a hash digit pair of the ticker, then ticker.
-    A running sum is what its date started with, plus what its chunk started with,
+    Within a date trades run by ticker. Tickers are cut into chunks by their first letters, which
+    keeps their order. A running sum is what its date started with, plus what its chunk started with,
     plus the running sum in the chunk. So a date with very many trades is split into
-    256 tasks' worth, and only sums per date meet in one place.
+    many tasks' worth, and only sums per date meet in one place.
     """
     long = (
         trade_pnl(outcomes)
@@ -282,7 +300,7 @@ def equity_curve(outcomes: DataFrame) -> DataFrame:
             "pnl": F.col("pnl").cast(_MONEY),
             # Trades without a date come last.
             "day": F.coalesce(F.unix_date("date"), F.lit(2**31 - 1)),
-            "chunk": F.substring(F.md5(F.coalesce("ticker", F.lit(""))), 1, 2),
+            "chunk": F.substring(F.coalesce("ticker", F.lit("")), 1, 3),
         })
         .repartition("horizon", "day", "chunk")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gapscan.functions.columns import add
@@ -49,11 +49,45 @@ def dedupe_bars(df: DataFrame) -> DataFrame:
     return ranked.where("_copy = 1").drop("_copy")
 
 
+#: A bound that leaves its side open.
+OPEN = "open"
+
+
 def in_dates(start: str | None = None, end: str | None = None) -> Column:
-    """Whether a row's date lies in [start, end]; by default in the last 30 days."""
-    first = F.to_date(F.lit(start)) if start else F.date_sub(F.current_date(), 30)
-    last = F.to_date(F.lit(end)) if end else F.current_date()
-    return F.col("date").between(first, last)
+    """Whether a row's date lies in [start, end]; by default in the last 30 days. A bound of OPEN is none."""
+    inside = F.col("date").isNotNull()
+    if start != OPEN:
+        inside &= F.col("date") >= (F.to_date(F.lit(start)) if start else F.date_sub(F.current_date(), 30))
+    if end != OPEN:
+        inside &= F.col("date") <= (F.to_date(F.lit(end)) if end else F.current_date())
+    return inside
+
+
+def around_dates(df: DataFrame, start: str | None, end: str | None, days: int, before: int, after: int) -> DataFrame:
+    """The bars that measures of the dates in [start, end] can look at; None leaves a side open.
+
+    Kept are all dates from `days` before the quarter of `start` up to `end`, and of each
+    symbol the last `before` dates earlier than that and the first `after` dates later than `end`. The
+    two are rank limits, which Spark applies before it shuffles; dates between go to the scan as a filter.
+    Bars without a date come before all others.
+    """
+    inside, parts = F.lit(True), []
+    by_symbol = Window.partitionBy("symbol")
+    if start is not None:
+        first = F.date_sub(F.trunc(F.to_date(F.lit(start)), "quarter"), days)
+        inside &= F.col("date") >= first
+        earlier = df.where((F.col("date") < first) | F.col("date").isNull())
+        rank = F.dense_rank().over(by_symbol.orderBy(F.desc_nulls_last("date")))
+        parts.append(earlier.withColumn("_rank", rank).where(F.col("_rank") <= before).drop("_rank"))
+    if end is not None:
+        last = F.to_date(F.lit(end))
+        inside &= (F.col("date") <= last) if start is not None else (F.col("date") <= last) | F.col("date").isNull()
+        rank = F.dense_rank().over(by_symbol.orderBy("date"))
+        parts.append(df.where(F.col("date") > last).withColumn("_rank", rank).where(F.col("_rank") <= after).drop("_rank"))
+    kept = df.where(inside)
+    for part in parts:
+        kept = kept.unionByName(part)
+    return kept
 
 
 def trading_dates(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:

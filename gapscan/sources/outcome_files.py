@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gapscan.functions.measures import ABSENT
 from gapscan.schema import LEGACY_NAMES, OUTCOME_COLUMNS
 
 
 def publish(outcomes: DataFrame) -> DataFrame:
     """Outcomes rounded to two decimals, the form that is written and reported on."""
     return outcomes.select(
-        *[F.round(f.name, 2).alias(f.name) if f.dataType.simpleString() == "double" else f.name
+        *[F.round(f.name, 2).alias(f.name, metadata=f.metadata) if f.dataType.simpleString() == "double" else f.name
           for f in outcomes.schema.fields]
     )
 
@@ -38,13 +39,13 @@ def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def direction_of(path: str) -> str:
-    """Trade direction as the file name tells it."""
-    name = path.lower()
+    """Trade direction as the file's own name tells it, whatever folders it lies in."""
+    name = path.rstrip("/").rsplit("/", 1)[-1].lower()
     return "long" if "long" in name else "short" if "short" in name else "unknown"
 
 
 def normalize_outcomes(df: DataFrame, direction: str | None = None) -> DataFrame:
-    """The outcome columns in order, from today's or older names; absent ones are null.
+    """The outcome columns in order, from today's or older names; absent ones are null and marked as unknown.
 
     A direction column is kept when there is one, else filled with the given direction.
     """
@@ -53,7 +54,7 @@ def normalize_outcomes(df: DataFrame, direction: str | None = None) -> DataFrame
     def column(name: str, kind: str) -> Column:
         source = name if name in kinds else LEGACY_NAMES.get(name)
         if source not in kinds:
-            return F.lit(None).cast(kind).alias(name)
+            return F.lit(None).cast(kind).alias(name, metadata=ABSENT)
         if kind == "date":
             value = F.try_to_timestamp(source).cast("date") if kinds[source] == "string" else F.col(source).cast("date")
         elif kind == "int" and kinds[source] == "string":
