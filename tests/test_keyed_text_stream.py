@@ -43,10 +43,25 @@ def test_distinct_blocks_keep_the_first(spark):
     rows = [("k", 1, 1, "color", "red"), ("k", 1, 2, "size", "1"), ("k", 2, 3, "size", "1"), ("k", 2, 4, "color", "red"),
             ("k", 3, 5, "color", "red"), ("k", 3, 6, "size", "1"), ("j", 3, 7, "color", "red")]
     table = spark.createDataFrame(rows, "key string, block int, pos int, attribute string, value string")
-    found = keyed.distinct_blocks(table, ["key"], "block", ["pos"], "attribute", "value").collect()
-    assert sorted((r.key, r.block, r.declarations) for r in found) == [
-        ("j", 3, "color: red"), ("k", 1, "color: red; size: 1"), ("k", 2, "size: 1; color: red")
-    ]
+    for size in (1, 2, 100):
+        found = keyed.distinct_blocks(table, ["key"], "block", ["pos"], "attribute", "value", F.floor(F.col("pos") / size))
+        assert found.columns == ["key", "block", "ordinal", "attribute", "value"]
+        assert sorted(map(tuple, found.collect())) == [
+            ("j", 3, 1, "color", "red"), ("k", 1, 1, "color", "red"), ("k", 1, 2, "size", "1"), ("k", 2, 1, "size", "1"), ("k", 2, 2, "color", "red")
+        ]
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_busy_block_is_numbered_in_pieces(spark):
+    """One key and one block hold most rows; null keys, null values and an equal later block."""
+    rows = [("k", 1, i, "a", str(i % 7) if i % 5 else None) for i in range(3000)]
+    rows += [("k", 2, 5000 + i, "a", str(i % 7) if i % 5 else None) for i in range(3000)]
+    rows += [(None, 1, 9000, "a", None), (None, 2, 9001, "a", ""), (None, 3, 9002, "a", None)]
+    random.Random(2).shuffle(rows)
+    table = spark.createDataFrame(rows, "key string, block int, pos int, attribute string, value string")
+    found = keyed.distinct_blocks(table, ["key"], "block", ["pos"], "attribute", "value", F.floor(F.col("pos") / 50)).collect()
+    assert sorted((r.ordinal, r.value or "-") for r in found if r.key) == sorted((i + 1, str(i % 7) if i % 5 else "-") for i in range(3000))
+    assert {r.block for r in found if r.key} == {1} and {r.block for r in found if not r.key} == {1, 2}
 
 
 def test_groups_in_first_seen_order(spark):
@@ -58,6 +73,8 @@ def test_groups_in_first_seen_order(spark):
     ]
 
 
+PLAIN_RULE = r"([^{]+)\{([^}]+)\}"
+
 SHEET = """
 .late { nothing }
 /* a { b: c } */
@@ -77,7 +94,7 @@ def clean_by_hand(css):
     import re
 
     groups = {}
-    for selector, body in re.findall(text.RULE_PATTERN, css):
+    for selector, body in re.findall(PLAIN_RULE, css):
         groups.setdefault(selector.strip(), []).append(body)
     blocks = []
     for selector, bodies in groups.items():
@@ -92,10 +109,36 @@ def clean_by_hand(css):
                     changed.append(f"{name}: {value}")
             if changed and tuple(changed) not in done:
                 done.add(tuple(changed))
-                blocks.append((selector, "; ".join(changed)))
+                blocks += [(selector, declaration) for declaration in changed]
     return blocks
 
 
+def test_rules_are_those_of_the_plain_pattern(spark):
+    import re
+
+    rng = random.Random(4)
+    texts = ["", "{", "}", "{}", "a{}b{c:d}", "a{b{c:d}", "{{a{b:c}", "a}b{c:d}e", "x{a:b}}{c:d}", "tail{a:b} none", "a{b:c"]
+    texts += ["".join(rng.choices(["{", "}", "a", "b:c", " ", "\n", ";"], k=rng.randint(1, 14))) for _ in range(3000)]
+    table = spark.createDataFrame(list(enumerate(texts)) + [(-1, None)], "id int, css string")
+    found = {}
+    for r in text._rules(table, "css").collect():
+        found.setdefault(r.id, []).append((r.pos, r.selector, r._body))
+    for i, css in enumerate(texts):
+        want = [(k, s.strip(), b) for k, (s, b) in enumerate(re.findall(PLAIN_RULE, css))]
+        assert found.get(i, []) == want, css
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+
+    texts = [("no brace " * 120_000,), (".a { b: c; d: e } " * 55_000,), ("{" * 1_000_000,), ("a{" * 500_000,), ("a}" * 500_000,), ("a{}" * 300_000,)]
+    spark.createDataFrame([("a{b:c}",)], "css string").transform(text.extract_rules, "css").count()
+    for (css,), rules in zip(texts, (0, 110_000, 0, 0, 0, 0)):
+        start = time.time()
+        assert text.extract_rules(spark.createDataFrame([(css,)], "css string"), "css").count() == rules
+        assert time.time() - start < 8
+
+
 def test_comments_and_rules(spark):
     pages = spark.createDataFrame([(1, SHEET), (2, "a/*x*/b/* y\n z */c"), (3, "/* open"), (4, None)], "id int, css string")
     stripped = text.strip_comments(pages, "css")
@@ -106,8 +149,8 @@ def test_comments_and_rules(spark):
         (1, ".box", "color", "red"), (1, ".box", "size", "1"), (1, ".box", "url", "http://x/y"), (2, "p", "margin", "0")
     ]
     cleaned = text.clean_rules(stripped, "id", "css").where("id = 1").collect()
-    assert [(r.selector, r.declarations) for r in cleaned] == clean_by_hand(found[1].css)
-    assert len(cleaned) == 5 and cleaned[0].selector == ".late"
+    assert [(r.selector, f"{r.attribute}: {r.value}") for r in cleaned] == clean_by_hand(found[1].css)
+    assert len({(r.selector, r.pos) for r in cleaned}) == 5 and cleaned[0].selector == ".late"
 
 
 def test_style_bodies(spark):

@@ -8,7 +8,7 @@ from gapscan.operators.gaps import add_features
 from gapscan.plans.outcomes import gap_outcomes
 from gapscan.plans.summaries import summary_by_date, summary_overall
 from gapscan.schema import OUTCOME_COLUMNS
-from gapscan.sources.bars import bars_of, dedupe_bars, save_bucketed, trading_dates
+from gapscan.sources.bars import around_dates, bars_of, dedupe_bars, save_bucketed, trading_dates
 
 from helpers import bar, brute_outcomes, close, day, frame, random_bars, rows_by
 
@@ -230,3 +230,65 @@ def test_bucketed_bars_need_no_shuffle(spark):
     plan = outcomes._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" in plan and "hashpartitioning" not in plan
     assert sorted(map(tuple, outcomes.collect()), key=repr) == sorted(map(tuple, gap_outcomes(bars, "up").collect()), key=repr)
+
+
+def sparse_bars(seed: int):
+    """Random bars, a symbol with a bar a month, one with six-day gaps, one that ends early, and one without a date."""
+    bars = random_bars(seed, days=900)
+    bars += [bar("MONTHLY", 30 * i, 50 + 3 * (i % 4), close=50 + i % 3) for i in range(60)]
+    bars += [bar("SIXDAYS", 6 * i, 60 + 4 * (i % 3), close=60 + 2 * (i % 4)) for i in range(150)]
+    bars += [bar("ENDS", i, 40 + 3 * (i % 5), close=40 + 2 * (i % 3)) for i in range(610)]
+    bars += [("MONTHLY", None, 50.0, 50.0, 50.0, 50.0, 5)]
+    return bars
+
+
+@pytest.mark.parametrize("start,end", [("2021-08-20", "2021-09-10"), ("2021-06-01", None), (None, "2020-07-15"), ("2021-09-02", "2021-09-02")])
+@pytest.mark.parametrize("strict", [False, True])
+def test_dates_limit_the_bars_and_not_the_results(spark, start, end, strict):
+    bars = frame(spark, sparse_bars(7))
+    settings = dict(sma_330=indicators.SMA_330_STRICT) if strict else {}
+    whole = [r for r in gap_outcomes(bars, "both", **settings).collect()
+             if (not start or str(r.date) >= start) and (not end or str(r.date) <= end)]
+    part = gap_outcomes(bars, "both", start, end, **settings).collect()
+    assert sorted(map(tuple, part), key=repr) == sorted(map(tuple, whole), key=repr) and whole
+
+
+def test_few_bars_are_left_around_dates(spark):
+    bars = frame(spark, [bar("A", i, 50) for i in range(3000)])
+    kept = around_dates(bars, "2026-01-05", "2026-01-20", 365, 330, 10)
+    assert kept.count() == 365 + 20 + 330 + 10
+
+
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plan_reads_bars_once_and_limits_before_the_shuffle(spark, tmp_path):
+    frame(spark, random_bars(8)).write.parquet(str(tmp_path / "bars"))
+    bars = spark.read.parquet(str(tmp_path / "bars"))
+    plan = executed(gap_outcomes(bars, "up")).split("Initial Plan")[0]
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert len(scans) == 2 and sum("EqualTo(symbol,SPY)" in s for s in scans) == 1
+    month = gap_outcomes(bars, "up", "2020-06-01", "2020-06-30")
+    text = month._jdf.queryExecution().sparkPlan().toString()
+    assert text.count("dense_rank(date") >= 4 and "WindowGroupLimit" in text
+    explained = executed(month).split("Initial Plan")[0]
+    inner = [i for i, line in enumerate(explained.splitlines()) if "WindowGroupLimit" in line and "Partial" in line]
+    assert inner and "GreaterThanOrEqual(date" in explained
+
+
+def test_money_sums_are_exact_at_real_volumes(spark):
+    from fractions import Fraction
+
+    rng = random.Random(3)
+    bars = [bar("A", i, 500 + rng.randint(0, 9999) / 100, volume=rng.randint(1, 10**9)) for i in range(3000)]
+    tpv = sum(Fraction(round((h + l + c) * 10**6)) * v for _, _, _, h, l, c, v in bars)
+    volume = sum(b[6] for b in bars)
+    want = float(tpv) / (float(volume) * 3_000_000.0)
+    for _ in range(3):
+        rng.shuffle(bars)
+        table = frame(spark, bars).repartition(7)
+        assert gaps.vwap_by_symbol(table).first().vwap == want
+    quarterly = [sorted(map(tuple, indicators.with_anchored_vwap_distances(frame(spark, b)).collect()), key=repr) for b in (bars, bars[::-1])]
+    assert quarterly[0] == quarterly[1]

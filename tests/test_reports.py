@@ -176,7 +176,9 @@ def test_reading_old_and_broken_files(spark, tmp_path):
     assert (a.date, a.gap_up_percent, a.retraced_to_vwap_10d, a.retrace_percentage_10d) == (dt.date(2020, 1, 2), 3.5, True, 50.0)
     assert (a.mfe_percent_10d, a.days_to_retrace_5d, a.retraced_to_vwap_5d, a.direction) == (7.25, 3, None, "short")
     assert (b.date, b.gap_up_percent, b.retraced_to_vwap_10d, b.retrace_percentage_10d) == (None, None, False, None)
-    assert [direction_of(p) for p in ("x/output-LONG.csv", "short.csv", "other.csv")] == ["long", "short", "unknown"]
+    assert [direction_of(p) for p in ("x/output-LONG.csv", "short.csv", "other.csv", "/lake/longrun/output-short", "/short/a/output-long/", "/longs/x")] == [
+        "long", "short", "unknown", "short", "long", "unknown"
+    ]
 
 
 def test_current_name_wins_over_old_one(spark):
