@@ -146,36 +146,58 @@ def sequence_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+#: Edges that one task contracts at once.
+EDGES_A_TASK = 200_000
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a partition as stars: each node with the smallest one that it reaches by them."""
+    parent: dict[int, int] = {}
+
+    def root(a: int) -> int:
+        while parent.setdefault(a, a) != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        return a
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    nodes = [n for n in parent if root(n) != n]
+    for at in range(0, len(nodes), 50_000):
+        part = nodes[at : at + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array([root(n) for n in part], pa.int64()), pa.array(part, pa.int64())], names=["lo", "hi"])
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, component) of all nodes on `edges`: the smallest node that is reachable.
 
-    Alternates large and small stars. Each round is an aggregate of minima, combined
-    before its shuffle, and a join back, so no list of neighbours is built; rounds are
-    written tables. Converges in a logarithmic number of rounds.
+    Each round contracts parts of EDGES_A_TASK edges to stars, in parallel, and, as long as there is
+    more than one part, alternates large and small stars over all of them: an aggregate of minima, combined
+    before its shuffle, and a join back, so no list of neighbours is built. Rounds are written tables.
+    Converges in a logarithmic number of rounds.
     """
-    pairs = (
-        edges.select(F.least(left, right).alias("lo"), F.greatest(left, right).alias("hi"))
-        .where("lo < hi")
-        .distinct()
-    )
-    pairs = written(pairs)
+    pairs = edges.select(F.least(left, right).cast("bigint").alias("lo"), F.greatest(left, right).cast("bigint").alias("hi")).where("lo < hi")
+    pairs = written(pairs.distinct())
     state = None
     while True:
-        both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
-            pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-        )
+        n = pairs.count()
+        parts = max(1, -(-n // EDGES_A_TASK))
+        pairs = pairs.repartition(parts).mapInArrow(_contract, "lo bigint, hi bigint")
+        if parts == 1:
+            pairs = written(pairs)
+            break
+        pairs = written(pairs.distinct())
+        both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         large = written(large.where("lo < hi").distinct())
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = large.join(low, "hi")
-        small = joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("lo < hi").union(
-            low.select("hi", F.col("m").alias("lo"))
-        )
-        pairs = written(small.distinct())
-        row = pairs.agg(
-            F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")), F.sum("lo")
-        ).first()
+        small = large.join(low, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("lo < hi")
+        pairs = written(small.union(low.select("hi", F.col("m").alias("lo"))).select("lo", "hi").distinct())
+        row = pairs.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")), F.sum("lo")).first()
         if tuple(row) == state:
             break
         state = tuple(row)

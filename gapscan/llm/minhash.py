@@ -33,6 +33,11 @@ CLOSE = int(M * SIMILARITY - 3.8 * (M * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
 #: Pairs that share a representative in one task.
 PAIRS_A_TASK = 5000
 
+#: Members of a bucket that a task compares at once.
+BLOCK = 1024
+#: What the collision of short hashes can do to a similarity; pairs near the threshold are compared by their texts.
+MARGIN = 0.005
+
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,6 +88,10 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     """Exact similarity of two multisets, each (sorted hashes, counts)."""
     if not len(a[0]) or not len(b[0]):
         return 0.0
+    if a[1].max() == b[1].max() == 1:  # of sets it is the plain one
+        place = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+        shared = int((a[0][place] == b[0]).sum())
+        return shared / (len(a[0]) + len(b[0]) - shared)
     keys = np.union1d(a[0], b[0])
     x, y = np.zeros(len(keys)), np.zeros(len(keys))
     x[np.searchsorted(keys, a[0])] = a[1]
@@ -161,7 +170,124 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _band_rows(signs: DataFrame) -> DataFrame:
     bands = F.array(*[F.xxhash64(F.lit(k), F.expr(f"substring(signature, {2 * ROWS * k + 1}, {2 * ROWS})")) for k in range(BANDS)])
-    return signs.select("id", F.explode(bands).alias("bucket"))
+    return signs.select("id", F.posexplode(bands).alias("band", "bucket"))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of a bucket in blocks: each block's own (kind 0), then those of the blocks before it (kind 1)."""
+    sizes = rows.groupBy("bucket").agg(F.expr(f"count(*) div {BLOCK} + 1").alias("blocks"))
+    placed = rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    later = placed.where("block + 1 < blocks").withColumn("block", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)))
+    both = placed.withColumn("kind", F.lit(0)).unionByName(later.withColumn("kind", F.lit(1))).drop("blocks")
+    return both.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "kind", "id")
+
+
+class _Block:
+    """Members of a bucket that are compared with each other if they are in different components.
+
+    Without shingles it finds the members that are close to some other; with them, pairs that are
+    similar and whose components are still apart here.
+    """
+
+    def __init__(self, rows: list[tuple]):
+        self.mine = self.arrays(rows)
+        self.close: set[int] = set()
+        self.pairs: list[tuple[int, int]] = []
+        self.parent: dict[int, int] = {}
+        self.compare(*self.mine, np.arange(len(rows)))
+
+    @staticmethod
+    def arrays(rows: list[tuple]) -> tuple:
+        ids, components_, bands, signs, sketches = zip(*rows, strict=True)
+        return np.array(ids), np.array(components_), bands[0], np.array([np.frombuffer(x, np.uint16) for x in signs]), [_counted(x) for x in sketches]
+
+    def root(self, a: int) -> int:
+        while self.parent.setdefault(a, a) != a:
+            self.parent[a] = self.parent[self.parent[a]]
+            a = self.parent[a]
+        return a
+
+    def compare(self, ids, components_, band, signs, sketches, places=None) -> None:
+        own_ids, own_components, _, own_signs, own_sketches = self.mine
+        for at in range(0, len(ids), 32):
+            equal = signs[at : at + 32, None, :] == own_signs[None]
+            q, k = np.nonzero(equal.sum(axis=2, dtype=np.int16) >= CLOSE)
+            keep = components_[at + q] != own_components[k]
+            if places is not None:
+                keep &= places[at + q] < k
+            q, k = q[keep], k[keep]
+            # a pair counts in the first band that it shares
+            keep = equal[q, k].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            for i, j in zip((at + q[keep]).tolist(), k[keep].tolist(), strict=True):
+                if sketches[i] is None:
+                    self.close |= {int(ids[i]), int(own_ids[j])}
+                    continue
+                x, y = self.root(int(components_[i])), self.root(int(own_components[j]))
+                if x != y:
+                    similarity = probability_jaccard(sketches[i], own_sketches[j])
+                    if similarity >= SIMILARITY - MARGIN:
+                        self.pairs.append((int(ids[i]), int(own_ids[j])))
+                    if similarity >= SIMILARITY + MARGIN:
+                        self.parent[max(x, y)] = min(x, y)
+
+
+def _counted(sketch: bytes | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Different hashes and their counts of a sketch, which lists its shingles sorted."""
+    return None if sketch is None else np.unique(np.frombuffer(sketch, np.uint32), return_counts=True)
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, id, null) for close members, or (bucket, id, id) for similar pairs."""
+    key, rows, block, waiting = None, [], None, []
+
+    def ask() -> None:
+        if waiting:
+            block.compare(*_Block.arrays(waiting))
+            waiting.clear()
+
+    def result() -> pa.RecordBatch:
+        nonlocal block, rows
+        if block is None:
+            block = _Block(rows)
+        ask()
+        found = [(i, None) for i in sorted(block.close)] + block.pairs
+        out = [[key[0]] * len(found), [a for a, _ in found], [b for _, b in found]]
+        block, rows = None, []
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["bucket", "a", "b"])
+
+    for batch in batches:
+        for bucket, part, kind, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (bucket, part) != key:
+                if rows:
+                    yield result()
+                key, rows, block = (bucket, part), [], None
+                waiting.clear()
+            if kind == 0:
+                rows.append(tuple(row))
+            elif rows:
+                if block is None:
+                    block = _Block(rows)
+                waiting.append(tuple(row))
+                if len(waiting) >= BLOCK:
+                    ask()
+    if rows:
+        yield result()
+
+
+APART = "bucket bigint, a bigint, b bigint"
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All shingles of each text, repeated ones too, as sorted 32-bit hashes."""
+    for batch in batches:
+        for part in pieces(batch, "text", PIECE_BYTES // 2):
+            texts, hashes, counts = shingles(Words(part.column(1)))
+            small = (hashes >> np.uint64(32)).astype(np.uint32)
+            order = np.lexsort((small, texts))
+            texts, small = np.repeat(texts[order], counts[order]), np.repeat(small[order], counts[order])
+            first = np.searchsorted(texts, np.arange(part.num_rows + 1))
+            found = pa.array([small[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), found], names=["id", "sketch"])
 
 
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -183,22 +309,31 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = stars.select("a", (F.col("x") + F.col("y") - F.col("a")).alias("b"))
     links = written(verified(stars, docs))
     # members of one bucket that are in different components still
-    known = components(links)
-    placed = buckets.select("bucket", "id").join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    known = written(components(links))
+    placed = buckets.select("bucket", "band", "id").join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     apart = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket")
-    open_rows = written(placed.join(apart, "bucket").join(equal.select("id", "signature"), "id"))
-    alike = "+".join(f"if(substring(l.signature, {2 * k + 1}, 2) = substring(r.signature, {2 * k + 1}, 2), 1, 0)" for k in range(M))
-    left, right = open_rows.alias("l"), open_rows.alias("r")
-    close = left.join(
-        right, F.expr(f"l.bucket = r.bucket and l.component < r.component and {alike} >= {CLOSE}")
-    ).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(verified(written(close.join(tried, ["a", "b"], "left_anti")), docs))
+    columns = ["bucket", "block", "kind", "id", "component", "band", "signature", "sketch"]
+    opened = placed.join(apart, "bucket").join(equal.select("id", "signature"), "id").withColumn("sketch", F.lit(None).cast("binary"))
+    opened = written(opened)
+    close = written(_dealt(opened).select(*columns).mapInArrow(_apart, APART).select("bucket", F.col("a").alias("id")).distinct())
+    wanted = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(close.select("id").distinct(), "id")
+    sketches = wanted.mapInArrow(_sketch, "id bigint, sketch binary").dropDuplicates(["id"])
+    near = opened.drop("sketch").join(close, ["bucket", "id"]).join(sketches, "id")
+    similar = _dealt(near).select(*columns).mapInArrow(_apart, APART)
+    similar = written(similar.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    more = written(verified(similar, docs))
     if not more.isEmpty():
         links = links.unionByName(more)
-        known = components(links)
+        # the new links join components, not documents
+        inner = known.withColumnRenamed("node", "a").withColumnRenamed("component", "x")
+        outer = known.withColumnRenamed("node", "b").withColumnRenamed("component", "y")
+        between = more.join(inner, "a", "left").join(outer, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+        joined = components(between).select(F.col("node").alias("component"), F.col("component").alias("final"))
+        ends = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct()
+        nodes = known.unionByName(ends.join(known, "node", "left_anti").withColumn("component", F.col("node")))
+        known = nodes.join(joined, "component", "left").select("node", F.coalesce("final", "component").alias("component"))
     members = signs.join(equal.select("digest", "id"), "digest", "left").withColumn("id", F.coalesce("id", "doc_id"))
     classes = members.join(known.withColumnRenamed("node", "id"), "id", "left").select(
-        "doc_id", F.coalesce("component", "id").alias("class_id")
+        "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id")).alias("class_id")
     )
     return classes, links
