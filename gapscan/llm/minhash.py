@@ -307,7 +307,10 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # a member that both ends of its bucket share many bands with is still compared with each once
     stars = written(stars.where("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a").groupBy("x", "y").agg(F.min("a").alias("a")))
     stars = stars.select("a", (F.col("x") + F.col("y") - F.col("a")).alias("b"))
-    links = written(verified(stars, docs))
+    # the texts that can be compared, once; their ids have no bound, so they are merged at every size
+    members = buckets.select(F.col("id").alias("doc_id")).distinct().hint("merge")
+    texts = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(members, "doc_id", "left_semi"))
+    links = written(verified(stars, texts))
     # members of one bucket that are in different components still
     known = written(components(links))
     placed = buckets.select("bucket", "band", "id").join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -316,12 +319,12 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     opened = placed.join(apart, "bucket").join(equal.select("id", "signature"), "id").withColumn("sketch", F.lit(None).cast("binary"))
     opened = written(opened)
     close = written(_dealt(opened).select(*columns).mapInArrow(_apart, APART).select("bucket", F.col("a").alias("id")).distinct())
-    wanted = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(close.select("id").distinct(), "id")
+    wanted = texts.select(F.col("doc_id").alias("id"), "text").join(close.select("id").distinct(), "id")
     sketches = wanted.mapInArrow(_sketch, "id bigint, sketch binary").dropDuplicates(["id"])
     near = opened.drop("sketch").join(close, ["bucket", "id"]).join(sketches, "id")
     similar = _dealt(near).select(*columns).mapInArrow(_apart, APART)
     similar = written(similar.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    more = written(verified(similar, docs))
+    more = written(verified(similar, texts))
     if not more.isEmpty():
         links = links.unionByName(more)
         # the new links join components, not documents
