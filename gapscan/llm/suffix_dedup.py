@@ -290,7 +290,9 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR, hot:
     found = written(texts.mapInArrow(_segment_rows(span, anchor), schema))
     # anchors that occur again, and whether with different segments
     again = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("content") < F.max("content")).alias("differ")).where("n > 1")
-    candidates = written(found.join(again.select("anchor", "differ"), "anchor"))
+    # as a table of its own, so that Spark can split an anchor that is very frequent on the other side of the join
+    again = written(again.select("anchor", "differ"))
+    candidates = written(found.join(again, "anchor"))
     different = written(
         candidates.where("differ").groupBy("anchor", "content").agg(
             F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "start", "count")).alias("one")
