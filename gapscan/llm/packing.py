@@ -29,7 +29,7 @@ WINDOW = 2048
 END = 1
 #: Words whose ids a worker remembers.
 CACHE = 600_000
-ROWS_A_PART = 500_000
+ROWS_A_PART = 1_000
 
 LETTER, DIGIT, OTHER, BLANK = 0, 1, 2, 3
 _KIND = np.full(256, OTHER, np.uint8)
