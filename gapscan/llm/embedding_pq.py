@@ -25,8 +25,9 @@ from gapscan.llm.common import components, written
 
 COSINE = 0.93
 RADIUS = math.sqrt(2 - 2 * COSINE)
-#: A list is probed if the query is this near to the border between it and its own list.
-BORDER = RADIUS / 2
+#: A list is probed if the query is as near to the border between it and its own list as this many standard
+#: deviations of what a step of RADIUS in a random direction goes towards that border (RADIUS / sqrt(dimensions)).
+SPREAD = 1.5
 #: The bounded sample for centroids and codebooks.
 SAMPLE = 20_000
 MOST_LISTS, CODES, PART = 1024, 256, 8
@@ -81,7 +82,7 @@ class Quantiser:
         )
         distance = (near[np.arange(len(x)), own][:, None] - near) / apart
         distance[np.arange(len(x)), own] = np.inf
-        return own, [np.flatnonzero(row <= BORDER) for row in distance]
+        return own, [np.flatnonzero(row <= SPREAD * RADIUS / math.sqrt(self.dim)) for row in distance]
 
     def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes, the length of what they miss, and its product with the vector itself."""
