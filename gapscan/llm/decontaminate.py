@@ -13,7 +13,6 @@ itself and passed over all documents in one chain.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -109,8 +108,7 @@ class Phrases:
 
     def __init__(self, ids: list, texts: list, size: int):
         words = Words(pa.array(texts, pa.string()))
-        found, symbols = np.unique(words.hashes, return_index=True), None
-        self.keys, one = found
+        self.keys, one = np.unique(words.hashes, return_index=True)
         lengths = (words.ends - words.starts)[one]
         self.starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if len(one) else np.zeros(0, np.int64)
         self.lengths = lengths
@@ -195,14 +193,7 @@ def _merge(starts: list, ends: list) -> tuple[list[int], list[int]]:
     return [x[0] for x in out], [x[1] for x in out]
 
 
-@lru_cache(maxsize=2)
-def _loaded(key: int, size: int, broadcast) -> Phrases:
-    return Phrases(*broadcast.value, size)
-
-
-def _pass(broadcast, size: int, text: str, names: list[str]):
-    own = names
-
+def _pass(broadcast, size: int, text: str, own: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = None
         for batch in batches:

@@ -77,9 +77,8 @@ class Quantiser:
         near = self.closeness(x)
         own = near.argmax(axis=1)
         c = self.centres.astype(np.float64)
-        apart = np.sqrt(np.maximum(((c[own][:, None, :] - c[None, :, :]) ** 2).sum(axis=2), 1e-30)) if len(c) <= 64 else np.sqrt(
-            np.maximum((c**2).sum(axis=1)[own][:, None] + (c**2).sum(axis=1)[None, :] - 2 * c[own] @ c.T, 1e-30)
-        )
+        squares = (c**2).sum(axis=1)
+        apart = np.sqrt(np.maximum(squares[own][:, None] + squares[None, :] - 2 * c[own] @ c.T, 1e-30))
         distance = (near[np.arange(len(x)), own][:, None] - near) / apart
         distance[np.arange(len(x)), own] = np.inf
         return own, [np.flatnonzero(row <= SPREAD * RADIUS / math.sqrt(self.dim)) for row in distance]
@@ -211,7 +210,7 @@ def _search(sent):
             for dim, label, cell, part, kind, *row, own_list in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (dim, label, cell, part) != key:
                     if block is not None:
-                        if key[-1] is not None and not hasattr(block, "ids"):
+                        if not hasattr(block, "ids"):
                             block.close()
                         ask()
                         yield block.result()

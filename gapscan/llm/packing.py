@@ -285,5 +285,4 @@ def pack(docs: DataFrame, paths: tuple, window: int = WINDOW, with_ids: bool = F
     within = Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")
     numbered = parted.withColumn("within", F.row_number().over(within) - 1).join(offsets, ["length", "part"])
     numbered = numbered.withColumn("number", F.col("within") + F.col("earlier"))
-    columns = [c for c in cut.columns]
-    return numbered.withColumn("place", _places(plan_windows(histogram, window))).select(*columns, "place.sequence_id", "place.offset")
+    return numbered.withColumn("place", _places(plan_windows(histogram, window))).select(*cut.columns, "place.sequence_id", "place.offset")

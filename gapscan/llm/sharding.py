@@ -97,7 +97,7 @@ def shard_by_size(docs: DataFrame, shards: int = 40, text: str = "text") -> Data
         if len(grown) == len(splitters):
             break
         splitters = grown
-    before = [(0, 0, 0)] * 0
+    before = []
     bytes_before = rows_before = 0
     for r in ranges:
         before.append((r["range"], bytes_before, rows_before))
