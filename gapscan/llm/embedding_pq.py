@@ -1,13 +1,15 @@
 """Near-duplicate vectors by product quantisation.
 
 Coarse lists and residual codebooks are fitted on a bounded sample; every vector is then
-put into the list of its nearest centroid as codes of its residual. As a query it also goes to all
-lists whose border is near. In a list, distances of queries to coded vectors come from
+put into the list of its nearest centroid as codes of its residual. As a query it is also compared with all
+lists whose border is within half the radius: of two linked vectors in different lists one is that near to the
+border between them, so no link is lost. Distances of queries to coded vectors come from
 lookup tables, and the codes' own known errors turn them into upper bounds of the cosine, so that
-nothing is lost here; what can reach the threshold is compared exactly in double precision.
+nothing is lost here either; what can reach the threshold is compared exactly in double precision.
 
-Equal vectors are collapsed with their count first. A list is cut into blocks, which
-many queries pass one batch at a time; a block gives counts of links and the edges that
+Equal vectors are collapsed with their count first. Small lists of a label share a block and a large one is cut
+into blocks; a query goes to a block once, however many of its lists it probes, and only as its vector. Many queries
+pass a block one batch at a time; it gives counts of links and the edges that
 connect its members, never all pairs.
 """
 
@@ -25,9 +27,8 @@ from gapscan.llm.common import components, written
 
 COSINE = 0.93
 RADIUS = math.sqrt(2 - 2 * COSINE)
-#: A list is probed if the query is as near to the border between it and its own list as this many standard
-#: deviations of what a step of RADIUS in a random direction goes towards that border (RADIUS / sqrt(dimensions)).
-SPREAD = 1.5
+#: A list is probed if the query is this near to the border between it and its own list. A smaller bound loses links.
+BORDER = RADIUS / 2
 #: The bounded sample for centroids and codebooks.
 SAMPLE = 20_000
 MOST_LISTS, CODES, PART = 1024, 256, 8
@@ -79,9 +80,10 @@ class Quantiser:
         c = self.centres.astype(np.float64)
         squares = (c**2).sum(axis=1)
         apart = np.sqrt(np.maximum(squares[own][:, None] + squares[None, :] - 2 * c[own] @ c.T, 1e-30))
-        distance = (near[np.arange(len(x)), own][:, None] - near) / apart
-        distance[np.arange(len(x)), own] = np.inf
-        return own, [np.flatnonzero(row <= SPREAD * RADIUS / math.sqrt(self.dim)) for row in distance]
+        # not divided by `apart`, which rounding spoils for centroids that all but coincide
+        beyond = near[np.arange(len(x)), own][:, None] - near - BORDER * apart
+        beyond[np.arange(len(x)), own] = np.inf
+        return own, [np.flatnonzero(row <= 1e-7) for row in beyond]
 
     def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes, the length of what they miss, and its product with the vector itself."""
@@ -106,6 +108,19 @@ class Quantiser:
 INDEX = "size int, label string, list int, id bigint, n bigint, vector binary, codes binary, missed double, own double, probes array<int>"
 
 
+def _packed(raw: np.ndarray) -> list[bytes]:
+    """Each vector as floats where they are exact, else as doubles."""
+    with np.errstate(over="ignore"):
+        small = raw.astype(np.float32)
+    return [(f if same else d).tobytes() for d, f, same in zip(raw, small, (small == raw).all(axis=1), strict=True)]
+
+
+def _units(packed: list[bytes], dim: int) -> np.ndarray:
+    """Vectors of `_packed`, of length 1."""
+    x = np.array([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64) for v in packed], np.float64).reshape(len(packed), dim)
+    return x / np.sqrt((x**2).sum(axis=1))[:, None]
+
+
 def _assign(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in INDEX.split(", ")]
@@ -116,25 +131,52 @@ def _assign(sent):
                 size, label, ids, n, vectors = (batch.column(k).to_pylist() for k in range(5))
                 for dim in sorted(set(size)):
                     rows = [i for i, d in enumerate(size) if d == dim]
-                    x = np.array([vectors[i] for i in rows], np.float64)
-                    x /= np.sqrt((x**2).sum(axis=1))[:, None]
+                    packed = _packed(np.array([vectors[i] for i in rows], np.float64))
+                    x = _units(packed, dim)
                     q: Quantiser = sent.value[dim]
                     own, probes = q.probes(x)
                     codes, missed, product = q.encode(x, own)
                     columns = [
                         [dim] * len(rows), [label[i] for i in rows], own, [ids[i] for i in rows], [n[i] for i in rows],
-                        [v.tobytes() for v in x], [c.tobytes() for c in codes], missed, product, [p.astype(np.int32) for p in probes],
+                        packed, [c.tobytes() for c in codes], missed, product, [p.astype(np.int32) for p in probes],
                     ]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
 
+PLACES = "size int, label string, starts array<int>, ends array<int>"
+
+
+def _number(most: int):
+    """Lists of a label with their counts -> the first and the last block of each list, by its number; null for lists without rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, ends = [], []
+            for cells in batch.column(2).to_pylist():
+                first, last, small, large = [None] * (cells[-1]["list"] + 1), [None] * (cells[-1]["list"] + 1), 0, 0
+                for cell in cells:
+                    k, n = cell["list"], cell["n"]
+                    if n < most // 2:  # shares a block, numbered downwards from -1
+                        first[k] = last[k] = -1 - small // (most // 2)
+                        small += n
+                    else:
+                        first[k], large = large, large + n // most + 1
+                        last[k] = large - 1
+                starts.append(first)
+                ends.append(last)
+            kinds = [pa.list_(pa.int32())] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (starts, ends), kinds)], names=[x.split()[0] for x in PLACES.split(", ")])
+
+    return run
+
+
 class _Block:
-    """Coded vectors of one block of one list, and what has been found about them."""
+    """Coded vectors of one block of lists of one label, and what has been found about them."""
 
-    def __init__(self, dim: int, cell: int, q: Quantiser):
-        self.dim, self.cell, self.q = dim, cell, q
+    def __init__(self, dim: int, number: int, q: Quantiser):
+        self.dim, self.number, self.q = dim, number, q
         self.rows: list[tuple] = []
         self.parent: dict[int, int] = {}
         self.links: dict[int, int] = {}
@@ -143,12 +185,13 @@ class _Block:
     def close(self) -> None:
         self.ids = np.array([r[0] for r in self.rows], np.int64)
         self.n = np.array([r[1] for r in self.rows], np.int64)
-        self.x = np.array([np.frombuffer(r[2]) for r in self.rows]).reshape(len(self.rows), self.dim)
+        self.x = _units([r[2] for r in self.rows], self.dim)
         self.codes = np.array([np.frombuffer(r[3], np.uint8) for r in self.rows]).reshape(len(self.rows), self.q.parts)
         self.missed, self.own = np.array([r[4] for r in self.rows]), np.array([r[5] for r in self.rows])
-        self.probes = [set(r[6]) for r in self.rows]
+        self.centres = self.q.centres[[r[6] for r in self.rows]].astype(np.float64).reshape(len(self.rows), self.dim)
+        self.sent = [set(r[7]) for r in self.rows]
         places = np.arange(len(self.rows))
-        self.compare(self.ids, self.n, self.x, np.full(len(places), self.cell), None, places)
+        self.compare(self.ids, self.n, self.x, np.full(len(places), self.number), places)
 
     def root(self, a: int) -> int:
         while self.parent.setdefault(a, a) != a:
@@ -156,12 +199,12 @@ class _Block:
             a = self.parent[a]
         return a
 
-    def compare(self, ids, n, x, cells, probes, places=None) -> None:
-        """Queries against the block; `places`: the block with itself, each pair once."""
+    def compare(self, ids, n, x, came, places=None) -> None:
+        """Queries, and the blocks they came from, against the block; `places`: the block with itself, each pair once."""
         for at in range(0, len(ids), 256):
             part = slice(at, at + 256)
             tables = self.q.tables(x[part])
-            estimate = (x[part] @ self.q.centres[self.cell].astype(np.float64))[:, None] + self.own[None, :]
+            estimate = x[part] @ self.centres.T + self.own[None, :]
             for m in range(self.q.parts):
                 estimate += tables[:, m, :][:, self.codes[:, m]]
             # the code's error against the query is that against the vector itself, which is known, plus at most RADIUS x its length
@@ -172,13 +215,13 @@ class _Block:
             for cut in range(0, len(q), 1 << 15):
                 a, b = q[cut : cut + (1 << 15)] + at, k[cut : cut + (1 << 15)]
                 linked = np.einsum("ij,ij->i", x[a], self.x[b]) >= COSINE
-                self.found(ids, n, cells, probes, a[linked], b[linked])
+                self.found(ids, n, came, a[linked], b[linked])
 
-    def found(self, ids, n, cells, probes, a, b) -> None:
+    def found(self, ids, n, came, a, b) -> None:
         for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            # a pair that both lists see counts in the one with the smaller number
-            cell = int(cells[i])
-            if cell < self.cell and cell in self.probes[j]:
+            # a pair that both blocks see counts in the one with the smaller number
+            number = int(came[i])
+            if number < self.number and number in self.sent[j]:
                 continue
             u, v = int(ids[i]), int(self.ids[j])
             self.links[u] = self.links.get(u, 0) + int(self.n[j])
@@ -202,25 +245,24 @@ def _search(sent):
         def ask() -> None:
             if waiting:
                 columns = list(zip(*waiting, strict=True))
-                x = np.array([np.frombuffer(v) for v in columns[2]])
-                block.compare(np.array(columns[0], np.int64), np.array(columns[1], np.int64), x, np.array(columns[3]), columns[4])
+                block.compare(np.array(columns[0], np.int64), np.array(columns[1], np.int64), _units(columns[2], block.dim), np.array(columns[3]))
                 waiting.clear()
 
         for batch in batches:
-            for dim, label, cell, part, kind, *row, own_list in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (dim, label, cell, part) != key:
+            for dim, label, number, kind, *row, came in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (dim, label, number) != key:
                     if block is not None:
                         if not hasattr(block, "ids"):
                             block.close()
                         ask()
                         yield block.result()
-                    key, block = (dim, label, cell, part), _Block(dim, cell, sent.value[dim])
+                    key, block = (dim, label, number), _Block(dim, number, sent.value[dim])
                 if kind == 0:
                     block.rows.append(row)
                 else:
                     if not hasattr(block, "ids"):
                         block.close()
-                    waiting.append((row[0], row[1], row[2], own_list, row[6]))
+                    waiting.append((row[0], row[1], row[2], came))
                     if len(waiting) >= BLOCK:
                         ask()
         if block is not None:
@@ -258,21 +300,22 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         quantisers[dim] = Quantiser(sample, max(1, min(MOST_LISTS, round(math.sqrt(n)), len(sample) // 8)))
     sent = spark.sparkContext.broadcast(quantisers)
     index = written(classes.select("size", "label", "id", "n", "v").mapInArrow(_assign(sent), INDEX))
-    cells = index.groupBy("size", "label", "list").agg(F.expr(f"count(*) div {BLOCK} + 1").alias("blocks"))
-    placed = index.join(cells, ["size", "label", "list"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    payload = ["id", "n", "vector", "codes", "missed", "own", "probes", "own_list"]
-    coded = placed.select("size", "label", "list", "block", F.lit(0).alias("kind"), *payload[:-1], F.col("list").alias("own_list"))
-    # queries of the same list go to the blocks after their own, queries of other lists to all
-    inside = placed.where("block + 1 < blocks").select(
-        "size", "label", "list", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"),
-        *payload[:-1], F.col("list").alias("own_list"),
-    )
-    outside = index.select("size", "label", F.explode("probes").alias("probe"), *payload[:-1], F.col("list").alias("own_list"))
-    outside = outside.withColumnRenamed("probe", "list").join(cells, ["size", "label", "list"]).select(
-        "size", "label", "list", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), *payload
-    )
-    rows = coded.unionByName(inside).unionByName(outside)
-    dealt = rows.repartition("size", "label", "list", "block").sortWithinPartitions("size", "label", "list", "block", "kind")
+    cells = index.groupBy("size", "label", "list").agg(F.count("*").alias("n"))
+    cells = cells.groupBy("size", "label").agg(F.sort_array(F.collect_list(F.struct("list", "n"))).alias("cells"))  # MOST_LISTS at most
+    placed = index.join(cells.mapInArrow(_number(BLOCK), PLACES), ["size", "label"])
+    placed = placed.withColumn("block", F.expr("starts[list] + cast(pmod(xxhash64(id), ends[list] - starts[list] + 1) as int)"))
+    # queries go to the blocks of their own list after their own, and to all of the lists that they probe
+    later = "if(block < ends[list], sequence(block + 1, ends[list]), cast(array() as array<int>))"
+    others = "flatten(transform(filter(probes, p -> get(starts, p) is not null), p -> sequence(starts[p], ends[p])))"
+    placed = placed.withColumn("sent", F.expr(f"array_except(concat({others}, {later}), array(block))")).drop("starts", "ends", "probes")
+    columns = ["size", "label", "block", "kind", "id", "n", "vector", "codes", "missed", "own", "list", "sent", "came"]
+    coded = placed.withColumn("kind", F.lit(0)).withColumn("came", F.col("block")).select(*columns)
+    queries = placed.select(
+        "size", "label", F.explode("sent").alias("to"), F.lit(1).alias("kind"), "id", "n", "vector", F.lit(None).cast("binary").alias("codes"),
+        F.lit(None).cast("double").alias("missed"), F.lit(None).cast("double").alias("own"), F.lit(None).cast("int").alias("list"),
+        F.lit(None).cast("array<int>").alias("sent"), F.col("block").alias("came"),
+    ).withColumnRenamed("to", "block").select(*columns)
+    dealt = coded.unionByName(queries).repartition("size", "label", "block").sortWithinPartitions("size", "label", "block", "kind")
     found = written(dealt.mapInArrow(_search(sent), "id bigint, other bigint, links bigint"))
     edges = found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
     known = components(edges).select(F.col("node").alias("id"), "component")

@@ -78,6 +78,21 @@ def test_bounds_never_lose_a_link():
     assert linked.sum() > 50 and (estimate + embedding_pq.RADIUS * missed >= embedding_pq.COSINE - 1e-5)[linked].all()
 
 
+@pytest.mark.parametrize("spectrum", [[1.0] * 3 + [0.002] * 29, [0.5**k for k in range(32)]], ids=["low rank", "decaying"])
+def test_no_link_is_lost_where_vectors_vary_in_few_directions(spark, spectrum):
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(900, 32)) * np.sqrt(spectrum) @ np.linalg.qr(rng.normal(size=(32, 32)))[0]).astype(np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    q = embedding_pq.Quantiser(unit, 30)
+    own, probes = q.probes(unit)
+    a, b = np.nonzero(np.triu(unit @ unit.T >= embedding_pq.COSINE, 1))
+    assert len(a) > 300 and all(own[i] == own[j] or own[j] in probes[i] or own[i] in probes[j] for i, j in zip(a, b, strict=True))
+    label = np.arange(900) % 2
+    links = ((unit @ unit.T >= embedding_pq.COSINE) & (label[:, None] == label[None])).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label, strict=True))], "vec_id bigint, embedding array<float>, label int")
+    assert [r.n_links for r in embedding_pq.near_vectors(df).orderBy("vec_id").collect()] == links.tolist()
+
+
 # --- shards ----------------------------------------------------------------------------------------
 
 
