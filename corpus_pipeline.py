@@ -44,15 +44,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_carried
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class the document with the smallest id stays; of repeated rows with one id, one. Null ids stay."""
+    """Of each class the document with the smallest id stays; of rows with equal id and text, one. Null ids stay."""
     classes, _ = minhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if not repeated.isEmpty():
-        order = Window.partitionBy("doc_id").orderBy("text")
+    kept = classes.where(minhash.is_kept(classes)).groupBy(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
+    kept = written(kept.agg(F.count("*").alias("n")))
+    named = docs.where("doc_id is not null").withColumn("digest", minhash.digest("text"))
+    named = named.join(kept, (F.col("doc_id") == F.col("kept_id")) & F.col("digest").eqNullSafe(F.col("kept_digest")), "left_semi")
+    if not kept.where("n > 1").isEmpty():
+        order = Window.partitionBy("doc_id", "digest").orderBy("text")
         named = named.withColumn("kept_row", F.row_number().over(order)).where("kept_row = 1").drop("kept_row")
-    return named.unionByName(docs.where("doc_id is null"))
+    return named.drop("digest").unionByName(docs.where("doc_id is null"))
 
 
 @_carried

@@ -14,12 +14,11 @@ are close enough, are compared directly. Every comparison is exact, on whole tex
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapscan.llm.common import PIECE_BYTES, Words, components, mix, pieces, sequence_hashes, written
@@ -117,14 +116,18 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts, hashes, weights = shingles(words)
             found = signatures(texts, hashes, weights, part.num_rows)
             some = np.diff(words.first) > 0
-            digests = [hashlib.blake2b(t.encode(), digest_size=16).digest() if s else None for t, s in zip(part.column(1).to_pylist(), some, strict=True)]
             signs = [x.tobytes() if s else None for x, s in zip(found, some, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(signs, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(signs, pa.binary())], names=names)
+
+
+def digest(text: str) -> Column:
+    """128 bits that stand for a text; null for null."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, signature) of each row; nulls where there are no words."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
+    """(doc_id, digest, signature) of each row; no signature where there are no words."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", digest("text").alias("digest")).mapInArrow(
         _sign, "doc_id bigint, digest binary, signature binary"
     )
 
@@ -155,9 +158,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose similarity is high enough. A text that many pairs share is sent once to each of their tasks."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of (id, text) whose similarity is high enough. A text that many pairs share is sent once to each of their tasks."""
     sizes = pairs.groupBy("a").agg(F.expr(f"count(*) div {PAIRS_A_TASK} + 1").alias("salts"))
     others = pairs.join(sizes, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts"))
     right = others.join(texts, others["b"] == texts["id"]).select("a", "salt", "b", "text")
@@ -291,15 +293,18 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): (doc_id, class_id) of each row of docs, and the verified pairs (a, b, similarity).
+    """(classes, links): (doc_id, class_id, digest, class_digest) of each row of docs, and the verified pairs (a, b, similarity).
 
-    class_id is the smallest doc_id that is reachable by links of similarity 0.8 or more.
-    Equal texts are one class. Null, empty and wordless texts are like nothing: each is a class of its
-    own. Texts of fewer than five words are one shingle. Rows with one doc_id are one document, a null doc_id has a null
+    class_id is the smallest doc_id that is reachable by links of similarity 0.8 or more; class_digest tells which
+    text of that id it is, the one with the smallest digest. Equal texts are one class. Null, empty and wordless texts are like
+    nothing: each is a class of its own. Texts of fewer than five words are one shingle. Rows with one doc_id are one document
+    if their texts are equal, else each text is a document. A null doc_id has a null
     class. Links connect the smallest ids of groups of equal texts. An empty table gives no rows; other columns are ignored.
     """
     signs = written(signed(docs))
-    equal = written(signs.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")))
+    # ids below number the different texts in the order of their smallest doc_id, since a doc_id can have several texts
+    equal = signs.where("signature is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
+    equal = written(equal.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest").withColumn("id", F.monotonically_increasing_id()))
     rows = _band_rows(equal)
     buckets = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     buckets = written(rows.join(buckets, "bucket"))
@@ -308,8 +313,9 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = written(stars.where("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a").groupBy("x", "y").agg(F.min("a").alias("a")))
     stars = stars.select("a", (F.col("x") + F.col("y") - F.col("a")).alias("b"))
     # the texts that can be compared, once; their ids have no bound, so they are merged at every size
-    members = buckets.select(F.col("id").alias("doc_id")).distinct().hint("merge")
-    texts = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(members, "doc_id", "left_semi"))
+    members = equal.join(buckets.select("id").distinct(), "id", "left_semi").select("doc_id", "digest", "id").hint("merge")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", digest("text").alias("digest"))
+    texts = written(texts.join(members, ["doc_id", "digest"]).select("id", "text"))
     links = written(verified(stars, texts))
     # members of one bucket that are in different components still
     known = written(components(links))
@@ -319,7 +325,7 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     opened = placed.join(apart, "bucket").join(equal.select("id", "signature"), "id").withColumn("sketch", F.lit(None).cast("binary"))
     opened = written(opened)
     close = written(_dealt(opened).select(*columns).mapInArrow(_apart, APART).select("bucket", F.col("a").alias("id")).distinct())
-    wanted = texts.select(F.col("doc_id").alias("id"), "text").join(close.select("id").distinct(), "id")
+    wanted = texts.join(close.select("id").distinct(), "id")
     sketches = wanted.mapInArrow(_sketch, "id bigint, sketch binary").dropDuplicates(["id"])
     near = opened.drop("sketch").join(close, ["bucket", "id"]).join(sketches, "id")
     similar = _dealt(near).select(*columns).mapInArrow(_apart, APART)
@@ -335,8 +341,21 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         ends = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct()
         nodes = known.unionByName(ends.join(known, "node", "left_anti").withColumn("component", F.col("node")))
         known = nodes.join(joined, "component", "left").select("node", F.coalesce("final", "component").alias("component"))
-    members = signs.join(equal.select("digest", "id"), "digest", "left").withColumn("id", F.coalesce("id", "doc_id"))
-    classes = members.join(known.withColumnRenamed("node", "id"), "id", "left").select(
-        "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id")).alias("class_id")
+    first = equal.select(F.col("id").alias("component"), F.col("doc_id").alias("class_id"), F.col("digest").alias("class_digest"))
+    first = known.where("node <> component").join(first, "component").select(F.col("node").alias("id"), "class_id", "class_digest")
+    described = equal.join(first, "id", "left").select(
+        "digest", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_digest", "digest").alias("class_digest")
     )
-    return classes, links
+    named = F.col("doc_id").isNotNull()
+    classes = signs.select("doc_id", "digest").join(described, "digest", "left").select(
+        "doc_id", F.when(named, F.coalesce("class_id", "doc_id")).alias("class_id"),
+        "digest", F.when(named, F.coalesce("class_digest", "digest")).alias("class_digest"),
+    )
+    a, b = (equal.select(F.col("id").alias(k), F.col("doc_id").alias(f"{k}_id")) for k in "ab")
+    return classes, links.join(a, "a").join(b, "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "similarity")
+
+
+def is_kept(classes: DataFrame) -> Column:
+    """Whether a row is the document that its class is named after; null for a null doc_id."""
+    same = (classes["doc_id"] == classes["class_id"]) & classes["digest"].eqNullSafe(classes["class_digest"])
+    return F.when(classes["doc_id"].isNotNull(), same)

@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes, _ = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return classes.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return classes.select("doc_id", "class_id", minhash.is_kept(classes).alias("kept"))
 
 
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

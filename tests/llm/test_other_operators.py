@@ -359,6 +359,19 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert set(kept["packing"]) == {i for i in kept["personal_data"]}
 
 
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (prose(200 + k, 120) for k in range(4))
+    rows = [(5, a), (5, b), (7, a), (8, b), (5, None), (5, None), (5, a), (9, edited(a, 60)), (3, edited(b, 60)), (6, c), (6, edited(c, 60)), (None, a)]
+    rows += [(0, f"{k} {prose(300 + k, 40)}") for k in range(40)] + [(1, d), (0, d)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    kept = sorted(((r.doc_id, r.text) for r in got if r.doc_id is not None and r.doc_id != 6), key=str)
+    assert kept == sorted([(5, a), (5, None), (3, edited(b, 60)), *rows[12:52], (0, d)], key=str)
+    assert len([r for r in got if r.doc_id == 6]) == 1 and [r.text for r in got if r.doc_id is None] == [a]
+
+
 def test_pipeline_on_no_rows(spark, tmp_path):
     import corpus_pipeline
 
