@@ -296,16 +296,16 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, links): (doc_id, class_id, digest, class_digest) of each row of docs, and the verified pairs (a, b, similarity).
 
     class_id is the smallest doc_id that is reachable by links of similarity 0.8 or more; class_digest tells which
-    text of that id it is, the one with the smallest digest. Equal texts are one class. Null, empty and wordless texts are like
-    nothing: each is a class of its own. Texts of fewer than five words are one shingle. Rows with one doc_id are one document
+    text of that id it is, the one with the smallest digest. Equal texts are one class, also empty and wordless ones,
+    which are like nothing else. Each null text is a class of its own. Texts of fewer than five words are one shingle. Rows with one doc_id are one document
     if their texts are equal, else each text is a document. A null doc_id has a null
     class. Links connect the smallest ids of groups of equal texts. An empty table gives no rows; other columns are ignored.
     """
     signs = written(signed(docs))
     # ids below number the different texts in the order of their smallest doc_id, since a doc_id can have several texts
-    equal = signs.where("signature is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
+    equal = signs.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
     equal = written(equal.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest").withColumn("id", F.monotonically_increasing_id()))
-    rows = _band_rows(equal)
+    rows = _band_rows(equal.where("signature is not null"))
     buckets = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     buckets = written(rows.join(buckets, "bucket"))
     stars = buckets.select(F.col("low").alias("a"), F.col("id").alias("b")).union(buckets.select(F.col("high").alias("a"), F.col("id").alias("b")))

@@ -141,6 +141,13 @@ def test_members_apart_from_their_representatives_still_link(spark):
     assert {r.class_id for r in classes.collect()} == {0}
 
 
+def test_equal_wordless_texts_are_one_class(spark):
+    rows = [(1, "-----"), (2, "-----"), (3, ""), (4, ""), (5, " "), (6, None), (7, None), (8, "!!! ??"), (9, "!!! ??"), (10, "----"), (11, "one")]
+    classes, links = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted((r.doc_id, r.class_id) for r in classes.collect()) == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 6), (7, 7), (8, 8), (9, 8), (10, 10), (11, 11)]
+    assert links.count() == 0
+
+
 # --- benchmark -----------------------------------------------------------------------------------
 
 
