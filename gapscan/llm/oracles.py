@@ -51,5 +51,31 @@ FROM docs d LEFT JOIN hits h USING (doc_id) LEFT JOIN named n USING (doc_id)
 """
 
 
+OP13 = rf"""
+WITH docs AS (
+    SELECT doc_id, {WORDS} AS terms
+    FROM documents WHERE text IS NOT NULL
+), held AS (SELECT doc_id, terms, len(terms)::BIGINT AS n FROM docs WHERE len(terms) > 0),
+totals AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM held),
+asked AS (
+    SELECT item_id, term, count(*)::BIGINT AS repeats FROM (
+        SELECT item_id, unnest({WORDS}) AS term
+        FROM benchmark)
+    GROUP BY item_id, term
+), postings AS (
+    SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM held)
+    WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, n, term
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+    FROM (SELECT term, count(*)::BIGINT AS df FROM postings GROUP BY term), totals
+), scored AS (
+    SELECT item_id, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l))))::BIGINT AS score
+    FROM postings JOIN weights USING (term) JOIN asked USING (term), totals GROUP BY item_id, doc_id
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op8_urls": OP8, "op10_decontamination": OP10}
+    return {"op8_urls": OP8, "op10_decontamination": OP10, "op13_search": OP13}
