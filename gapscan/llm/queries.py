@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscan.llm import chat, decontaminate, embedding_pq, minhash, packing, pii, ranked_search, sharding, suffix_dedup, toxicity, url_filter
+from gapscan.llm import chat, decontaminate, embedding_pq, hard_negatives, minhash, packing, pii, ranked_search, sharding, suffix_dedup, toxicity, url_filter
 from gapscan.llm.common import known_to_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +99,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -114,5 +118,6 @@ QUERIES: dict[str, Query] = {
     "op8_urls": op8_urls,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op12_negatives": op12_negatives,
     "op13_search": op13_search,
 }
