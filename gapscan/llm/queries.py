@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscan.llm import chat, decontaminate, embedding_pq, hard_negatives, minhash, packing, pii, ranked_search, sharding, suffix_dedup, toxicity, url_filter
+from gapscan.llm import chat, decontaminate, embedding_pq, hard_negatives, minhash, packing, phrase_dedup, pii, ranked_search, sharding, suffix_dedup, toxicity, url_filter
 from gapscan.llm.common import known_to_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +99,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, texts = phrase_dedup.remove_phrases(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.expr("aggregate(zip_with(starts, ends, (a, b) -> b - a), 0L, (n, m) -> n + m)").alias("n_removed")
+    texts = texts.select("digest", "n_words", removed, F.sha2("kept", 256).alias("kept_sha256"))
+    return rows.join(texts, "digest").select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
 
@@ -118,6 +125,7 @@ QUERIES: dict[str, Query] = {
     "op8_urls": op8_urls,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op11_phrases": op11_phrases,
     "op12_negatives": op12_negatives,
     "op13_search": op13_search,
 }
