@@ -115,10 +115,15 @@ def _packed(raw: np.ndarray) -> list[bytes]:
     return [(f if same else d).tobytes() for d, f, same in zip(raw, small, (small == raw).all(axis=1), strict=True)]
 
 
+def of_length_one(x: np.ndarray) -> np.ndarray:
+    """Vectors without a zero one, of length 1. A power of two brings their largest components near 1 first, so no square vanishes or overflows."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+    return x / np.sqrt((x**2).sum(axis=1))[:, None]
+
+
 def _units(packed: list[bytes], dim: int) -> np.ndarray:
     """Vectors of `_packed`, of length 1."""
-    x = np.array([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64) for v in packed], np.float64).reshape(len(packed), dim)
-    return x / np.sqrt((x**2).sum(axis=1))[:, None]
+    return of_length_one(np.array([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64) for v in packed], np.float64).reshape(len(packed), dim))
 
 
 def _assign(sent):
@@ -295,8 +300,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     quantisers = {}
     for dim, n in sizes:
         rows = classes.where(F.col("size") == dim).orderBy(F.xxhash64("id", "label"), "id").limit(SAMPLE).select("v").collect()
-        sample = np.array([r[0] for r in rows], np.float64)
-        sample /= np.sqrt((sample**2).sum(axis=1))[:, None]
+        sample = of_length_one(np.array([r[0] for r in rows], np.float64))
         quantisers[dim] = Quantiser(sample, max(1, min(MOST_LISTS, round(math.sqrt(n)), len(sample) // 8)))
     sent = spark.sparkContext.broadcast(quantisers)
     index = written(classes.select("size", "label", "id", "n", "v").mapInArrow(_assign(sent), INDEX))
