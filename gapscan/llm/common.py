@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -16,6 +17,11 @@ from pyspark.sql import functions as F
 #: Bytes of text that numpy code works on at once (a longer text is worked on alone).
 PIECE_BYTES = 2 << 20
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # a C library without it
+    _TRIM = None
+
 BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -66,14 +72,24 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8, offsets[-1] - offsets[0], offsets[0]), offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose texts have about `limit` bytes; texts are never cut."""
+def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of at most `rows` rows whose texts have about `limit` bytes; texts are never cut. Memory goes back at the end."""
     _, offsets = buffers(batch.column(batch.schema.get_field_index(column)))
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        to = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
         yield batch.slice(at, to - at)
         at = to
+    release()
+
+
+def release() -> None:
+    """Gives what numpy and Arrow have freed back to the system; workers live on for other work."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+    if len(_POWERS[0]) > PIECE_BYTES + 1:  # a very long text made them long
+        _POWERS[:] = [x[: PIECE_BYTES + 1].copy() for x in _POWERS]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

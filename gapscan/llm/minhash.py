@@ -32,6 +32,8 @@ CLOSE = int(M * SIMILARITY - 3.8 * (M * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
 #: Pairs that share a representative in one task.
 PAIRS_A_TASK = 5000
 
+#: Shingles whose arrivals are drawn at once, and texts that are signed at once.
+SHINGLES, TEXTS = 16_384, 2048
 #: Members of a bucket that a task compares at once.
 BLOCK = 1024
 #: What the collision of short hashes can do to a similarity; pairs near the threshold are compared by their texts.
@@ -58,29 +60,42 @@ def shingles(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray,
 
 
 def signatures(texts: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_texts: int) -> np.ndarray:
-    """M components for each text: 16 bits of the shingle that arrived first; texts without shingles have zeros."""
+    """M components for each text: 16 bits of the shingle that arrived first; texts without shingles have zeros.
+
+    Shingles are taken in blocks, so that memory does not grow with their number; a later block meets the arrivals of earlier ones.
+    """
     times = np.full(n_texts * M, np.inf)
     out = np.zeros(n_texts * M, np.uint16)
+    for start in range(0, len(texts), SHINGLES):
+        at = slice(start, start + SHINGLES)
+        _arrive(times.reshape(n_texts, M), out, texts[at], hashes[at], weights[at])
+    return out.reshape(n_texts, M)
+
+
+def _arrive(times: np.ndarray, out: np.ndarray, texts: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> None:
+    """Arrivals of some shingles, until each one's next is later than all of its text's first ones."""
     clock = np.zeros(len(texts))
     alive, drawn, block = np.arange(len(texts)), 0, 1
+    low = int(texts.min(initial=0))
+    mine = times[low : int(texts.max(initial=0)) + 1]  # of the texts that these shingles belong to
+    flat = times.reshape(-1)
     while len(alive):
         steps = (np.arange(drawn, drawn + block, dtype=np.uint64) + np.uint64(1)) * GOLDEN
         seeds = mix(hashes[alive, None] + steps)
         gaps = -np.log(((seeds >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53)
         arrivals = clock[alive, None] + np.cumsum(gaps, axis=1) / weights[alive, None]
         clock[alive] = arrivals[:, -1]
-        last = times.reshape(n_texts, M).max(axis=1)
-        row, column = np.nonzero(arrivals < last[texts[alive], None])
+        last = mine.max(axis=1)
+        row, column = np.nonzero(arrivals < last[texts[alive] - low, None])
         when, who = arrivals[row, column], alive[row]
         at = texts[who] * M + (mix(seeds[row, column] ^ GOLDEN) % np.uint64(M)).astype(np.int64)
-        np.minimum.at(times, at, when)
-        first = times[at] == when
+        np.minimum.at(flat, at, when)
+        first = flat[at] == when
         out[at[first]] = (hashes[who[first]] >> np.uint64(48)).astype(np.uint16)
-        last = times.reshape(n_texts, M).max(axis=1)
+        last = mine.max(axis=1)
         drawn += block
-        alive = alive[clock[alive] < last[texts[alive]]]
+        alive = alive[clock[alive] < last[texts[alive] - low]]
         block = min(64, 2 * block) if drawn > 1 else 1
-    return out.reshape(n_texts, M)
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -111,9 +126,11 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "digest", "signature"]
     for batch in batches:
-        for part in pieces(batch, "text", PIECE_BYTES // 2):
+        for part in pieces(batch, "text", PIECE_BYTES // 2, TEXTS):
             words = Words(part.column(1))
             texts, hashes, weights = shingles(words)
+            order = np.argsort(texts, kind="stable")
+            texts, hashes, weights = texts[order], hashes[order], weights[order]
             found = signatures(texts, hashes, weights, part.num_rows)
             some = np.diff(words.first) > 0
             signs = [x.tobytes() if s else None for x, s in zip(found, some, strict=True)]

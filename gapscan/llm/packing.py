@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapscan.llm.common import buffers, pieces, prefix_hashes, range_hashes, written
+from gapscan.llm.common import PIECE_BYTES, buffers, pieces, prefix_hashes, range_hashes, release, written
 
 WINDOW = 2048
 END = 1
-#: Words whose ids a worker remembers.
-CACHE = 600_000
+#: Words whose ids a task remembers, and bytes of text that it encodes at once.
+CACHE, PIECE = 200_000, PIECE_BYTES // 4
 ROWS_A_PART = 1_000
 
 LETTER, DIGIT, OTHER, BLANK = 0, 1, 2, 3
@@ -166,13 +166,13 @@ def tokens(*paths: str | None) -> Tokens:
     return _TOKENS[paths]
 
 
-PIECE = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+COLUMNS = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
 def _cut(paths: tuple, window: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 ids, offsets = tokens(*paths).encode(part.column(1))
                 counts = np.diff(offsets)
                 parts = -(-counts // window)
@@ -189,13 +189,15 @@ def _cut(paths: tuple, window: int, with_ids: bool):
                     columns.append(pa.array(cut, pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        tokens(*paths).forget()  # the worker goes on to other work
+        release()
 
     return run
 
 
 def token_pieces(docs: DataFrame, paths: tuple, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """Whole windows and the rest of each document: (doc_id, start, length, ids_crc32, doc_tokens[, ids])."""
-    schema = "doc_id bigint, " + PIECE + (", ids binary" if with_ids else "")
+    schema = "doc_id bigint, " + COLUMNS + (", ids binary" if with_ids else "")
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_cut(paths, window, with_ids), schema)
 
 
