@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapscan.llm.common import PIECE_BYTES, buffers, mix, pieces, powers, prefix_hashes, range_hashes, written
+from gapscan.llm.common import PIECE_BYTES, buffers, mix, pieces, powers, prefix_hashes, written
 
 SPAN = 200
 ANCHOR = 40
@@ -33,10 +33,10 @@ PLACES = 4 * PIECE_BYTES
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """(anchor's hash, content's hash, start, number of strings, text) of all segments of texts laid end to end."""
+    """(anchor's hash, start, number of strings, text) of all segments of texts laid end to end."""
     n = len(data) - span + 1
     if n <= 0:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
     sums = prefix_hashes(data)
     _, down = powers(len(sums))
     hashes = mix((sums[anchor:] - sums[:-anchor]) * down[: len(sums) - anchor])
@@ -61,33 +61,34 @@ def segments(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, anchor: in
     start, count = at[:-1], np.diff(at)
     keep = whole[start]
     start, count = start[keep], count[keep]
-    content = range_hashes(sums, start, start + count - 1 + span)
     anchors = hashes[(least[start] & np.uint64(PLACES - 1)).astype(np.int64)]
-    return anchors, content, start, count, np.searchsorted(offsets, start, "right") - 1
+    return anchors, start, count, np.searchsorted(offsets, start, "right") - 1
 
 
 def _segment_rows(span: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "content", "doc_id", "tag", "start", "count"]
+        names = ["anchor", "content", "digest", "start", "count"]
 
-        def rows(part, found, start):
-            text = pa.array(found[4])
+        def rows(part, data, found, start):
+            raw, at = data.tobytes(), found[1].tolist()
+            ends = (found[1] + found[2] + span - 1).tolist()
+            contents = b"".join([hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(at, ends, strict=True)])
             return pa.RecordBatch.from_arrays(
-                [pa.array(found[0].view(np.int64)), pa.array(found[1].view(np.int64)), part.column(0).take(text), part.column(1).take(text),
-                 pa.array(start), pa.array(found[3].astype(np.int32))], names=names,
+                [pa.array(found[0].view(np.int64)), pa.array(np.frombuffer(contents, np.int64)), part.column(0).take(pa.array(found[3])),
+                 pa.array(start), pa.array(found[2].astype(np.int32))], names=names,
             )
 
         for batch in batches:
             for part in pieces(batch, "text"):
-                data, offsets = buffers(part.column(2))
+                data, offsets = buffers(part.column(1))
                 if part.num_rows > 1 or len(data) <= 2 * PIECE_BYTES:
                     found = segments(data, offsets, span, anchor)
-                    yield rows(part, found, found[2] - offsets[found[4]])
+                    yield rows(part, data, found, found[1] - offsets[found[3]])
                     continue
                 for at in range(0, len(data), PIECE_BYTES):  # one long text, in stretches of strings
                     slice_ = data[at : at + PIECE_BYTES + span - 1]
                     found = segments(slice_, np.array([0, len(slice_)]), span, anchor)
-                    yield rows(part, found, found[2] + at)
+                    yield rows(part, slice_, found, found[1] + at)
 
     return run
 
@@ -279,15 +280,15 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR, hot:
     """(doc_id, n_bytes, starts, ends, kept) of each document: removed byte ranges and the bytes that stay.
 
     A byte goes if a string of `span` bytes over it also starts anywhere else, in this or another
-    document. Null texts count as empty; texts shorter than `span` stay whole; repeated rows are
-    documents of their own, so each is the other's copy. Null ids keep their rows; an empty table gives no
+    document. Null texts count as empty; texts shorter than `span` stay whole; a long text is taken in stretches; repeated rows are
+    documents of their own, so each is the other's copy, whatever their ids. Null ids keep their rows; an empty table gives no
     rows; other columns are ignored.
     """
-    texts = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.hash("text").alias("tag"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    schema = "anchor bigint, content bigint, doc_id bigint, tag int, start bigint, count int"
-    found = written(texts.mapInArrow(_segment_rows(span, anchor), schema))
+    # a text is known by its digest, whatever ids its rows have
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.withColumn("digest", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
+    schema = "anchor bigint, content bigint, digest binary, start bigint, count int"
+    found = written(texts.select("digest", "text").mapInArrow(_segment_rows(span, anchor), schema))
     # anchors that occur again, and whether with different segments
     again = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("content") < F.max("content")).alias("differ")).where("n > 1")
     # as a table of its own, so that Spark can split an anchor that is very frequent on the other side of the join
@@ -295,15 +296,14 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR, hot:
     candidates = written(found.join(again, "anchor"))
     different = written(
         candidates.where("differ").groupBy("anchor", "content").agg(
-            F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "start", "count")).alias("one")
+            F.count("*").alias("n"), F.min(F.struct("digest", "start", "count")).alias("one")
         )
     )
     crowded = different.groupBy("anchor").agg(F.count("*").alias("segments")).where(F.col("segments") > hot).select("anchor")
-    wanted = different.groupBy(F.col("one.doc_id").alias("doc_id"), F.col("one.tag").alias("tag")).agg(
+    wanted = different.groupBy(F.col("one.digest").alias("digest")).agg(
         F.collect_list(F.struct("anchor", "content", F.col("one.start").alias("start"), F.col("one.count").alias("count"))).alias("wanted")
     )
-    same = lambda other: texts["doc_id"].eqNullSafe(other["doc_id"]) & (texts["tag"] == other["tag"])
-    contents = texts.join(wanted, same(wanted)).select("text", "wanted").mapInArrow(_contents(span), "anchor bigint, content bigint, bytes binary")
+    contents = texts.join(wanted, "digest").select("text", "wanted").mapInArrow(_contents(span), "anchor bigint, content bigint, bytes binary")
     contents = written(contents.dropDuplicates(["anchor", "content"]))
     usual = contents.join(crowded, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "content")
     runs = usual.mapInArrow(_index(span), RUNS)
@@ -312,13 +312,14 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR, hot:
     single = strings.join(twice, ["anchor", "digest"]).select("anchor", "content", F.array("at").alias("run_starts"), F.array(F.expr("at + 1")).alias("run_ends"))
     partial = runs.unionByName(single).where("size(run_starts) > 0")
     # all strings of a segment that occurs twice are repeated, of others those in the runs
-    whole = candidates.where("not differ").select("doc_id", "tag", "start", "count")
+    whole = candidates.where("not differ").select("digest", "start", "count")
     several = candidates.where("differ").join(different.select("anchor", "content", "n"), ["anchor", "content"])
-    whole = whole.unionByName(several.where("n > 1").select("doc_id", "tag", "start", "count"))
-    whole = whole.select("doc_id", "tag", F.col("start").alias("a"), (F.col("start") + F.col("count") + span - 1).alias("b"))
-    parts = several.where("n = 1").join(partial, ["anchor", "content"]).select("doc_id", "tag", "start", F.explode(F.arrays_zip("run_starts", "run_ends")).alias("run"))
-    parts = parts.select("doc_id", "tag", (F.col("start") + F.col("run.run_starts")).alias("a"), (F.col("start") + F.col("run.run_ends") + span - 1).alias("b"))
-    spans = whole.unionByName(parts).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return texts.join(spans, same(spans), "left").select(texts["doc_id"], "text", "spans").mapInArrow(
+    whole = whole.unionByName(several.where("n > 1").select("digest", "start", "count"))
+    whole = whole.select("digest", F.col("start").alias("a"), (F.col("start") + F.col("count") + span - 1).alias("b"))
+    parts = several.where("n = 1").join(partial, ["anchor", "content"]).select("digest", "start", F.explode(F.arrays_zip("run_starts", "run_ends")).alias("run"))
+    parts = parts.select("digest", (F.col("start") + F.col("run.run_starts")).alias("a"), (F.col("start") + F.col("run.run_ends") + span - 1).alias("b"))
+    # copies of a text give equal spans, so a list is as long as its text has segments, whatever the number of copies
+    spans = whole.unionByName(parts).groupBy("digest").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    return texts.join(spans, "digest", "left").select("doc_id", "text", "spans").mapInArrow(
         _remove, "doc_id bigint, n_bytes bigint, starts array<bigint>, ends array<bigint>, kept binary"
     )

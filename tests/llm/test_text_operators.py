@@ -52,6 +52,15 @@ def test_repeats_equal_brute_force(given, hot):
     assert sorted(((r.doc_id, r.n_bytes, len(r.starts), bytes(r.kept)) for r in got), key=key) == sorted(((i, *w) for (i, _), w in zip(rows, want, strict=True)), key=key)
 
 
+def test_texts_under_one_id_or_none_and_many_equal_rows(spark):
+    texts = [prose(1000 + i, 45) for i in range(120)] + [prose(1, 60)] * 200 + [prose(2, 50) + prose(1, 60)] + [prose(5, 70)]
+    rows = [(None if i % 2 else 5, t) for i, t in enumerate(texts)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)).collect()
+    want = brute_repeats([t.encode() for _, t in rows], suffix_dedup.SPAN)
+    key = lambda r: (str(r[0]), *r[1:])
+    assert sorted(((r.doc_id, r.n_bytes, len(r.starts), bytes(r.kept)) for r in got), key=key) == sorted(((i, *w) for (i, _), w in zip(rows, want, strict=True)), key=key)
+
+
 def test_common_prefixes_on_random_strings():
     rng = np.random.default_rng(1)
     for _ in range(30):
@@ -65,10 +74,10 @@ def test_long_texts_are_taken_in_stretches(monkeypatch):
     import pyarrow as pa
 
     text = prose(31, 3000)
-    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2], pa.int32()), pa.array([text])], names=["doc_id", "tag", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array([b"1"]), pa.array([text])], names=["digest", "text"])
     monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 1000)
     found = list(suffix_dedup._segment_rows(200, 40)(iter([batch])))
-    spans = sorted((s, c) for b in found for s, c in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True))
+    spans = sorted((s, c) for b in found for s, c in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True))
     assert sum(c for _, c in spans) == len(text.encode()) - 199 and [s for s, _ in spans[1:]] == [s + c for s, c in spans[:-1]]
 
 
