@@ -332,7 +332,7 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # the texts that can be compared, once; their ids have no bound, so they are merged at every size
     members = equal.join(buckets.select("id").distinct(), "id", "left_semi").select("doc_id", "digest", "id").hint("merge")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", digest("text").alias("digest"))
-    texts = written(texts.join(members, ["doc_id", "digest"]).select("id", "text"))
+    texts = written(texts.join(members, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("id", "text"))
     links = written(verified(stars, texts))
     # members of one bucket that are in different components still
     known = written(components(links))
