@@ -6,7 +6,7 @@ postings lie by term and frequency and each frequency's impact is computed once.
 each query term bounds what a stratum can score; a query visits strata from the highest bound down and stops
 where no bound reaches its tenth score.
 
-One pass counts terms, one sort by m (ties by id) deals strata over tasks, a frequent m over several. Queries
+One pass counts terms; strata are dealt to tasks by their postings, a large one in parts. Queries
 are taken in blocks of bounded size, each broadcast by itself.
 """
 
@@ -30,8 +30,8 @@ TOP = 10
 BLOCK_BYTES = 2 << 20
 #: Postings, and documents, that a task holds as an index at once.
 SEGMENT_POSTINGS, SEGMENT_DOCS = 2_000_000, 1 << 16
-#: Documents that one task of the search is dealt.
-DOCS_A_TASK = 20_000
+#: Postings and documents that one task of the search is dealt, and postings of a stratum that stay together.
+POSTINGS_A_TASK, DOCS_A_TASK, POSTINGS_A_PART = 1_000_000, 20_000, 200_000
 
 COUNTED = "doc_id bigint, n bigint, terms array<int>, counts array<bigint>"
 
@@ -262,7 +262,7 @@ def _block(docs: DataFrame, block: list, kind) -> DataFrame:
     terms = sorted(set(spelled))
     number = {term: k for k, term in enumerate(terms)}
     numbered = np.array([number[x] for x in spelled], np.int64)
-    counted = written(docs.mapInArrow(_count(spark.sparkContext.broadcast(Vocabulary(terms))), COUNTED).where("n > 0"))
+    counted = written(docs.mapInArrow(_count(spark.sparkContext.broadcast(Vocabulary(terms))), COUNTED).where("n > 0").withColumn("row", F.monotonically_increasing_id()))
     documents, total = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     holding = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).toArrow()
     df = np.zeros(len(terms), np.int64)
@@ -273,9 +273,11 @@ def _block(docs: DataFrame, block: list, kind) -> DataFrame:
         [row[0] for row in block], np.concatenate([[0], np.cumsum([len(t) for t, _ in own])]).astype(np.int64),
         np.concatenate([t for t, _ in own]), np.concatenate([c for _, c in own]), weights,
     )
-    index = counted.where("size(terms) > 0").select("doc_id", F.expr(normaliser_of(documents, max(1, total))).alias("m"), "terms", "counts")
-    # a frequent m is dealt to several tasks, by id
-    index = index.repartitionByRange(max(1, -(-documents // DOCS_A_TASK)), "m", F.xxhash64("doc_id")).sortWithinPartitions("m")
+    index = counted.where("size(terms) > 0").withColumn("m", F.expr(normaliser_of(documents, max(1, total))))
+    sizes = index.groupBy("m").agg(F.expr(f"sum(size(terms)) div {POSTINGS_A_PART} + 1").alias("parts"))
+    index = index.join(sizes, "m").withColumn("part", F.pmod(F.xxhash64("row"), "parts"))
+    tasks = 1 + int(df.sum()) // POSTINGS_A_TASK + documents // DOCS_A_TASK
+    index = index.repartition(tasks, "m", "part").sortWithinPartitions("m", "part").select("doc_id", "m", "terms", "counts")
     found = index.mapInArrow(_search(spark.sparkContext.broadcast(queries), to_arrow_type(kind)), f"number bigint, item_id {kind.simpleString()}, doc_id bigint, score bigint")
     order = Window.partitionBy("number").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP)

@@ -58,6 +58,8 @@ def test_small_blocks_segments_and_tasks_change_nothing(spark, items, monkeypatc
     docs, texts = cases.documents(spark)
     monkeypatch.setattr(ranked_search, "BLOCK_BYTES", 200)
     monkeypatch.setattr(ranked_search, "DOCS_A_TASK", 4)
+    monkeypatch.setattr(ranked_search, "POSTINGS_A_PART", 50)
+    monkeypatch.setattr(ranked_search, "SEGMENT_DOCS", 3)
     assert rows(ranked_search.search(docs, items)) == plain(texts, [x for x in ITEMS if x[1]])
 
 
