@@ -25,7 +25,7 @@ SCALE = 256
 POSITIVES, NEGATIVES = 5, 3
 #: Segments of the coarse and of the fine level.
 LEVELS = (4, 16)
-#: Rows that a task streams past a group of anchors, and the bytes of a group's vectors.
+#: Rows that stream past a group of anchors in a task, and the bytes of a group's vectors.
 ROWS_A_TASK, ANCHOR_BYTES = 8192, 32 << 20
 #: Rows and anchors that are compared at once.
 ROWS, ANCHORS = 2048, 512
@@ -315,15 +315,14 @@ def _negatives(anchors: Block, rows: list[tuple], blocks: Iterator[Block]) -> It
     yield from led(anchors, negatives_among(anchors, positive, known, blocks))
 
 
-def _dealt(rows: DataFrame, anchors: DataFrame, key: list[str]) -> DataFrame:
+def _dealt(rows: DataFrame, anchors: DataFrame, key: list[str], parts: int, groups: int) -> DataFrame:
     """Rows and anchors of equal key in cells: a part of the rows with a group of the anchors."""
-    asked = anchors.groupBy(*key).agg(F.expr(f"count(*) * 8 * max(dim) div {ANCHOR_BYTES} + 1").alias("groups"))
-    sizes = rows.groupBy(*key).agg(F.expr(f"count(*) div {ROWS_A_TASK} + 1").alias("parts")).join(asked, key)
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     cell = [*key, "part", "group"]
     columns = [*cell, "kind", "row", "vec_id", "label" if "label" not in key else F.col("label").alias("own_label"), F.col("dim").alias("size"), "vector", "summary", "scores"]
-    left = anchors.join(sizes, key).withColumns({"group": F.pmod(F.xxhash64("row"), "groups"), "part": each("parts"), "kind": F.lit(0)})
-    right = rows.join(sizes, key).withColumns({"part": F.pmod(F.xxhash64("row"), "parts"), "group": each("groups"), "kind": F.lit(1), "scores": F.lit(None).cast("array<bigint>")})
+    own = lambda n: F.pmod(F.xxhash64("row"), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    left = anchors.withColumns({"group": own(groups), "part": each(parts), "kind": F.lit(0)})
+    right = rows.withColumns({"part": own(parts), "group": each(groups), "kind": F.lit(1), "scores": F.lit(None).cast("array<bigint>")})
     both = left.select(*columns).unionByName(right.select(*columns))
     return both.repartition(*cell).sortWithinPartitions(*cell, "kind", "vec_id", "row")
 
@@ -341,13 +340,15 @@ def mine(vectors: DataFrame, anchor_step: int = 50, vec_id: str = "vec_id", embe
     """
     rows = stored(vectors, vec_id, embedding, label)
     anchors = rows.where(F.col("vec_id") % anchor_step == 0)
+    n, dim = rows.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(0))).first()
+    parts, groups = n // ROWS_A_TASK + 1, anchors.count() * 8 * dim // ANCHOR_BYTES + 1
     none = F.lit(None).cast("array<bigint>").alias("scores")
-    found = _dealt(rows, anchors.select("*", none), ["label", "dim"]).mapInArrow(_cells(4, _positives), LED)
+    found = _dealt(rows, anchors.select("*", none), ["label", "dim"], parts, groups).mapInArrow(_cells(4, _positives), LED)
     order = Window.partitionBy("anchor_row").orderBy(F.desc("score"), "other_id", "other_row")
     positives = written(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= POSITIVES).drop("place"))
     lists = positives.groupBy("anchor_row").agg(F.expr("transform(array_sort(collect_list(struct(rank, score))), x -> x.score)").alias("scores"))
     asked = anchors.join(lists.withColumnRenamed("anchor_row", "row"), "row")
-    found = _dealt(rows, asked, ["dim"]).mapInArrow(_cells(3, _negatives), LED)
+    found = _dealt(rows, asked, ["dim"], parts, groups).mapInArrow(_cells(3, _negatives), LED)
     order = Window.partitionBy("anchor_row", "place").orderBy(F.desc("score"), "other_id", "other_row")
     negatives = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= NEGATIVES)
     of = positives.select("anchor_row", (F.col("rank") - 1).alias("place"), F.col("other_id").alias("positive_id"), F.col("score").alias("positive_score"))
