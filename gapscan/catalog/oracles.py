@@ -529,6 +529,24 @@ def statements() -> dict[str, str]:
     style = r"""bodies as (select page_id,
         array_to_string(regexp_extract_all(html, '(?is)<style[^>]*>(.*?)</style>', 1), chr(10)) html from pages)"""
     result["style_rules"] = f"with {style}, {rules('bodies', 'page_id', 'html')} select * from rule"
+    # the tokens of each sheet one by one, with the stack of open rules
+    result["nested_rules"] = r"""with recursive sheets as (
+        select user_id, string_agg(case when event_id % 6 < 2 then '@' || event_type || ' { '
+            when event_id % 6 < 4 then event_type || ': ' || event_id || ';' || chr(10)
+            else 'last: ' || (event_id % 10) || ' }' || chr(10) end, '' order by ts, event_id) sheet
+        from events group by user_id),
+    token as (select user_id, unnest(tokens) token, unnest(range(len(tokens))) pos
+        from (select user_id, regexp_extract_all(sheet, '[^{};]*[{};]') tokens from sheets)),
+    cut as (select user_id, pos, right(token, 1) mark, trim(left(token, -1), chr(10) || ' ') said from token),
+    walk(user_id, pos, mark, said, before, stack) as (
+        select user_id, pos, mark, said, []::varchar[], case when mark = '{' then [said] else []::varchar[] end from cut where pos = 0
+        union all
+        select c.user_id, c.pos, c.mark, c.said, w.stack, case when c.mark = '{' then list_append(w.stack, c.said)
+            when c.mark = '}' then w.stack[1:len(w.stack) - 1] else w.stack end
+        from walk w join cut c on c.user_id = w.user_id and c.pos = w.pos + 1)
+    select user_id, cast(pos as int) pos, cast(len(before) as int) as depth, array_to_string(before[1:len(before) - 1], ' / ') as path,
+        before[len(before)] as selector, trim(split_part(said, ':', 1)) as attribute, trim(substr(said, instr(said, ':') + 1)) as value
+    from walk where mark <> '{' and len(before) > 0 and contains(said, ':')"""
     result["strip_comments"] = r"""select page_id,
         regexp_replace(replace(replace(html, '<!--', '/*'), '-->', '*/'), '/\*.*?\*/', '', 'gs') html from pages"""
     sheets = """sheets as (select l_orderkey, string_agg(l_returnflag || ' { status: ' || l_linestatus || ';' || chr(10)
@@ -554,6 +572,13 @@ def statements() -> dict[str, str]:
         "gap_closure": f"select symbol, date, {closure('down', 5)}, {closure('down', 10)} from ext_down",
     }.items():
         result[f"{name}_down"] = gap_query(sql, extremes("down"))
+    for name, near in {"first_touch_250": "n.rn between g.rn+1 and g.rn+250",
+                       "first_touch_calendar_365": "n.date > g.date and n.date <= g.date + 365"}.items():
+        result[name] = gap_query(" union all ".join(
+            f"""select '{mode}' as mode, g.symbol, g.date, cast(min(n.rn - g.rn) filter ({hit}) as int) touch from room_{mode} g
+            left join prev n on n.symbol = g.symbol and {near} group by g.symbol, g.date"""
+            for mode, hit in (("up", "n.low <= g.anchored_vwap"), ("down", "n.high >= g.anchored_vwap"))
+        ))
     result["retrace_ema21_down"] = gap_query(
         "select symbol, date, ema_21, " + ", ".join(
             f"days_to_21ema_{h}d is not null retraced_to_21ema_{h}d, days_to_21ema_{h}d" for h in HORIZONS

@@ -104,6 +104,21 @@ def _measured(columns: list[str], add_measures: Callable[[DataFrame], DataFrame]
     return lambda spark, d: add_measures(followed(spark, d, mode)).select("symbol", "date", *columns)
 
 
+def _far_touches(days: int | None, bars: int | None) -> Query:
+    """First touches of the anchored VWAP of both gap modes' gaps far on."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        described = gaps.add_features(unique(spark, sf_dir), [gaps.PREV_CLOSE, gaps.AVWAP_3D])
+        parts = []
+        for mode in ("up", "down"):
+            is_gap = gaps.avwap_room(gaps.find_gaps(described, mode), mode).select("symbol", "date", F.lit(True).alias("is_gap"))
+            levels = described.join(is_gap, ["symbol", "date"], "left").withColumn("level", F.expr("if(is_gap, anchored_vwap, null)"))
+            parts.append(forward.far_touch(levels, "level", mode, bars, days).select(F.lit(mode).alias("mode"), "symbol", "date", "touch"))
+        return parts[0].unionByName(parts[1])
+
+    return query
+
+
 def _horizons(*names: str) -> list[str]:
     return [f"{name}_{h}d" for h in (5, 10) for name in names]
 
@@ -202,6 +217,22 @@ def order_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select("l_orderkey", F.array_join("r.rule", "").alias("sheet"))
 
 
+def event_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A style sheet per user whose events open rules, declare values and close rules, not always in balance."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    piece = F.expr(
+        "case when event_id % 6 < 2 then concat('@', event_type, ' { ') when event_id % 6 < 4 then concat(event_type, ': ', event_id, ';\n')"
+        " else concat('last: ', event_id % 10, ' }\n') end"
+    )
+    pieces = events.select("user_id", F.struct("ts", "event_id", piece.alias("piece")).alias("e"))
+    return pieces.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list("e"))["piece"], "").alias("sheet"))
+
+
+def _nested_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = text.nested_rules(event_sheets(spark, sf_dir), "user_id", "sheet")
+    return rules.withColumn("path", F.array_join("path", " / "))
+
+
 def _cleaned_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.clean_rules(order_sheets(spark, sf_dir), "l_orderkey", "sheet")
 
@@ -244,6 +275,8 @@ QUERIES: dict[str, Query] = {
     "forward_bars": lambda s, d: forward.forward_bars(followed(s, d, "up")),
     "forward_extremes": _measured(_horizons("lowest", "highest"), lambda t: t),
     "retrace_vwap": _retrace_vwap,
+    "first_touch_250": _far_touches(None, 250),
+    "first_touch_calendar_365": _far_touches(365, None),
     "retrace_ema21": _retrace_ema21("up"),
     "retrace_ema21_down": _retrace_ema21("down"),
     "forward_extremes_down": _measured(_horizons("lowest", "highest"), lambda t: t, "down"),
@@ -289,6 +322,7 @@ QUERIES: dict[str, Query] = {
         event_levels(s, d), "user_id", ["ts", "event_id"]
     ),
     "style_rules": _style_rules,
+    "nested_rules": _nested_rules,
     "strip_comments": _strip_comments,
     "cleaned_rules": _cleaned_rules,
     "latest_snapshots": _latest_snapshots,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gapscan.functions.columns import BY_SYMBOL, WindowFeature, add, add_features
 from gapscan.functions.prices import by_mode
@@ -63,6 +64,41 @@ def first_touch(level: str, mode: str, n: int, days: int | None = None) -> str:
     return by_mode(mode, first("low", "<="), first("high", ">="))
 
 
+def far_touch(df: DataFrame, level: str, mode: str, bars: int | None = None, days: int | None = None, name: str = "touch") -> DataFrame:
+    """(symbol, date, touch): number of the first following bar that comes back to the level, at any horizon.
+
+    Only rows with a level are returned; the touch is null without one among the next `bars` bars, or among those at most `days` calendar
+    days on (one of the two is given). Each symbol's bars become sparse tables, the lowest low of the 1, 2, 4, ... bars
+    from a bar on (for gaps down, the highest high), of which log2(horizon) suffice: a row steps
+    over the widest stretches that do not touch, from the widest to the narrowest. A symbol has a bar per calendar day
+    at most, which bounds its arrays. Bars must be unique; a low that is not known does not touch.
+    """
+    if mode not in ("up", "down") or (bars is None) == (days is None) or (bars or days) < 1:
+        raise ValueError("give a mode, up or down, and a horizon of one bar or day at least")
+    sign = "" if mode == "up" else "-"
+    reach = str(bars) if bars else f"count(*) over ({BY_SYMBOL} range between interval 1 day following and interval {days} days following)"
+    price = "low" if mode == "up" else "high"
+    seen = df.selectExpr("symbol", "date", f"{sign}{price} as _price", f"{sign}({level}) as _level", f"cast({reach} as int) as _reach")
+    packed = seen.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("date", "_price", "_level", "_reach"))).alias("_bars"))
+    top = (bars or days).bit_length() - 1
+    tables = (
+        f"aggregate(sequence(1, {top + 1}), array(transform(_bars, b -> b._price)), (done, k) -> if(k > {top}, done, concat(done, array("
+        "transform(element_at(done, -1), (x, j) -> least(x, get(element_at(done, -1), j + shiftleft(1, k - 1))))))))"
+    )
+    # a table lists stretches from each bar on; what is beyond the last bar, or unknown, is stepped over
+    steps = (
+        f"aggregate(sequence({top}, 0, -1), 0, (at, k) -> if(at + shiftleft(1, k) <= b._reach"
+        " and coalesce(get(get(t, k), i + 1 + at) > b._level, true), at + shiftleft(1, k), at))"
+    )
+    # the tables are bound to a name, so that they are made once
+    stepped = (
+        f"get(transform(array({tables}), t -> filter(transform(_bars, (b, i) -> if(b._level is null, null, struct(b.date as date, transform(array({steps}), at ->"
+        " if(at < b._reach and get(get(t, 0), i + 1 + at) <= b._level, at + 1, null)) as found))), r -> r is not null)), 0)"
+    )
+    rows = packed.select("symbol", F.explode(F.expr(stepped)).alias("_row"))
+    return rows.select("symbol", F.col("_row.date").alias("date"), F.col("_row.found")[0].alias(name))
+
+
 def with_forward_extremes(df: DataFrame) -> DataFrame:
     """Adds lowest_<h>d and highest_<h>d over the next h bars."""
     columns = {}

@@ -78,3 +78,57 @@ def clean_rules(df: DataFrame, id: str, text: str) -> DataFrame:
     piece = F.floor(F.col("declaration_pos") / 1000)
     blocks = distinct_blocks(changed, key, "pos", order, "attribute", "value", piece)
     return blocks.orderBy(id, "first_pos", "pos", "ordinal")
+
+
+# What ends a stretch of style text.
+TOKEN_PATTERN = r"[^{};]*+[{};]?"
+
+
+def style_tokens(df: DataFrame, id: str, text: str) -> DataFrame:
+    """The stretches of each text up to a brace or semicolon: id, pos, said, mark, level, depth.
+
+    `depth` is how many rules are open behind the mark: the running sum of openings less closings, less its
+    lowest value so far, so that a closing brace too many counts for nothing. `level` is the depth before the mark. Text behind
+    the last mark belongs to no rule and is left out.
+    """
+    found = F.filter(F.regexp_extract_all(F.col(text), F.lit(TOKEN_PATTERN), F.lit(0)), lambda t: t.rlike("[{};]$"))
+    tokens = df.select(id, F.posexplode(found).alias("pos", "_token"))
+    tokens = tokens.withColumns({
+        "said": _stripped(F.expr("substring(_token, 1, length(_token) - 1)")),
+        "mark": F.expr("right(_token, 1)"),
+    }).drop("_token")
+    # all windows below are by text, so that one exchange serves them all
+    tokens = tokens.repartition(id)
+    order = Window.partitionBy(id).orderBy("pos")
+    step = F.when(F.col("mark") == "{", 1).when(F.col("mark") == "}", -1).otherwise(0)
+    summed = tokens.withColumn("_sum", F.sum(step).over(order))
+    deep = summed.withColumn("depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(order))).drop("_sum")
+    return deep.withColumn("level", F.coalesce(F.lag("depth").over(order), F.lit(0)))
+
+
+def nested_rules(df: DataFrame, id: str, text: str) -> DataFrame:
+    """One row per declaration inside rules that may hold rules: id, pos, depth, path, selector, attribute, value.
+
+    A declaration ends at a semicolon or at its rule's closing brace and splits at the first colon; text without
+    one is skipped. `path` lists the selectors of the rules around its own, outermost first; `depth` is their number plus
+    one. The rule open at a depth is the last one opened at it. A closing brace without a rule is skipped, a rule that is never closed
+    reaches to the end of the text. Null texts have no rows; equal ids count as one text each only if their texts are in one row.
+    """
+    tokens = style_tokens(df.where(F.col(text).isNotNull()), id, text)
+    opened = tokens.where("mark = '{'").select(id, "pos", F.col("depth").alias("own"), F.col("said").alias("selector"))
+    # each rule once for every depth up to its own; the last rule opened at a depth is the one around it
+    levels = opened.withColumn("at", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("own").cast("bigint"))))
+    last = Window.partitionBy(id, "at").orderBy("pos")
+    around = levels.withColumn("name", F.last(F.when(F.col("at") == F.col("own"), F.col("selector")), ignorenulls=True).over(last))
+    paths = around.groupBy(id, "pos", "own").agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("_path"))
+    rules = paths.select(id, "pos", F.col("own").alias("depth"), F.transform("_path", lambda x: x["name"]).alias("_path"), F.lit(None).cast("string").alias("said"))
+    said = tokens.where("mark <> '{' and level > 0 and contains(said, ':')")
+    said = said.select(id, "pos", F.col("level").alias("depth"), F.lit(None).cast("array<string>").alias("_path"), "said")
+    # a declaration belongs to the last rule opened at its depth
+    owner = F.last("_path", ignorenulls=True).over(Window.partitionBy(id, "depth").orderBy("pos"))
+    owned = rules.unionByName(said).repartition(id).withColumn("_path", owner).where("said is not null")
+    halves = owned.withColumn("_halves", F.split(F.col("said"), ":", 2))
+    return halves.select(
+        id, "pos", F.col("depth").cast("int").alias("depth"), F.slice("_path", F.lit(1), F.col("depth").cast("int") - 1).alias("path"),
+        F.element_at("_path", -1).alias("selector"), _stripped(F.get("_halves", F.lit(0))).alias("attribute"), _stripped(F.get("_halves", F.lit(1))).alias("value"),
+    )
