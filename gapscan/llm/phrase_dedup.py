@@ -4,7 +4,7 @@ Equal texts are one text with a number of copies. Each window of SIZE words has
 words with the smallest hash in it; equal windows have equal anchors. Neighbouring windows with one
 anchor form a stretch. Stretches whose anchor occurs again are collapsed to the different ones, and what recurs among their
 windows is confirmed by 128-bit digests. The confirmed windows are dealt by anchor to shards of bounded size; a
-shard compiles its windows, as sequences of word numbers, into an automaton, and all different stretches
+shard compiles the cores of its windows, as sequences of word numbers, into an automaton, and all different stretches
 of its anchors stream through it. The occurrences located go back to every text that holds the stretch.
 """
 
@@ -188,17 +188,36 @@ def _windows(size: int):
 
 
 class Phrases:
-    """An automaton over word numbers that holds phrases of equal length."""
+    """Recurring windows of equal length: an automaton over word numbers finds their cores, the windows around are confirmed.
+
+    Neighbouring windows make a passage, and passages are cut into cores of half a window, so that every window holds
+    a whole one: the automaton has as many nodes as passages have words, not as windows have.
+    """
 
     def __init__(self, size: int):
-        self.size, self.numbers = size, {}
+        self.size, self.core = size, (size + 1) // 2
+        self.numbers: dict[bytes, int] = {}
+        self.windows: set[tuple] = set()
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
 
     def add(self, words: list[bytes], places: list[int]) -> None:
+        """The windows that begin at these places, ascending."""
         numbers = self.numbers
         spelled = [numbers.setdefault(w, len(numbers) + 1) for w in words]
+        first = last = None
         for k in places:
-            self.automaton.add_word(tuple(spelled[k : k + self.size]), 1)
+            self.windows.add(tuple(spelled[k : k + self.size]))
+            if last is None or k > last + 1:
+                if last is not None:
+                    self._cores(spelled[first : last + self.size])
+                first = k
+            last = k
+        if last is not None:
+            self._cores(spelled[first : last + self.size])
+
+    def _cores(self, passage: list[int]) -> None:
+        for at in range(0, len(passage) - self.core + 1, self.core):
+            self.automaton.add_word(tuple(passage[at : at + self.core]), 1)
 
     def compiled(self) -> Phrases:
         self.automaton.make_automaton()
@@ -208,15 +227,19 @@ class Phrases:
         """Merged runs of words under occurrences, as starts and ends."""
         if not len(self.automaton):
             return [], []
-        known = self.numbers.get
-        starts, ends = [], []
-        for last, _ in self.automaton.iter(tuple([known(w, 0) for w in words])):
-            a, b = last - self.size + 1, last + 1
-            if ends and a <= ends[-1]:
-                ends[-1] = b
-            else:
-                starts.append(a)
-                ends.append(b)
+        known, size, windows = self.numbers.get, self.size, self.windows
+        spelled = tuple([known(w, 0) for w in words])
+        starts, ends, seen = [], [], 0
+        for last, _ in self.automaton.iter(spelled):
+            # all windows around this core that no earlier core had
+            for a in range(max(seen, last + 1 - size), min(last + 1 - self.core, len(spelled) - size) + 1):
+                if spelled[a : a + size] in windows:
+                    if ends and a <= ends[-1]:
+                        ends[-1] = a + size
+                    else:
+                        starts.append(a)
+                        ends.append(a + size)
+            seen = max(seen, last + 2 - self.core)
         return starts, ends
 
 
@@ -234,7 +257,7 @@ def _locate(size: int):
                     shard, phrases, filling = number, Phrases(size), True
                 words = text.split(b" ")
                 if kind == 0:
-                    phrases.add(words, range(len(words) - size + 1) if places is None else places)
+                    phrases.add(words, range(len(words) - size + 1) if places is None else sorted(places))
                     continue
                 if filling:
                     phrases.compiled()
@@ -309,9 +332,8 @@ def remove_phrases(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR) -> t
     wanted = different.groupBy(F.col("one.tid").alias("tid")).agg(F.collect_list(wanted).alias("wanted"))
     stretches = written(texts.select("tid", "text").join(wanted, "tid").select("text", "wanted").mapInArrow(_contents(size), CONTENTS))
     # windows that recur, each with one stretch that holds it; of a lone content all do
-    windows = stretches.where("differ").select("anchor", "content", "n", "words").mapInArrow(_windows(size), WINDOWS)
-    windows = written(windows)
-    recurring = windows.groupBy("anchor", "window").agg(F.sum("n").alias("n"), F.min(F.struct("content", "place")).alias("one")).where("n > 1")
+    windows = lambda of: of.select("anchor", "content", "n", "words").mapInArrow(_windows(size), WINDOWS)
+    recurring = windows(stretches.where("differ")).groupBy("anchor", "window").agg(F.sum("n").alias("n"), F.min(F.struct("content", "place")).alias("one")).where("n > 1")
     recurring = written(recurring.select("anchor", "window", F.col("one.content").alias("content"), F.col("one.place").alias("place")))
     # a crowded anchor's windows are dealt to blocks, and its stretches to copies of these
     held = stretches.groupBy("anchor").agg(F.count("*").alias("held"))
@@ -330,7 +352,8 @@ def remove_phrases(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR) -> t
     )
     # a stretch passes the blocks that its windows are dealt to
     salt = F.pmod(F.xxhash64("content"), "salts").alias("salt")
-    split = windows.join(crowded.where("blocks > 1"), "anchor").select("anchor", "content", F.pmod(F.xxhash64("window"), "blocks").alias("block"), salt).distinct()
+    crowd = crowded.where("blocks > 1")
+    split = windows(stretches.where("differ").join(crowd, "anchor", "left_semi")).join(crowd, "anchor").select("anchor", "content", F.pmod(F.xxhash64("window"), "blocks").alias("block"), salt).distinct()
     split = split.join(stretches.select("anchor", "content", "words"), ["anchor", "content"])
     plain = stretches.join(crowded, "anchor", "left").where("coalesce(blocks, 1) = 1")
     plain = plain.select("anchor", "content", F.lit(0).cast("bigint").alias("block"), F.coalesce(F.pmod(F.xxhash64("content"), "salts"), F.lit(0)).alias("salt"), "words")
