@@ -587,6 +587,20 @@ def statements() -> dict[str, str]:
     result["gap_outcomes_month"] = (
         f"with {full('up')} select * from outcome_up where date between date '1995-03-01' and date '1995-03-31'"
     )
+    result["asof_close"] = f"""with {BARS}, moved as (
+        select event_id, case when event_id % 3 = 0 then 'SPY' else 'S' || (1 + user_id % 120) end symbol,
+               cast(date '1992-01-01' + cast(event_id * 37 % 2600 as int) as timestamp) + (ts - date_trunc('day', ts)) as at from events)
+        select moved.event_id, moved.symbol, moved.at, bar.date close_date, bar.close last_close
+        from moved asof left join bar on moved.symbol = bar.symbol and moved.at >= cast(bar.date as timestamp)"""
+    tp = "cast(round((b.high+b.low+b.close)*1000000) as hugeint)"
+    result["avwap_since"] = f"""with {BARS}, asked as (
+        select symbol, date, close, date - cast((day(date) * 131 + month(date) * 17) % 401 as int) as anchor from bar),
+        since as (select a.symbol, a.date, any_value(a.close) as close, any_value(a.anchor) as anchor,
+            case when sum(b.volume) > 0 then cast(sum({tp}*b.volume) as double)/(cast(sum(b.volume) as double)*3000000.0::double)
+            else cast(sum({tp}) as double)/(count({tp})*3000000.0::double) end anchored_vwap
+            from asked a join bar b on b.symbol = a.symbol and b.date between a.anchor and a.date group by a.symbol, a.date)
+        select *, case when anchored_vwap > 0 then (close-anchored_vwap)/anchored_vwap*100.0::double end avwap_distance_percent from since"""
+    result["outcomes_upkept"] = f"with {full('up')} select * from outcome_up"
     result["top_gap_outcomes"] = report_query("select date, rank, ticker, gap_up_percent, {} from ({})".format(
         ", ".join(f"{name}_{h}d" for h in HORIZONS for name in ("retrace_percentage", "mfe_percent", "mae_percent")),
         "select *, cast(row_number() over (partition by date order by gap_up_percent desc, ticker) as int) as rank"

@@ -10,10 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscan.operators import forward, gaps, indicators, keyed, snapshots, text
+from gapscan.operators import forward, gaps, indicators, keyed, lookups, snapshots, text
 from gapscan.plans.outcomes import candidate_gaps, gap_outcomes
 from gapscan.plans.reports import REPORTS
 from gapscan.plans.summaries import summary_by_date, summary_overall
+from gapscan.plans.upkeep import read_table, update_outcomes
 from gapscan.schema import LEGACY_NAMES, OUTCOME_COLUMNS
 from gapscan.sources.bars import OPEN, bars, bars_of, dedupe_bars, trading_dates
 from gapscan.sources.lineitem_bars import raw_bars
@@ -143,6 +144,18 @@ LONG_REPORTS = (
 OLD_COLUMNS = ("ticker", "date", "gap_up_percent", "open_price", "close_price", "anchored_vwap")
 
 
+def _outcomes_upkept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An outcome table that bars are added to in three steps; the second misses bars that come with the third."""
+    path, all_bars = f"{shared_folder(spark)}/outcomes", raw(spark, sf_dir)
+    late = "(symbol = 'S7' or xxhash64(symbol) % 4 = 0) and date between date '1998-03-01' and date '1998-03-05'"
+    steps = ["date < date '1998-02-01'", f"date < date '1998-06-01' and not ({late})", "true"]
+    before = "false"
+    for step in steps:
+        update_outcomes(all_bars.where(step), all_bars.where(f"{step} and not ({before})"), path)
+        before = step
+    return read_table(spark, path)
+
+
 def _old_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An outcome file of the oldest kind: one horizon, under its old names."""
     old = published(spark, sf_dir).select(*OLD_COLUMNS, *LEGACY_NAMES).withColumnsRenamed(LEGACY_NAMES)
@@ -168,6 +181,23 @@ def _dated_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary_by_date(gap_outcomes(raw(spark, sf_dir), "up"), dates)
 
 
+def _asof_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event, moved into the bars' years and given a symbol (a third of all the same), with the last close before its day."""
+    moved = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+        "event_id", "if(event_id % 3 = 0, 'SPY', concat('S', 1 + user_id % 120)) as symbol",
+        "cast(date_add(date '1992-01-01', cast(event_id * 37 % 2600 as int)) as timestamp_ntz) + (ts - date_trunc('day', ts)) as at",
+    )
+    closes = unique(spark, sf_dir).select("symbol", "date", "close")
+    return lookups.asof_join(moved, closes, "symbol", "at", "date", {"date": "close_date", "close": "last_close"}, strict=False)
+
+
+def _avwap_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each bar's VWAP since an anchor of its own, 0 to 400 days back."""
+    bars_ = unique(spark, sf_dir)
+    anchored = bars_.selectExpr("symbol", "date", "close", "date_sub(date, (day(date) * 131 + month(date) * 17) % 401) as anchor")
+    return lookups.with_distance_since(lookups.avwap_since(anchored, bars_, "anchor"), bars_, "anchor")
+
+
 def event_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their value in steps of 20 and their day."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -266,6 +296,8 @@ QUERIES: dict[str, Query] = {
     ),
     "ema_21": lambda s, d: indicators.with_ema(unique(s, d)).select("symbol", "date", "ema_21"),
     "avwap_anchors": lambda s, d: indicators.anchor_dates(raw(s, d).select("date").distinct()),
+    "asof_close": _asof_close,
+    "avwap_since": _avwap_since,
     "avwap_quarterly": lambda s, d: indicators.with_anchored_vwap_distances(unique(s, d), dates_of=raw(s, d)).drop(
         "open", "high", "low", "volume"
     ),
@@ -290,6 +322,7 @@ QUERIES: dict[str, Query] = {
         _horizons("gap_closure_percentage", "gap_filled"), lambda t: forward.with_gap_closure(t, "down"), "down"
     ),
     "gap_outcomes_month": lambda s, d: gap_outcomes(raw(s, d), "up", *MONTH),
+    "outcomes_upkept": _outcomes_upkept,
     "top_gap_outcomes": _top_gap_outcomes,
     "vwap_by_symbol_busy": lambda s, d: gaps.vwap_by_symbol(_busy(s, d)),
     "avwap_3d_busy": lambda s, d: gaps.with_avwap_3d(_busy(s, d)).select("symbol", "date", "anchored_vwap"),

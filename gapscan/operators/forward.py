@@ -73,7 +73,7 @@ def far_touch(df: DataFrame, level: str, mode: str, bars: int | None = None, day
     over the widest stretches that do not touch, from the widest to the narrowest. A symbol has a bar per calendar day
     at most, which bounds its arrays. Bars must be unique; a low that is not known does not touch.
     """
-    if mode not in ("up", "down") or (bars is None) == (days is None) or (bars or days) < 1:
+    if mode not in ("up", "down") or (bars is None) == (days is None) or (days if bars is None else bars) < 1:
         raise ValueError("give a mode, up or down, and a horizon of one bar or day at least")
     sign = "" if mode == "up" else "-"
     reach = str(bars) if bars else f"count(*) over ({BY_SYMBOL} range between interval 1 day following and interval {days} days following)"

@@ -7,25 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructType, TimestampType
 
-SNAPSHOT, BATCH = "snapshot_time", "batch"
-
-
-class Folders:
-    """Partition folders of a table, by whatever file system its path names."""
+from gapscan.sources.folders import Folders
 
-    def __init__(self, spark: SparkSession, path: str):
-        jvm = spark._jvm
-        self.path = jvm.org.apache.hadoop.fs.Path(path)
-        self.files = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
-        self.child = jvm.org.apache.hadoop.fs.Path
-
-    def names(self) -> list[str]:
-        if not self.files.exists(self.path):
-            return []
-        return [s.getPath().getName() for s in self.files.listStatus(self.path) if s.isDirectory()]
-
-    def delete(self, name: str) -> None:
-        self.files.delete(self.child(self.path, name), True)
+SNAPSHOT, BATCH = "snapshot_time", "batch"
 
 
 def _micros(name: str) -> int | None:
