@@ -661,6 +661,9 @@ def statements() -> dict[str, str]:
     result["monthly_win_both_of_old_file"] = report_query("select month, '10d' horizon, win10 rate from months", MONTHS)
     # moving averages and anchors came later, so there is no level to be above or below of
     result["win_above_below_of_old_file"] = f"select * from ({result['win_above_below']}) where false"
+    for name in ("report_header", "perf_by_year_10d", "perf_by_gap_size_5d", "monthly_sma5", "gap_histogram", "win_by_avwap_distance_10d",
+                 "win_above_below", "days_to_retrace_10d", "benchmark_vs_retrace"):
+        result[f"{name}_of_cube"] = result[name]
     result["latest_snapshots"] = f"""with {EVENTS} select * from ev
         where day in (select distinct day from ev where day is not null order by day desc limit 10)"""
     return result

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gapscan.operators import forward, gaps, indicators, keyed, lookups, snapshots, text
 from gapscan.plans.outcomes import candidate_gaps, gap_outcomes
+from gapscan.plans.report_cube import Cube
 from gapscan.plans.reports import REPORTS
 from gapscan.plans.summaries import summary_by_date, summary_overall
 from gapscan.plans.upkeep import read_table, update_outcomes
@@ -136,6 +137,11 @@ OLD_FILE_REPORTS = (
     "overall_rates", "profit_factor_overall", "perf_by_year_5d", "perf_by_year_10d", "monthly_sma5", "monthly_win_5d",
     "monthly_win_10d", "monthly_win_both", "win_by_gap_5d", "win_by_gap_10d", "win_above_below",
 )
+#: Report tables that are also made from the one pass that serves all of them.
+CUBE_REPORTS = (
+    "report_header", "perf_by_year_10d", "perf_by_gap_size_5d", "monthly_sma5", "gap_histogram", "win_by_avwap_distance_10d", "win_above_below",
+    "days_to_retrace_10d", "benchmark_vs_retrace",
+)
 LONG_REPORTS = (
     "report_header", "perf_by_year_10d", "perf_by_gap_size_10d", "win_by_avwap_distance_5d", "win_by_avwap_distance_10d", "equity_curve",
 )
@@ -166,6 +172,10 @@ def _report_of_old_file(name: str) -> Query:
     return lambda spark, d: REPORTS[name](_old_file(spark, d))
 
 
+def _report_of_cube(name: str) -> Query:
+    return lambda spark, d: Cube.of(published(spark, d)).reports()[name]
+
+
 def _busy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with volumes as real markets have them."""
     return unique(spark, sf_dir).withColumn("volume", F.col("volume") * 10_000_000)
@@ -349,6 +359,7 @@ QUERIES: dict[str, Query] = {
     **{name: _report(report) for name, report in REPORTS.items()},
     **{f"{name}_long": _report(REPORTS[name], "down") for name in LONG_REPORTS},
     **{f"{name}_of_old_file": _report_of_old_file(name) for name in OLD_FILE_REPORTS},
+    **{f"{name}_of_cube": _report_of_cube(name) for name in CUBE_REPORTS},
     "changes_only": level_changes,
     "distinct_blocks": _distinct_blocks,
     "grouped_first_seen": lambda s, d: keyed.group_in_first_seen_order(

@@ -74,11 +74,11 @@ def _performance(outcomes: DataFrame, h: int) -> list[Column]:
     }
     return [
         F.count(F.lit(1)).alias("trades"),
-        *[_two_decimals(if_known(outcomes, of, measure(of))).alias(name) for name, (measure, of) in measures.items()],
+        *[two_decimals(if_known(outcomes, of, measure(of))).alias(name) for name, (measure, of) in measures.items()],
     ]
 
 
-def _two_decimals(measure: Column) -> Column:
+def two_decimals(measure: Column) -> Column:
     infinite = F.lit(float("inf"))
     return F.when(measure == infinite, infinite).otherwise(F.round(measure, 2))
 
@@ -107,7 +107,7 @@ def _month(date: str = "date") -> Column:
     return F.trunc(date, "month")
 
 
-def _trailing_mean(value: str, rows: int) -> Column:
+def trailing_mean(value: str, rows: int) -> Column:
     # Rows here are months: a century has 1200, so one unpartitioned window is small.
     return F.avg(value).over(Window.orderBy("month").rowsBetween(1 - rows, 0))
 
@@ -127,7 +127,7 @@ def monthly_sma5(outcomes: DataFrame) -> DataFrame:
     )
     share = lambda h: F.when(F.col("total") > 0, F.col(f"retraced{h}") * 100 / F.col("total"))
     rated = monthly.withColumns({f"rate{h}": share(h) for h in HORIZONS})
-    return rated.withColumns({f"sma{h}": _trailing_mean(f"rate{h}", 5) for h in HORIZONS}).orderBy("month")
+    return rated.withColumns({f"sma{h}": trailing_mean(f"rate{h}", 5) for h in HORIZONS}).orderBy("month")
 
 
 def _monthly_rates(outcomes: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def _monthly_rates(outcomes: DataFrame) -> DataFrame:
 def monthly_win(outcomes: DataFrame, h: int) -> DataFrame:
     """Win rate per month with its mean over the last 14 months there are; no rows for a horizon that is not known."""
     rates = _monthly_rates(outcomes).where(F.lit(known(outcomes, f"retraced_to_vwap_{h}d"))).select("month", F.col(f"rate{h}").alias("rate"))
-    return rates.withColumn("ma14", _trailing_mean("rate", 14)).orderBy("month")
+    return rates.withColumn("ma14", trailing_mean("rate", 14)).orderBy("month")
 
 
 def monthly_win_both(outcomes: DataFrame) -> DataFrame:
@@ -151,7 +151,11 @@ def monthly_win_both(outcomes: DataFrame) -> DataFrame:
 def gap_histogram(outcomes: DataFrame, bins: int = 40) -> DataFrame:
     """Counts in equal-width bins from the smallest to the largest gap, the last one closed."""
     gap = F.col("gap_up_percent")
-    counted = outcomes.where(gap.isNotNull()).groupBy(gap.alias("gap")).agg(F.count(F.lit(1)).alias("n"))
+    return histogram_of(outcomes.where(gap.isNotNull()).groupBy(gap.alias("gap")).agg(F.count(F.lit(1)).alias("n")), bins)
+
+
+def histogram_of(counted: DataFrame, bins: int = 40) -> DataFrame:
+    """The histogram of gaps that occur n times each."""
     lowest, highest = (counted.agg(bound("gap")).scalar() for bound in (F.min, F.max))
     number = F.when(
         F.col("highest") > F.col("lowest"), F.least(F.expr(f"width_bucket(gap, lowest, highest, {bins})"), F.lit(bins))
@@ -176,7 +180,11 @@ def gap_box(outcomes: DataFrame) -> DataFrame:
     Rounding bounds their number, whatever the table: gaps of up to 1,000 percent have 100,000.
     """
     gap = F.round("gap_up_percent", 2)
-    counted = outcomes.where(gap.isNotNull()).groupBy(gap.alias("gap")).agg(F.count(F.lit(1)).alias("n"))
+    return box_of(outcomes.where(gap.isNotNull()).groupBy(gap.alias("gap")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def box_of(counted: DataFrame) -> DataFrame:
+    """The five-number summary of gaps that occur n times each."""
     five = counted.agg(F.expr("percentile(gap, array(0.0, 0.25, 0.5, 0.75, 1.0), n)").alias("q"))
     names = ("lowest", "lower_quartile", "median", "upper_quartile", "highest")
     return five.select(*[F.get("q", F.lit(i)).alias(name) for i, name in enumerate(names)])
@@ -204,11 +212,14 @@ def win_by_gap(outcomes: DataFrame, h: int) -> DataFrame:
 
 def win_by_avwap_distance(outcomes: DataFrame, h: int) -> DataFrame:
     """Win rate by the room from open to anchored VWAP in percent of the open, floored at 0."""
+    return _win_by(outcomes, buckets.AVWAP_DISTANCE, room_percent(), h)
+
+
+def room_percent() -> Column:
     room = F.col("open_price") - F.col("anchored_vwap")
     signed = F.when(F.lower("direction") == "short", room).otherwise(-room)
     percent = signed * 100 / F.nullif("open_price", F.lit(0.0))
-    floored = F.when(percent.isNotNull(), F.greatest(percent, F.lit(0.0)))
-    return _win_by(outcomes, buckets.AVWAP_DISTANCE, floored, h)
+    return F.when(percent.isNotNull(), F.greatest(percent, F.lit(0.0)))
 
 
 def win_by_sma330(outcomes: DataFrame, h: int) -> DataFrame:
@@ -261,7 +272,7 @@ def win_above_below_330(outcomes: DataFrame) -> DataFrame:
     return _above_below(outcomes, {"330-SMA": "sma_330_distance_percent"})
 
 
-def _pnl(h: int) -> Column:
+def pnl(h: int) -> Column:
     """Expected profit of one trade: what a full retrace earns, weighted by how far it got."""
     price = F.col("open_price")
     shares = F.when(price > 0, F.lit(TRADE_SIZE) / price).otherwise(F.lit(0.0))
@@ -271,7 +282,7 @@ def _pnl(h: int) -> Column:
 
 
 def trade_pnl(outcomes: DataFrame) -> DataFrame:
-    return outcomes.select("ticker", "date", *[_pnl(h).alias(f"pnl_{h}") for h in HORIZONS])
+    return outcomes.select("ticker", "date", *[pnl(h).alias(f"pnl_{h}") for h in HORIZONS])
 
 
 # Money is summed as decimals, which gives the same total in any order of adding.
@@ -352,7 +363,11 @@ def benchmark_vs_retrace(outcomes: DataFrame) -> DataFrame:
 
 def benchmark_trend(outcomes: DataFrame) -> DataFrame:
     """Least-squares line of the retracement rate over the benchmark's gain, by date."""
-    return benchmark_vs_retrace(outcomes).agg(
+    return trend_of(benchmark_vs_retrace(outcomes))
+
+
+def trend_of(points: DataFrame) -> DataFrame:
+    return points.agg(
         F.round(F.regr_slope("rate10", "spy"), 6).alias("slope"),
         F.round(F.regr_intercept("rate10", "spy"), 6).alias("intercept"),
         F.round(F.regr_r2("rate10", "spy"), 6).alias("r2"),
