@@ -26,9 +26,9 @@ candle as (
   select 'SPY', d, (40000+s%2000)/100.0::double, 420.0::double, 400.0::double,
          (40000+(s//7)%2000)/100.0::double, n
   from (select d, cast(sum(e) as bigint) s, count(*) n from t group by d)),
-bar as (select symbol, date, open, high, low, close, volume from candle qualify row_number() over (
+bar as materialized (select symbol, date, open, high, low, close, volume from candle qualify row_number() over (
   partition by symbol, date order by coalesce(volume,0) desc, open desc, close desc, high desc, low desc) = 1),
-prev as (select *, lag(close) over (partition by symbol order by date) prev_close,
+prev as materialized (select *, lag(close) over (partition by symbol order by date) prev_close,
                 row_number() over (partition by symbol order by date) rn from bar)
 """
 
@@ -44,7 +44,7 @@ def vwap(frame: str = "") -> str:
 
 
 NEAR = f"""
-near as (select *, {vwap(" over (partition by symbol order by date range between interval 3 days preceding and current row)")}
+near as materialized (select *, {vwap(" over (partition by symbol order by date range between interval 3 days preceding and current row)")}
          anchored_vwap from prev)
 """
 
