@@ -32,8 +32,14 @@ WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[48:58] = WORD_BYTE[97:123] = WORD_BYTE[128:] = True
 
 
+#: Rows that Spark hands to Python at once, unless the session says otherwise than Spark's own default; a batch of long texts is large.
+BATCH_ROWS = 1000
+
+
 def known_to_workers(spark: SparkSession) -> None:
-    """Lets Python workers that see this folder import the package from it; elsewhere it is sent with --py-files."""
+    """Lets Python workers that see this folder import the package from it; elsewhere it is sent with --py-files. Keeps Arrow batches small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if home not in paths:
@@ -80,11 +86,18 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES, rows: i
         to = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
         yield batch.slice(at, to - at)
         at = to
-    release()
+    release(every=8)
+
+
+_RELEASED = 0
 
 
-def release() -> None:
-    """Gives what numpy and Arrow have freed back to the system; workers live on for other work."""
+def release(every: int = 1) -> None:
+    """Gives what numpy and Arrow have freed back to the system, at every so many calls; workers live on for other work."""
+    global _RELEASED
+    _RELEASED += 1
+    if _RELEASED % every:
+        return
     pa.default_memory_pool().release_unused()
     if _TRIM:
         _TRIM(0)
