@@ -587,6 +587,15 @@ def statements() -> dict[str, str]:
     result["gap_outcomes_month"] = (
         f"with {full('up')} select * from outcome_up where date between date '1995-03-01' and date '1995-03-31'"
     )
+    # one bar after the other
+    result["ema_full"] = f"""with recursive {BARS}, numbered as materialized (
+        select symbol, date, close, row_number() over (partition by symbol order by date) i from bar),
+        walk(symbol, date, i, ema) as (
+            select symbol, date, i, close from numbered where i = 1
+            union all
+            select n.symbol, n.date, n.i, w.ema*(20.0::double/22.0::double) + n.close*(2.0::double/22.0::double)
+            from walk w join numbered n on n.symbol = w.symbol and n.i = w.i + 1)
+        select symbol, date, case when i >= 21 then round(ema, 6) end ema from walk"""
     result["asof_close"] = f"""with {BARS}, moved as (
         select event_id, case when event_id % 3 = 0 then 'SPY' else 'S' || (1 + user_id % 120) end symbol,
                cast(date '1992-01-01' + cast(event_id * 37 % 2600 as int) as timestamp) + (ts - date_trunc('day', ts)) as at from events)

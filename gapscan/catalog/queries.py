@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapscan.operators import forward, gaps, indicators, keyed, lookups, snapshots, text
-from gapscan.plans.outcomes import candidate_gaps, gap_outcomes
+from gapscan.plans.outcomes import candidate_gaps, gap_outcomes, gap_touches
 from gapscan.plans.report_cube import Cube
 from gapscan.plans.reports import REPORTS
 from gapscan.plans.summaries import summary_by_date, summary_overall
@@ -188,7 +188,7 @@ def _top_gap_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _dated_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     dates = trading_dates(raw(spark, sf_dir), OPEN, OPEN)
-    return summary_by_date(gap_outcomes(raw(spark, sf_dir), "up"), dates)
+    return summary_by_date(gap_touches(raw(spark, sf_dir), "up"), dates)
 
 
 def _asof_close(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,6 +305,7 @@ QUERIES: dict[str, Query] = {
         "symbol", "date", "sma_330_distance_percent"
     ),
     "ema_21": lambda s, d: indicators.with_ema(unique(s, d)).select("symbol", "date", "ema_21"),
+    "ema_full": lambda s, d: indicators.full_ema(unique(s, d), min_bars=21).withColumn("ema", F.round("ema", 6)),
     "avwap_anchors": lambda s, d: indicators.anchor_dates(raw(s, d).select("date").distinct()),
     "asof_close": _asof_close,
     "avwap_since": _avwap_since,

@@ -91,6 +91,44 @@ def with_ema(bars: DataFrame, span: int = 21, max_bars: int = EMA_BARS, min_bars
     return add_features(bars, [ema(span, max_bars, min_bars)])
 
 
+def full_ema(bars: DataFrame, span: int = 21, min_bars: int = 1, name: str = "ema") -> DataFrame:
+    """(symbol, date, ema): the recursive average of closes over each symbol's whole history, from its first known close on.
+
+    A quarter's bars take the average y it starts with to A * y + B, one after the other, so a quarter is such a map itself. Within quarters
+    all bars are worked out in parallel, as if y were 0, by sums of closes weighted by powers that stay small for a quarter's 92 days
+    (spans of 5 and more). Only the maps of quarters are then composed in order, a row a quarter, and each quarter gets the y it starts with. So a
+    symbol with most bars is spread over its quarters. A close that is not known leaves the average as it is; before the first one, and before
+    `min_bars` bars, there is none. Bars are unique; one without a date belongs to no history and is left out.
+    """
+    if span < 5:
+        raise ValueError("spans under 5 lose precision over a quarter")
+    keep = 1 - 2 / (span + 1)
+    quarter = "partition by symbol, _quarter order by date"
+    dated = add(bars.where("date is not null").select("symbol", "date", "close"), {"_quarter": "trunc(date, 'quarter')"})
+    dated = dated.repartition("symbol", "_quarter")
+    # _k closes are known so far in the quarter, the current one included
+    counted = add(dated, {"_k": f"count(close) over ({quarter})", "_bars": f"count(*) over ({quarter})"})
+    local = add(counted, {"_sum": f"sum(close * pow({keep!r}D, 0 - _k)) over ({quarter})"})
+    local = add(local, {"_own": f"coalesce({1 - keep!r}D * pow({keep!r}D, _k) * _sum, 0D)"})
+    ends = local.groupBy("symbol", "_quarter").agg(
+        F.max(F.struct("date", "_k", "_bars", "_own")).alias("_end"), F.min_by("close", F.when(F.col("close").isNotNull(), F.col("date"))).alias("_first")
+    )
+    # a symbol has four quarters a year: their maps in order, from the first known close on
+    steps = ends.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("_quarter", "_end", "_first"))).alias("_quarters"))
+    seeded = "coalesce(s.y, q._first)"
+    composed = (
+        "aggregate(_quarters, named_struct('y', cast(null as double), 'bars', 0L, 'starts',"
+        " cast(array() as array<struct<_quarter:date,y:double,begun:boolean,before:bigint>>)),"
+        f" (s, q) -> named_struct('y', pow({keep!r}D, q._end._k) * {seeded} + q._end._own, 'bars', s.bars + q._end._bars,"
+        f" 'starts', concat(s.starts, array(struct(q._quarter as _quarter, {seeded} as y, s.y is not null as begun, s.bars as before)))), s -> s.starts)"
+    )
+    starts = steps.select("symbol", F.explode(F.expr(composed)).alias("_s")).select("symbol", "_s._quarter", "_s.y", "_s.begun", "_s.before")
+    placed = local.join(starts, ["symbol", "_quarter"])
+    # before the first known close there is no average yet
+    value = f"pow({keep!r}D, _k) * y + _own"
+    return placed.selectExpr("symbol", "date", f"case when (_k > 0 or begun) and before + _bars >= {int(min_bars)} then {value} end as {name}")
+
+
 def anchor_dates(dates: DataFrame) -> DataFrame:
     """For each date, the dates its anchored VWAPs start from."""
     return dates.selectExpr(

@@ -29,6 +29,19 @@ def candidate_gaps(
     return gaps.avwap_room(found, mode, room)
 
 
+def gap_touches(bars: DataFrame, mode: str = "up", deduplicate: bool = True, **settings) -> DataFrame:
+    """(ticker, date, whether and on which bar price came back to the VWAP): what summaries by date need, without any indicator."""
+    unique = dedupe_bars(bars) if deduplicate else bars
+    described = add_features(unique, [gaps.PREV_CLOSE, gaps.AVWAP_3D, forward.forward_columns()])
+    room = settings.pop("room", gaps.DEFAULT_ROOM)
+    limits = (settings.pop(k, d) for k, d in (("threshold", gaps.DEFAULT_THRESHOLD), ("min_price", gaps.PRICE_BAND[0]), ("max_price", gaps.PRICE_BAND[1])))
+    found = gaps.avwap_room(gaps.find_gaps(described, mode, *limits), mode, room)
+    if settings:
+        raise TypeError(f"unknown settings {sorted(settings)}")
+    touched = forward.with_vwap_touch(found, mode)
+    return touched.select(F.col("symbol").alias("ticker"), "date", *[f"{c}_{h}d" for h in HORIZONS for c in ("retraced_to_vwap", "days_to_retrace")])
+
+
 def gap_outcomes(
     bars: DataFrame,
     mode: str = "up",

@@ -304,39 +304,37 @@ def equity_curve(outcomes: DataFrame) -> DataFrame:
     plus the running sum in the chunk. So a date with very many trades is split into
     many tasks' worth, and only sums per date meet in one place.
     """
-    long = (
-        trade_pnl(outcomes)
-        .selectExpr("date", "ticker", "stack(2, '5d', pnl_5, '10d', pnl_10) as (horizon, pnl)")
-        .withColumns({
-            "pnl": F.col("pnl").cast(_MONEY),
-            # Trades without a date come last.
-            "day": F.coalesce(F.unix_date("date"), F.lit(2**31 - 1)),
-            "chunk": F.substring(F.coalesce("ticker", F.lit("")), 1, 3),
-        })
-        .repartition("horizon", "day", "chunk")
-    )
-    chunk_key = ["horizon", "day", "chunk"]
     zero = F.lit(0).cast(_MONEY)
-    sums = long.groupBy(*chunk_key).agg(
-        F.coalesce(F.sum("pnl"), zero).alias("chunk_sum"), F.count("pnl").alias("known")
-    )
-    in_day = Window.partitionBy("horizon", "day").orderBy("chunk")
-    chunks = sums.withColumn("chunk_end", F.sum("chunk_sum").over(in_day))
-    days = chunks.groupBy("horizon", "day").agg(F.sum("chunk_sum").alias("day_sum"), F.sum("known").alias("known"))
-    # At most one row per calendar day and horizon.
-    by_day = Window.partitionBy("horizon").orderBy("day")
-    days = days.withColumns({
-        "day_end": F.sum("day_sum").over(by_day),
-        "any_known": F.sum("known").over(Window.partitionBy("horizon")),
-    }).where("any_known > 0")
-    starts = chunks.join(days, ["horizon", "day"]).select(
-        *chunk_key, (F.col("day_end") - F.col("day_sum") + F.col("chunk_end") - F.col("chunk_sum")).alias("start")
-    )
-    in_chunk = Window.partitionBy(*chunk_key).orderBy("ticker").rowsBetween(Window.unboundedPreceding, 0)
-    running = long.withColumn("run", F.sum(F.coalesce("pnl", zero)).over(in_chunk))
-    return running.join(starts, chunk_key).select(
-        "horizon", "date", "ticker", (F.col("start") + F.col("run")).cast("double").alias("equity")
-    )
+    trades = trade_pnl(outcomes).withColumns({
+        **{f"pnl_{h}": F.col(f"pnl_{h}").cast(_MONEY) for h in HORIZONS},
+        # Trades without a date come last.
+        "day": F.coalesce(F.unix_date("date"), F.lit(2**31 - 1)),
+        "chunk": F.substring(F.coalesce("ticker", F.lit("")), 1, 3),
+    }).repartition("day", "chunk")
+    each = lambda make: [column for h in HORIZONS for column in make(h)]
+    # Both horizons go through as columns, and become rows last.
+    chunks = trades.groupBy("day", "chunk").agg(*each(lambda h: [
+        F.coalesce(F.sum(f"pnl_{h}"), zero).alias(f"sum_{h}"), F.count(f"pnl_{h}").alias(f"known_{h}")
+    ]))
+    in_day = Window.partitionBy("day").orderBy("chunk")
+    chunks = chunks.withColumns({f"end_{h}": F.sum(f"sum_{h}").over(in_day) for h in HORIZONS})
+    days = chunks.groupBy("day").agg(*each(lambda h: [F.sum(f"sum_{h}").alias(f"day_{h}"), F.sum(f"known_{h}").alias(f"known_{h}")]))
+    # At most one row per calendar day.
+    by_day, over_all = Window.orderBy("day"), Window.partitionBy()
+    days = days.select("day", *each(lambda h: [
+        (F.sum(f"day_{h}").over(by_day) - F.col(f"day_{h}")).alias(f"before_{h}"), F.sum(f"known_{h}").over(over_all).alias(f"known_{h}")
+    ]))
+    starts = chunks.drop(*[f"known_{h}" for h in HORIZONS]).join(days, "day").select("day", "chunk", *each(lambda h: [
+        (F.col(f"before_{h}") + F.col(f"end_{h}") - F.col(f"sum_{h}")).alias(f"start_{h}"), f"known_{h}"
+    ]))
+    in_chunk = Window.partitionBy("day", "chunk").orderBy("ticker").rowsBetween(Window.unboundedPreceding, 0)
+    running = trades.withColumns({f"run_{h}": F.sum(F.coalesce(f"pnl_{h}", zero)).over(in_chunk) for h in HORIZONS})
+    curves = F.array(*[
+        F.when(F.col(f"known_{h}") > 0, F.struct(F.lit(f"{h}d").alias("horizon"), (F.col(f"start_{h}") + F.col(f"run_{h}")).cast("double").alias("equity")))
+        for h in HORIZONS
+    ])
+    placed = running.join(starts, ["day", "chunk"]).select("date", "ticker", F.explode(F.filter(curves, lambda c: c.isNotNull())).alias("c"))
+    return placed.select("c.horizon", "date", "ticker", "c.equity")
 
 
 def gap_retrace_points(outcomes: DataFrame) -> DataFrame:
