@@ -3,14 +3,15 @@
 Equal texts are one text with a number of copies. Each window of SIZE words has an anchor, the run of ANCHOR
 words with the smallest hash in it; equal windows have equal anchors. Neighbouring windows with one
 anchor form a stretch. Stretches whose anchor occurs again are collapsed to the different ones, and what recurs among their
-windows is confirmed by 128-bit digests. The confirmed windows are dealt by anchor to shards of bounded size; a
+windows is confirmed by keyed digests. The confirmed windows are dealt by anchor to shards of bounded size; a
 shard compiles the cores of its windows, as sequences of word numbers, into an automaton, and all different stretches
 of its anchors stream through it. The occurrences located go back to every text that holds the stretch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
 import ahocorasick
@@ -97,19 +98,24 @@ class Parts:
         return runs[(least[start] & bits).astype(np.int64)], owner[start], start, count
 
 
-STRETCHES = "anchor bigint, content binary, tid bigint, start bigint, count int, copies bigint"
+STRETCHES = "anchor bigint, content bigint, tid bigint, start bigint, count int, copies bigint"
 
 
-def _stretches(size: int, anchor: int):
+def digests(texts: Iterable[bytes], key: bytes) -> np.ndarray:
+    """64 bits of each under a key that is drawn for the run, so that none can be made to collide; they are only compared within one anchor."""
+    return np.frombuffer(b"".join([blake2b(text, digest_size=8, key=key).digest() for text in texts]), np.int64)
+
+
+def _stretches(size: int, anchor: int, secret: bytes):
     names = [x.split()[0] for x in STRETCHES.split(", ")]
 
     def rows(runs: list, copies: list) -> pa.RecordBatch:
         parts = Parts(runs)
         anchors, of, start, count = parts.stretches(size, anchor)
         begin, end = parts.starts[start].tolist(), parts.ends[start + count + size - 2].tolist()
-        contents = [blake2b(parts.joined[a:b], digest_size=16).digest() for a, b in zip(begin, end, strict=True)]
+        contents = digests((parts.joined[a:b] for a, b in zip(begin, end, strict=True)), secret)
         columns = [
-            pa.array(anchors.view(np.int64)), pa.array(contents, pa.binary()), pa.array(parts.text[of]), pa.array(parts.offset[of] + start - parts.first[of]),
+            pa.array(anchors.view(np.int64)), pa.array(contents), pa.array(parts.text[of]), pa.array(parts.offset[of] + start - parts.first[of]),
             pa.array(count.astype(np.int32)), pa.array(np.array(copies, np.int64)[of]),
         ]
         return pa.RecordBatch.from_arrays(columns, names=names)
@@ -168,21 +174,26 @@ def _as_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, KINDS[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
 
 
-CONTENTS = "anchor bigint, content binary, n bigint, differ boolean, words binary"
-WINDOWS = "anchor bigint, content binary, n bigint, place int, window binary"
+CONTENTS = "anchor bigint, content bigint, n bigint, differ boolean, words binary"
+WINDOWS = "anchor bigint, content bigint, n bigint, place int, window bigint"
 
 
-def _windows(size: int):
+def _windows(size: int, secret: bytes):
     """Digests of the windows of each stretch."""
+    names = [x.split()[0] for x in WINDOWS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                out = []
-                for anchor, content, n, text in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns), strict=True):
-                    words = text.split(b" ")
-                    out += [(anchor, content, n, k, blake2b(b" ".join(words[k : k + size]), digest_size=16).digest()) for k in range(len(words) - size + 1)]
-                yield _as_batch(out, WINDOWS)
+                part = batch.slice(at, 512)
+                held = [text.split(b" ") for text in part.column(3).to_pylist()]
+                counts = np.array([len(words) - size + 1 for words in held], np.int64)
+                owner = pa.array(np.repeat(np.arange(len(held)), counts))
+                place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                found = digests((b" ".join(words[k : k + size]) for words in held for k in range(len(words) - size + 1)), secret)
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(k).take(owner) for k in range(3)], pa.array(place.astype(np.int32)), pa.array(found)], names=names
+                )
 
     return run
 
@@ -243,7 +254,7 @@ class Phrases:
         return starts, ends
 
 
-LOCATED = "anchor bigint, content binary, run_starts array<int>, run_ends array<int>"
+LOCATED = "anchor bigint, content bigint, run_starts array<int>, run_ends array<int>"
 
 
 def _locate(size: int):
@@ -318,11 +329,12 @@ def remove_phrases(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR) -> t
     repeated rows are documents of their own, so each is the other's copy, whatever their ids. Null ids keep their rows. Long texts are
     taken in parts that overlap by a window; a single word is never cut. An empty table gives no rows; other columns are ignored.
     """
+    secret = os.urandom(16)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
     texts = rows.groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     texts = written(texts.withColumn("tid", F.monotonically_increasing_id()))
-    found = written(texts.select("tid", "text", "copies").mapInArrow(_stretches(size, anchor), STRETCHES))
+    found = written(texts.select("tid", "text", "copies").mapInArrow(_stretches(size, anchor, secret), STRETCHES))
     again = found.groupBy("anchor").agg(F.sum("copies").alias("n"), (F.min("content") < F.max("content")).alias("differ")).where("n > 1")
     # a table of its own, so that Spark can split an anchor that is very frequent on the other side of the join
     again = written(again.select("anchor", "differ"))
@@ -332,7 +344,7 @@ def remove_phrases(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR) -> t
     wanted = different.groupBy(F.col("one.tid").alias("tid")).agg(F.collect_list(wanted).alias("wanted"))
     stretches = written(texts.select("tid", "text").join(wanted, "tid").select("text", "wanted").mapInArrow(_contents(size), CONTENTS))
     # windows that recur, each with one stretch that holds it; of a lone content all do
-    windows = lambda of: of.select("anchor", "content", "n", "words").mapInArrow(_windows(size), WINDOWS)
+    windows = lambda of: of.select("anchor", "content", "n", "words").mapInArrow(_windows(size, secret), WINDOWS)
     recurring = windows(stretches.where("differ")).groupBy("anchor", "window").agg(F.sum("n").alias("n"), F.min(F.struct("content", "place")).alias("one")).where("n > 1")
     recurring = written(recurring.select("anchor", "window", F.col("one.content").alias("content"), F.col("one.place").alias("place")))
     # a crowded anchor's windows are dealt to blocks, and its stretches to copies of these
