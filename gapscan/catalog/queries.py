@@ -50,7 +50,11 @@ def followed(spark: SparkSession, sf_dir: str, mode: str, *features) -> DataFram
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder where the cluster keeps checkpoints, or a local one in a test session."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-gapscan-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        base = tempfile.mkdtemp(prefix="run-gapscan-")
     return os.path.join(base, f"gapscan-{uuid.uuid4().hex}")
 
 
