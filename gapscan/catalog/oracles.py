@@ -549,6 +549,7 @@ def statements() -> dict[str, str]:
     from walk where mark <> '{' and len(before) > 0 and contains(said, ':')"""
     result["strip_comments"] = r"""select page_id,
         regexp_replace(replace(replace(html, '<!--', '/*'), '-->', '*/'), '/\*.*?\*/', '', 'gs') html from pages"""
+    result["strip_comments_in_pieces"] = result["strip_comments"] + " where length(html) > 0"
     sheets = """sheets as (select l_orderkey, string_agg(l_returnflag || ' { status: ' || l_linestatus || ';' || chr(10)
         || '  discount: ' || cast(round(l_discount*20) as int) || '; }' || chr(10), '' order by l_linenumber,
         l_returnflag || ' { status: ' || l_linestatus || ';' || chr(10) || '  discount: '

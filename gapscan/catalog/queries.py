@@ -249,6 +249,15 @@ def _strip_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.strip_comments(commented, "html")
 
 
+def _strip_comments_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts cut into pieces of 97 characters, and put together afterwards."""
+    commented = pages(spark, sf_dir).selectExpr("page_id", "replace(replace(html, '<!--', '/*'), '-->', '*/') as html")
+    pieces = commented.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s).{1,97}"), F.lit(0))).alias("no", "html"))
+    cleaned = text.strip_comments_in_pieces(pieces, "page_id", "no", "html")
+    joined = cleaned.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("no", "html")))["html"], "").alias("html"))
+    return joined
+
+
 def order_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small style sheet per order: one rule per line, at most seven lines each."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
@@ -373,6 +382,7 @@ QUERIES: dict[str, Query] = {
     "style_rules": _style_rules,
     "nested_rules": _nested_rules,
     "strip_comments": _strip_comments,
+    "strip_comments_in_pieces": _strip_comments_in_pieces,
     "cleaned_rules": _cleaned_rules,
     "latest_snapshots": _latest_snapshots,
 }

@@ -132,3 +132,69 @@ def nested_rules(df: DataFrame, id: str, text: str) -> DataFrame:
         id, "pos", F.col("depth").cast("int").alias("depth"), F.slice("_path", F.lit(1), F.col("depth").cast("int") - 1).alias("path"),
         F.element_at("_path", -1).alias("selector"), _stripped(F.get("_halves", F.lit(0))).alias("attribute"), _stripped(F.get("_halves", F.lit(1))).alias("value"),
     )
+
+
+def _whole_marks(pieces: DataFrame, id: str, piece: str, text: str) -> DataFrame:
+    """Pieces cut anew so that no comment mark lies across a cut: what slashes and stars a piece ends with go to the next one.
+
+    Only these ends, not the texts, meet by text; a piece of nothing else passes them on and stays empty.
+    """
+    cut = pieces.select(id, piece, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    cut = cut.withColumn("_body", F.expr("rtrim('/*', _text)")).withColumn("_run", F.expr("substring(_text, length(_body) + 1)"))
+    order = Window.partitionBy(id).orderBy(piece)
+    ends = cut.select(id, piece, "_run", (F.col("_body") != "").alias("_solid"))
+    ends = ends.withColumn("_solid", F.col("_solid") | (F.row_number().over(order) == 1))
+    ends = ends.withColumn("_group", F.sum(F.col("_solid").cast("int")).over(order))
+    # a group is a piece with text of its own and those of mere marks behind it: its end goes to the next group, or stays if there is none
+    groups = ends.groupBy(id, "_group").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct(piece, "_run")))["_run"], "").alias("_carry"), F.min(piece).alias("_head")
+    )
+    by_group = Window.partitionBy(id).orderBy("_group")
+    heads = groups.select(
+        F.col(id).alias("_id"), "_head", F.coalesce(F.lag("_carry").over(by_group), F.lit("")).alias("_before"),
+        F.when(F.lead("_group").over(by_group).isNull(), F.col("_carry")).otherwise("").alias("_behind"),
+    )
+    placed = cut.join(heads, F.col(id).eqNullSafe(F.col("_id")) & (F.col(piece) == F.col("_head")), "left")
+    return placed.select(id, piece, F.when(F.col("_head").isNotNull(), F.concat("_before", "_body", "_behind")).otherwise("").alias(text))
+
+
+def strip_comments_in_pieces(df: DataFrame, id: str, piece: str, text: str) -> DataFrame:
+    """(id, piece, text): texts that lie in pieces, in the order of `piece`, without /* ... */ comments.
+
+    Put together, the pieces are what `strip_comments` leaves of the whole text, however it was cut; a comment that is never closed stays.
+    A piece is a map of two states, outside or inside a comment, to the state behind it, found in each piece by itself. The state that
+    a piece begins in follows from the last piece before it that leads to one state from both, and from how many swap the two since; only
+    these small rows meet by text, so a text of any length is many tasks' work. Pieces have different numbers within a text; a null piece of text is
+    empty, null ids are one text.
+    """
+    whole = _whole_marks(df, id, piece, text).withColumn("_stretches", F.split(text, COMMENT_PATTERN, -1))
+    # begun outside: whole comments go, and the last stretch may open one; begun inside: the same behind the first close
+    last = lambda name: F.element_at(name, -1)
+    opens = lambda name: F.instr(last(name), "/*")
+    closed = F.instr(text, "*/")
+    whole = whole.withColumn("_later", F.when(closed > 0, F.split(F.expr(f"substring(`{text}`, instr(`{text}`, '*/') + 2)"), COMMENT_PATTERN, -1)))
+    whole = whole.withColumns({"_from_out": (opens("_stretches") > 0).cast("int"), "_from_in": F.when(F.col("_later").isNull(), 1).otherwise((opens("_later") > 0).cast("int"))})
+    maps = whole.select(F.col(id).alias("_id"), F.col(piece).alias("_piece"), "_from_out", "_from_in", F.col("_later").isNull().alias("_through"))
+    by_piece = Window.partitionBy("_id").orderBy("_piece")
+    earlier = by_piece.rowsBetween(Window.unboundedPreceding, -1)
+    swaps = F.sum(F.when((F.col("_from_out") == 1) & (F.col("_from_in") == 0), 1).otherwise(0))
+    maps = maps.withColumn("_swapped", F.coalesce(swaps.over(earlier), F.lit(0)))
+    fixed = F.when(F.col("_from_out") == F.col("_from_in"), F.struct(F.col("_from_out").alias("state"), F.col("_swapped").alias("swapped")))
+    maps = maps.withColumn("_fixed", F.last(fixed, ignorenulls=True).over(earlier))
+    since = F.col("_swapped") - F.coalesce(F.col("_fixed.swapped"), F.lit(0))
+    maps = maps.withColumn("_start", ((F.coalesce(F.col("_fixed.state"), F.lit(0)) + since) % 2).cast("int"))
+    maps = maps.withColumn("_end", F.when(F.col("_start") == 0, F.col("_from_out")).otherwise(F.col("_from_in")))
+    # the comment that is open at the end was opened in the last piece that does not pass through inside
+    after = by_piece.rowsBetween(1, Window.unboundedFollowing)
+    passes = (F.col("_start") == 1) & F.col("_through")
+    maps = maps.withColumn("_open", (F.col("_end") == 1) & F.coalesce(F.min(passes).over(after), F.lit(True)))
+    found = whole.drop("_from_out", "_from_in").join(maps.select("_id", "_piece", "_start", "_end", "_open"), F.col(id).eqNullSafe(F.col("_id")) & (F.col(piece) == F.col("_piece")))
+
+    def kept(name: str) -> Column:
+        """All but the last stretch, and of that what is before a comment it opens, unless that one is never closed."""
+        front = F.array_join(F.slice(name, 1, F.greatest(F.size(name) - 1, F.lit(0))), "")
+        end = F.when((opens(name) > 0) & ~F.col("_open"), F.substring(last(name), F.lit(1), opens(name) - 1)).otherwise(last(name))
+        return F.concat(front, end)
+
+    inside = F.when(F.col("_later").isNotNull(), kept("_later")).when(F.col("_open"), F.col(text)).otherwise("")
+    return found.select(id, piece, F.when(F.col("_start") == 0, kept("_stretches")).otherwise(inside).alias(text))
