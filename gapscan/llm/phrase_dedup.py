@@ -30,6 +30,8 @@ SHARD_WINDOWS, ANCHOR_WINDOWS = 20_000, 20_000
 STREAMED = 20_000
 #: Bytes of words that are worked on at once; longer texts are taken in overlapping parts.
 PART_BYTES = PIECE_BYTES // 2
+#: More than the words that are worked on at once: as many low bits of a hash give way to its place, the same for all batches.
+PLACES = 1 << 22
 
 # What stands between words (space, tab, line feed, vertical tab, form feed, carriage return).
 BETWEEN = b" \t\n\x0b\x0c\r"
@@ -78,7 +80,9 @@ class Parts:
             return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
         hashes = range_hashes(prefix_hashes(np.frombuffer(self.joined, np.uint8)), self.starts, self.ends)
         runs = sequence_hashes(hashes, anchor)
-        bits = np.uint64((1 << len(runs).bit_length()) - 1)
+        bits = np.uint64(PLACES - 1)
+        if len(runs) >= PLACES:
+            raise ValueError("too many words at once")
         least = runs & ~bits | np.arange(len(runs), dtype=np.uint64)
         width, reach = size - anchor + 1, 1
         while reach * 2 <= width:
