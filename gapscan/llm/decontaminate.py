@@ -232,7 +232,7 @@ def find_contamination(
 
     A window is `size` consecutive words of an item; a shorter item with any word is one
     window. Null and empty texts have no words; an empty benchmark hits nothing; equal items
-    all count; repeated rows are judged each; a column of `docs` with the name of an added one is replaced.
+    all count; repeated rows are judged each; a text is judged whole, in one task, which takes about 50 bytes of memory for each of its bytes; a column of `docs` with the name of an added one is replaced.
     """
     added = [x.split()[0] for x in FOUND.split(", ")]
     docs = docs.drop(*added)

@@ -273,7 +273,8 @@ def pack(docs: DataFrame, paths: tuple, window: int = WINDOW, with_ids: bool = F
     """Pieces of all documents with sequence_id and offset; sequences hold at most `window` ids.
 
     `paths`: the tokenizer's file, and the same vocabulary as ranks with its pattern, or None.
-    A null or empty text is one piece with the end mark alone. Null ids keep their
+    A null or empty text is one piece with the end mark alone. A text is tokenised whole, in one task, which takes about 50 bytes of memory for
+    each of its bytes. Pieces of equal length are placed by id, start and checksum; equal ones are alike, so any order is right. Null ids keep their
     rows; repeated rows are packed each; an empty table gives no rows; other columns are ignored.
     """
     cut = written(token_pieces(docs, paths, window, with_ids))

@@ -363,7 +363,8 @@ def _find(sent, names: list[str], text: str):
 def find_personal_data(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     """`docs` with base_spans and spans (kind, start, end in code points; the field's spans included).
 
-    Null and empty texts have none; repeated rows are judged each; columns with the name of an added one are replaced.
+    Null and empty texts have none; repeated rows are judged each; columns with the name of an added one are replaced. Spans that start at
+    one place come in the order of their kinds. A text is judged whole, in one task, which takes about 45 bytes of memory for each of its bytes.
     """
     docs = docs.drop("base_spans", "spans")
     sent = docs.sparkSession.sparkContext.broadcast(field)

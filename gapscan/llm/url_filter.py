@@ -112,7 +112,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise:
     `rules` has host, path and action (allow or block). A rule fits its host and all
     subdomains where the path starts with the rule's; the longest wins (of equally long ones, that
     with the longest host). A url that no rule fits gets `otherwise`: absence from the array is the method's own answer.
-    Null urls and those without `://` have an empty host and path, and no rule. Of equal
+    Urls of any length are taken whole. Null urls and those without `://` have an empty host and path, and no rule. Of equal
     rules with different actions block wins. Columns of `pages` with the name of an added one are replaced.
     """
     pages = pages.drop("host", "path", "rule", "verdict", "action")
