@@ -51,6 +51,36 @@ FROM docs d LEFT JOIN hits h USING (doc_id) LEFT JOIN named n USING (doc_id)
 """
 
 
+OP11 = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+starts AS (SELECT r, words, unnest(range(1, len(words) - 33)) AS i FROM docs WHERE len(words) >= 35),
+windows AS (SELECT r, i, array_to_string(words[i:i + 34], ' ') AS phrase FROM starts),
+twice AS (SELECT phrase FROM windows GROUP BY phrase HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, spot FROM (SELECT r, unnest(range(i, i + 35)) AS spot FROM windows SEMI JOIN twice USING (phrase))),
+placed AS (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS spot FROM docs),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY spot) AS words FROM placed ANTI JOIN gone USING (r, spot) GROUP BY r)
+SELECT doc_id, len(docs.words)::BIGINT AS n_words, (len(docs.words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.words, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
+OP2 = """
+WITH RECURSIVE usable AS (
+    SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.r AS ra, a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
+    WHERE list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) >= 0.93
+), reached(a, b) AS (
+    SELECT vec_id, vec_id FROM usable
+    UNION
+    SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a
+), named AS (SELECT a AS vec_id, min(b) AS component FROM reached GROUP BY a),
+counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept
+FROM embeddings LEFT JOIN named USING (vec_id) LEFT JOIN counted USING (vec_id)
+"""
+
 OP12 = """
 WITH taken AS (
     SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -98,4 +128,4 @@ FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 
 
 def statements() -> dict[str, str]:
-    return {"op8_urls": OP8, "op10_decontamination": OP10, "op12_negatives": OP12, "op13_search": OP13}
+    return {"op2_embeddings": OP2, "op8_urls": OP8, "op10_decontamination": OP10, "op11_phrases": OP11, "op12_negatives": OP12, "op13_search": OP13}
