@@ -64,6 +64,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `written` that nothing reads any more, and lets Spark drop the shuffle files of finished work."""
+    jvm = tables[0].sparkSession._jvm
+    conf = tables[0].sparkSession._jsc.hadoopConfiguration()
+    for table in tables:
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+    jvm.System.gc()
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts one after the other, and n + 1 offsets; null counts as empty."""
     if column.null_count:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapscan.llm.common import PIECE_BYTES, prefix_hashes, range_hashes, sequence_hashes, written
+from gapscan.llm.common import PIECE_BYTES, discard, prefix_hashes, range_hashes, sequence_hashes, written
 
 SIZE = 35
 ANCHOR = 8
@@ -339,11 +339,14 @@ def remove_phrases(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR) -> t
     texts = rows.groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     texts = written(texts.withColumn("tid", F.monotonically_increasing_id()))
     found = written(texts.select("tid", "text", "copies").mapInArrow(_stretches(size, anchor, secret), STRETCHES))
-    again = found.groupBy("anchor").agg(F.sum("copies").alias("n"), (F.min("content") < F.max("content")).alias("differ")).where("n > 1")
     # a table of its own, so that Spark can split an anchor that is very frequent on the other side of the join
-    again = written(again.select("anchor", "differ"))
-    candidates = written(found.join(again, "anchor").select("anchor", "content", "differ", "tid", "start", "count", "copies"))
-    different = candidates.groupBy("anchor", "content", "differ").agg(F.sum("copies").alias("n"), F.min(F.struct("tid", "start", "count")).alias("one"))
+    again = written(found.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor"))
+    candidates = written(found.join(again, "anchor").select("anchor", "content", "tid", "start", "count", "copies"))
+    discard(found, again)
+    different = candidates.groupBy("anchor", "content").agg(F.sum("copies").alias("n"), F.min(F.struct("tid", "start", "count")).alias("one"))
+    distinct = written(different)
+    several = distinct.groupBy("anchor").agg((F.count("*") > 1).alias("differ"))
+    different = distinct.join(several, "anchor")
     wanted = F.struct("anchor", "content", "n", "differ", F.col("one.start").alias("start"), F.col("one.count").alias("count"))
     wanted = different.groupBy(F.col("one.tid").alias("tid")).agg(F.collect_list(wanted).alias("wanted"))
     stretches = written(texts.select("tid", "text").join(wanted, "tid").select("text", "wanted").mapInArrow(_contents(size), CONTENTS))
@@ -351,6 +354,7 @@ def remove_phrases(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR) -> t
     windows = lambda of: of.select("anchor", "content", "n", "words").mapInArrow(_windows(size, secret), WINDOWS)
     recurring = windows(stretches.where("differ")).groupBy("anchor", "window").agg(F.sum("n").alias("n"), F.min(F.struct("content", "place")).alias("one")).where("n > 1")
     recurring = written(recurring.select("anchor", "window", F.col("one.content").alias("content"), F.col("one.place").alias("place")))
+    discard(distinct)
     # a crowded anchor's windows are dealt to blocks, and its stretches to copies of these
     held = stretches.groupBy("anchor").agg(F.count("*").alias("held"))
     crowded = held.join(recurring.groupBy("anchor").agg(F.count("*").alias("n")), "anchor", "left").selectExpr("anchor", "held", f"coalesce(n, 0) div {ANCHOR_WINDOWS} + 1 as blocks")
@@ -379,6 +383,7 @@ def remove_phrases(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR) -> t
     shard = F.pmod(F.xxhash64("anchor", "block", "salt"), F.lit(total // SHARD_WINDOWS + 1)).alias("shard")
     both = both.select(shard, "kind", "anchor", "content", "places", "words").repartition("shard").sortWithinPartitions("shard", "kind")
     located = written(both.mapInArrow(_locate(size), LOCATED))
+    discard(stretches, recurring, crowded)
     # back to every text that holds a stretch
     runs = located.select("anchor", "content", F.explode(F.arrays_zip("run_starts", "run_ends")).alias("run"))
     spans = candidates.select("anchor", "content", "tid", "start").join(runs, ["anchor", "content"])
