@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is a run of documents of about two megabytes in one task. Its words are mapped
+A shard is a run of documents of about half a megabyte in one task. Its words are mapped
 to the benchmark's vocabulary; runs of such words that are long enough for a window are
 indexed, other words cannot be part of one. All benchmark windows are searched at once,
 backwards through wavelet-tree ranks; occurrences are located by walking to sampled
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapscan.llm.common import Words, buffers, pieces
+from gapscan.llm.common import PIECE_BYTES, Words, buffers, pieces
 
 #: Bytes of benchmark text in a broadcast block.
 BLOCK_BYTES = 8 << 20
@@ -198,7 +198,7 @@ def _pass(broadcast, size: int, text: str, own: list[str]):
         phrases = None
         for batch in batches:
             phrases = phrases or Phrases(*broadcast.value, size)
-            for part in pieces(batch, text):
+            for part in pieces(batch, text, PIECE_BYTES // 4):
                 words, hit, items = search_shard(phrases, part.column(own.index(text)))
                 hit = np.concatenate([[False], hit, [False]])
                 before = part.column(len(own) + 1).to_pylist(), part.column(len(own) + 2).to_pylist(), part.column(len(own) + 4).to_pylist()
@@ -256,7 +256,7 @@ def _cut(text: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, first, last = names.index(text), names.index("hit_starts"), names.index("hit_ends")
         for batch in batches:
-            for part in pieces(batch, text):
+            for part in pieces(batch, text, PIECE_BYTES // 4):
                 column = part.column(at)
                 starts, ends = part.column(first).to_pylist(), part.column(last).to_pylist()
                 texts = column.to_pylist()

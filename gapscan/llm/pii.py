@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from gapscan.llm.common import pieces, prefix_hashes, range_hashes
 
 KINDS = ["email", "ip", "card", "phone"]
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 # The base patterns, with the digits they need.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
