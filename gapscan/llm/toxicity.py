@@ -2,10 +2,10 @@
 
 A word's vector is the sum of hashed embeddings of the word and of its first four and five
 bytes. Filters one, two and three words wide slide over the whole text, each keeps its
-largest response, and a logistic layer weighs them. Training takes a bounded sample of
-labelled rows; scoring is one pass over all texts, without a shuffle. The score never
-sees language, source or id; only the decision `flagged` uses thresholds that are
-calibrated by language.
+largest response, and a logistic layer weighs them. Training takes all labelled rows: each
+round, shards of them go on from the same model side by side, and what they change is averaged,
+a row per bucket. Scoring is one pass over all texts, without a shuffle. The score never sees language,
+source or id; only the decision `flagged` uses thresholds that are calibrated by language.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapscan.llm.common import Words, pieces, prefix_hashes, range_hashes
+from gapscan.llm.common import Words, discard, pieces, prefix_hashes, range_hashes, written
 
 WIDTHS = (1, 2, 3)
 FILTERS, DIM = 8, 8
@@ -30,13 +30,24 @@ COLUMNS = FILTERS * sum(WIDTHS)
 #: Words worked on at once; a longer text is taken in parts that overlap.
 CHUNK = 1 << 14
 
-#: The bounded sample: rows of each class, and the longest text taken into it.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WORDS = 2000, 4000, 50_000
-UPDATES, BATCH, RATE = 1200, 32, 0.15
+#: Rows and characters that a shard of training has on average, and words it holds at once at most, but for a single text.
+SHARD_ROWS, SHARD_CHARS, SHARD_WORDS = 8000, 32 << 20, 1 << 23
+#: So many labelled ids are broadcast at most; more meet their texts in a shuffle by id.
+SENT_IDS = 1_000_000
+#: Rounds over all rows; a shard with few rows passes them several times a round, for about UPDATES in all.
+ROUNDS, UPDATES, BATCH, RATE = 4, 1200, 32, 0.15
 DROPPED = 0.3
-#: A bucket that fewer texts of the sample hold keeps a zero vector.
+#: A bucket that fewer training texts hold keeps a zero vector.
 LEAST_TEXTS = 3
 FOLDS = 5
+#: One training row in so many trains nothing: it tells which round did best, and calibrates.
+HELD = 5
+#: Changes are summed as whole numbers, so that sums do not depend on their order.
+UNIT = float(1 << 32)
+#: Scores of held rows are counted in steps of 1/STEPS of a logit, from -EDGE to EDGE.
+STEPS, EDGE = 64, 30
+#: A language has a threshold of its own from so many held rows of each class on.
+LEAST_HELD = 20
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,10 +72,12 @@ class Products:
     def __init__(self, buckets: np.ndarray, vectors: np.ndarray, filters: np.ndarray):
         self.place = np.full(BUCKETS + 1, len(buckets), np.int32)
         self.place[buckets] = np.arange(len(buckets), dtype=np.int32)
-        values = np.zeros((len(buckets) + 1, COLUMNS))
-        for k in range(DIM):
-            values[:-1] += vectors[:, k, None].astype(np.float64) * filters[k].astype(np.float64)
-        self.values = values.astype(np.float32)
+        self.values = np.zeros((len(buckets) + 1, COLUMNS), np.float32)
+        for at in range(0, len(buckets), CHUNK):
+            values = np.zeros((len(vectors[at : at + CHUNK]), COLUMNS))
+            for k in range(DIM):
+                values += vectors[at : at + CHUNK, k, None].astype(np.float64) * filters[k].astype(np.float64)
+            self.values[at : at + len(values)] = values
 
     def of(self, rows: np.ndarray) -> np.ndarray:
         """Of each word the sum over its buckets."""
@@ -145,141 +158,329 @@ def chance(logit: float) -> float:
     return 1 / (1 + math.exp(-min(30.0, max(-30.0, logit))))
 
 
-def _best_cut(values: np.ndarray, labels: np.ndarray) -> float:
-    """The threshold with the fewest errors, in the middle of the gap it stands in."""
-    order = np.argsort(values)
-    v, y = values[order], labels[order]
-    errors = np.concatenate([[0], np.cumsum(y == 1)]) + np.concatenate([np.cumsum((y == 0)[::-1])[::-1], [0]])
-    edges = np.concatenate([[v[0] - 2], (v[1:] + v[:-1]) / 2, [v[-1] + 2]])
-    best = np.flatnonzero(errors == errors.min())
-    return float(edges[best[len(best) // 2]])
-
-
-def train(texts: list[np.ndarray], labels: np.ndarray, languages: list[str | None], seed: int = 7) -> Model:
-    """Fits on all texts but every fifth, which calibrates the thresholds."""
-    if len(set(labels.tolist())) < 2:
-        return Model(bias=20.0 if len(labels) and labels[0] == 1 else -20.0)
-    rng = np.random.default_rng(seed)
-    seen = np.zeros(BUCKETS + 1, np.int32)
-    for rows in texts:
-        seen[np.unique(rows)] += 1
-    usable = seen >= LEAST_TEXTS
-    usable[BUCKETS] = False
-    m = Model(
-        filters=rng.normal(0, 0.5, (DIM, COLUMNS)).astype(np.float32),
-        weights=rng.normal(0, 0.5, len(WIDTHS) * FILTERS).astype(np.float32),
-        bias=0.0,
-    )
-    table = np.zeros((BUCKETS + 1, DIM), np.float32)
-    table[usable] = rng.normal(0, 0.02, (int(usable.sum()), DIM)).astype(np.float32)
-    squares = [np.full(x.shape, 0.01, np.float32) for x in (table, m.filters, m.weights, m.offsets)]
-    bias_square = 0.01
-    shuffled = rng.permutation(len(texts))
-    hold, fit = shuffled[::5], shuffled[np.arange(len(shuffled)) % 5 != 0]
-    share = np.clip((labels[fit] == 0).sum() / max(1, (labels[fit] == 1).sum()), 1, 10)
+@dataclass
+class State:
+    """What training goes on from: parameters and their summed squared gradients (Adagrad), as rows of DIM numbers.
+
+    First the vectors of `buckets`, then the filters' columns, the weights, the offsets and the bias.
+    """
+
+    buckets: np.ndarray
+    values: np.ndarray
+    squares: np.ndarray
+
+    @staticmethod
+    def new(buckets: np.ndarray, seed: int = 7) -> State:
+        rng = np.random.default_rng(seed)
+        dense = rng.normal(0, 0.5, (COLUMNS * DIM + len(WIDTHS) * FILTERS)), np.zeros(len(WIDTHS) * FILTERS + DIM)
+        values = np.concatenate([rng.normal(0, 0.02, (len(buckets), DIM)), np.concatenate(dense).reshape(-1, DIM)]).astype(np.float32)
+        return State(buckets, values, np.full(values.shape, 0.01, np.float32))
+
+    def parts(self, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Vectors, filters, weights, offsets and bias as views of `values` or `squares`."""
+        n, many = len(self.buckets), len(WIDTHS) * FILTERS
+        dense = rows[n:].reshape(-1)
+        at = COLUMNS * DIM
+        return rows[:n], rows[n : n + COLUMNS].T, dense[at : at + many], dense[at + many : at + 2 * many], dense[at + 2 * many : at + 2 * many + 1]
+
+    def model(self) -> Model:
+        vectors, filters, weights, offsets, bias = self.parts(self.values)
+        return Model(self.buckets, vectors, filters, offsets, weights, float(bias[0]))
+
+
+def _tops(table: np.ndarray, filters: np.ndarray, offsets: np.ndarray, rows: np.ndarray, places: np.ndarray, ends: np.ndarray):
+    """Of each text and filter the largest response and its row; rows are taken in parts, whatever a text's length."""
+    gap, many = max(WIDTHS) - 1, np.arange(len(WIDTHS) * FILTERS)
+    top = np.zeros((len(ends), len(many)), np.int64)
+    best = np.zeros(top.shape, np.float32)
+    for at in range(0, len(rows), CHUNK):
+        found = responses(table[rows[at : at + CHUNK + gap]].sum(axis=1) @ filters)[:CHUNK] + offsets
+        for k in np.flatnonzero((places < at + len(found)) & (ends > at)):
+            a = max(int(places[k]) - at, 0)
+            b = min(int(ends[k]) - at, len(found))
+            if b > a:
+                here = found[a:b].argmax(axis=0) + a
+                response = found[here, many]
+                more = response > best[k]
+                top[k, more], best[k, more] = here[more] + at, response[more]
+    return top, best
+
+
+def train(state: State, texts: list[np.ndarray], labels: np.ndarray, share: float, rng: np.random.Generator) -> np.ndarray:
+    """Passes over the texts (rows of places in `state.buckets`), changing the state; returns which of its rows changed.
+
+    `share` is the weight of a toxic row.
+    """
+    vectors_, filters, weights, offsets, bias = state.parts(state.values)
+    table = np.concatenate([vectors_, np.zeros((1, DIM), np.float32)])
+    none = len(table) - 1
+    squares = state.parts(state.squares)
+    changed = np.zeros(len(state.values), bool)
+    changed[none:] = True
     width_of = np.repeat(WIDTHS, FILTERS)
     column_of = np.concatenate([FILTERS * sum(WIDTHS[:k]) + np.arange(FILTERS) for k in range(len(WIDTHS))])
-    held = np.concatenate([texts[i] for i in hold]), np.concatenate([[0], np.cumsum([len(texts[i]) for i in hold])])
-    least, chosen_state = np.inf, None
-    for _ in range(max(1, -(-UPDATES * BATCH // max(1, len(fit))))):
-        order = rng.permutation(fit)
+    gap = max(WIDTHS) - 1
+    for _ in range(max(1, UPDATES // (ROUNDS * -(-len(texts) // BATCH)))):
+        order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
-            first = np.concatenate([[0], np.cumsum([len(texts[i]) for i in chosen])])
-            rows, places = padded(np.concatenate([texts[i] for i in chosen]), first)
-            rows[rng.random(len(rows)) < DROPPED] = BUCKETS  # no single word decides a text
-            vectors = table[rows].sum(axis=1)
-            found = responses(vectors @ m.filters) + m.offsets
-            top = np.zeros((len(chosen), len(width_of)), np.int64)
-            best = np.zeros(top.shape, np.float32)
-            for k in range(len(chosen)):
-                a, b = places[k], places[k] + first[k + 1] - first[k]
-                if b > a:
-                    top[k] = found[a:b].argmax(axis=0) + a
-                    best[k] = found[top[k], np.arange(len(width_of))]
+            sizes = np.array([len(texts[i]) for i in chosen])
+            places = np.concatenate([[0], np.cumsum(sizes + gap)[:-1]])
+            rows = np.full((int(sizes.sum()) + gap * len(chosen), 1 + len(STARTS)), none, np.int32)
+            for i, place in zip(chosen, places):
+                rows[place : place + len(texts[i])] = texts[i]
+            rows[rng.random(len(rows), np.float32) < DROPPED] = none  # no single word decides a text
+            top, best = _tops(table, filters, offsets, rows, places, places + sizes)
             active = best > 0
-            best *= active
             y = labels[chosen]
-            p = 1 / (1 + np.exp(-np.clip(best @ m.weights + m.bias, -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(best @ weights + bias[0], -30, 30)))
             g = ((p - y) * np.where(y == 1, share, 1.0) / len(chosen)).astype(np.float32)
-            g_best = g[:, None] * m.weights * active
-            g_filters, g_rows, g_vectors = np.zeros_like(m.filters), [], []
+            g_best = g[:, None] * weights * active
+            g_filters, g_rows, g_vectors = np.zeros((DIM, COLUMNS), np.float32), [], []
             for j in range(max(WIDTHS)):
                 k, f = np.nonzero(active & (width_of > j))
                 place, column = top[k, f] + j, column_of[f] + j * FILTERS
-                np.add.at(g_filters.T, column, g_best[k, f, None] * vectors[place])
+                np.add.at(g_filters.T, column, g_best[k, f, None] * table[rows[place]].sum(axis=1))
                 g_rows.append(rows[place])
-                g_vectors.append(g_best[k, f, None] * m.filters[:, column].T)
+                g_vectors.append(g_best[k, f, None] * filters[:, column].T)
             touched, back = np.unique(np.concatenate(g_rows).ravel(), return_inverse=True)
             g_table = np.zeros((len(touched), DIM), np.float32)
-            np.add.at(g_table, back, np.repeat(np.concatenate(g_vectors), 1 + len(STARTS), axis=0))
-            g_table[~usable[touched]] = 0
+            np.add.at(g_table, back.ravel(), np.repeat(np.concatenate(g_vectors), 1 + len(STARTS), axis=0))
+            if len(touched) and touched[-1] == none:
+                touched, g_table = touched[:-1], g_table[:-1]
             squares[0][touched] += g_table**2
             table[touched] -= RATE * g_table / np.sqrt(squares[0][touched])
-            for k, (x, gx) in enumerate(((m.filters, g_filters), (m.weights, best.T @ g), (m.offsets, g_best.sum(axis=0)))):
-                squares[k + 1] += gx**2
-                x -= RATE / 3 * gx / np.sqrt(squares[k + 1])
-            bias_square += float(g.sum()) ** 2
-            m.bias -= RATE / 3 * float(g.sum()) / bias_square**0.5
-        now = np.flatnonzero(usable)
-        found = logits(m, Products(now, table[now], m.filters), *held)
-        loss = float((np.logaddexp(0, np.where(labels[hold] == 1, -found, found)) * np.where(labels[hold] == 1, share, 1)).mean())
-        if loss < least:  # the round that does best on the held texts stays
-            least = loss
-            chosen_state = table[usable].copy(), m.filters.copy(), m.weights.copy(), m.offsets.copy(), m.bias
-    m.buckets = np.flatnonzero(usable).astype(np.int32)
-    m.vectors, m.filters, m.weights, m.offsets, m.bias = chosen_state
-    products = m.products()
-    scores = logits(m, products, *held)
-    y = labels[hold]
-    if len(set(y.tolist())) == 2:
-        m.bias -= _best_cut(scores, y)
-        scores = logits(m, products, *held)
-        of = np.array([languages[i] or "" for i in hold])
-        for language in sorted(set(of.tolist())):
-            mine = of == language
-            if min((y[mine] == 1).sum(), (y[mine] == 0).sum()) >= 20:
-                # half way to the language's own best cut: its rows are fewer than all
-                m.thresholds[language] = float(1 / (1 + np.exp(-0.5 * _best_cut(scores[mine], y[mine]))))
-    return m
-
-
-def _as_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            changed[touched] = True
+            whole = np.array([g.sum()], np.float32)
+            for x, square, gx in zip((filters, weights, offsets, bias), squares[1:], (g_filters, best.T @ g, g_best.sum(axis=0), whole)):
+                square += gx**2
+                x -= RATE / 3 * gx / np.sqrt(square)
+    vectors_[:] = table[:-1]
+    return changed
+
+
+def _steps(scores: np.ndarray) -> np.ndarray:
+    """The step of each logit, from 0."""
+    return np.floor(np.clip(scores, -EDGE, EDGE) * STEPS).astype(np.int64) + EDGE * STEPS
+
+
+def _best_cut(toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The threshold with the fewest errors, in the middle of the gap it stands in, from the rows counted by step."""
+    there = np.flatnonzero(toxic + clean)
+    errors = np.concatenate([[0], np.cumsum(toxic)]) + np.concatenate([np.cumsum(clean[::-1])[::-1], [0]])
+    edges = np.arange(max(0, there[0] - 2 * STEPS), min(len(toxic), there[-1] + 1 + 2 * STEPS) + 1)
+    best = edges[errors[edges] == errors[edges].min()]
+    return float(best[len(best) // 2]) / STEPS - EDGE
+
+
+def _loss(toxic: np.ndarray, clean: np.ndarray, share: float) -> float:
+    middles = (np.arange(len(toxic)) + 0.5) / STEPS - EDGE
+    return float((toxic * np.logaddexp(0, -middles)).sum() * share + (clean * np.logaddexp(0, middles)).sum())
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with words as the bucket numbers of their words, eight bytes a word."""
     for batch in batches:
         for part in pieces(batch, "text"):
-            rows, first = features(part.column(0))
-            lists = pa.ListArray.from_arrays(pa.array(first * rows.shape[1], pa.int32()), pa.array(rows.ravel(), pa.int32()))
-            yield pa.RecordBatch.from_arrays([lists, part.column(1), part.column(2)], names=["rows", "toxic", "lang"])
+            rows, first = features(part.column("text"))
+            rows = rows.astype(np.int64) - [0, 1 << WORD_BITS, (1 << WORD_BITS) + (1 << START_BITS)]
+            words = pa.py_buffer((rows[:, 0] << 32 | rows[:, 1] << 16 | rows[:, 2]).tobytes())
+            offsets = pa.py_buffer((first * 8).astype(np.int32).tobytes())
+            packed = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, offsets, words])
+            there = pa.array(np.diff(first) > 0)
+            yield pa.RecordBatch.from_arrays([packed, *part.columns[1:]], names=["rows", *part.schema.names[1:]]).filter(there)
+
+
+def _buckets(words: bytes) -> np.ndarray:
+    """A text's bucket numbers (one row each), as `features` gives them."""
+    packed = np.frombuffer(words, np.int64)
+    out = np.empty((len(packed), 1 + len(STARTS)), np.int32)
+    out[:, 0] = packed >> 32
+    out[:, 1] = (packed >> 16 & 0xFFFF) + (1 << WORD_BITS)
+    out[:, 2] = (packed & 0xFFFF) + (1 << WORD_BITS) + (1 << START_BITS)
+    return out
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from at most SAMPLE_TOXIC + SAMPLE_CLEAN labelled rows, chosen by hash of the id.
+def _shards(batches: Iterator[pa.RecordBatch], place: np.ndarray):
+    """(shard, texts as rows of places, toxic, held, lang) of each shard; one with very many words comes in parts."""
+    texts, toxic, held, lang, now, words = [], [], [], [], None, 0
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("toxic", "lang", "shard", "held"))
+        for packed, y, language, shard, h in zip(batch.column("rows"), *columns):
+            if texts and (shard != now or words > SHARD_WORDS):
+                yield now, texts, np.array(toxic, np.int64), np.array(held, bool), lang
+                texts, toxic, held, lang, words = [], [], [], [], 0
+            now = shard
+            texts.append(place[_buckets(packed.as_buffer())])
+            toxic.append(y)
+            held.append(h)
+            lang.append(language)
+            words += len(texts[-1])
+    if texts:
+        yield now, texts, np.array(toxic, np.int64), np.array(held, bool), lang
+
+
+def _texts_by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for packed in batch.column("rows"):
+            seen[np.unique(_buckets(packed.as_buffer()))] += 1
+    found = np.flatnonzero(seen)
+    for at in range(0, len(found), CHUNK):
+        some = found[at : at + CHUNK]
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["at", "n"])
 
-    Only rows whose crc32(doc_id as text) mod 5 is not 0 are learnt from. Texts of more than
-    SAMPLE_WORDS words (counted as blanks) are left out of the sample.
-    """
+
+#: What a shard tells of a round: changes of the state's rows (`at` from 0 on), and held rows by step and class (below 0).
+_CHANGES = [f"v{k}" for k in range(2 * DIM)]
+
+
+def _places(buckets: np.ndarray) -> np.ndarray:
+    place = np.full(BUCKETS + 1, len(buckets), np.int32)
+    place[buckets] = np.arange(len(buckets), dtype=np.int32)
+    return place
+
+
+def _counted_held(state: State, texts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Twice the step of each text's score, plus its class."""
+    products = Products(np.arange(len(state.buckets), dtype=np.int32), *state.parts(state.values)[:2])
+    products.place[len(state.buckets) :] = len(state.buckets)
+    model, out = state.model(), []
+    for at in range(0, len(texts), BATCH):
+        some = texts[at : at + BATCH]
+        first = np.concatenate([[0], np.cumsum([len(t) for t in some])])
+        rows = np.concatenate(some)
+        rows = np.where(rows == len(state.buckets), BUCKETS, rows)
+        out.append(_steps(logits(model, products, rows, first)))
+    return 2 * np.concatenate(out) + toxic
+
+
+def _round(sent, number: int, share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start: State = sent.value
+        for shard, texts, toxic, held, _ in _shards(batches, _places(start.buckets)):
+            if held.any():
+                at, n = np.unique(_counted_held(start, [t for t, h in zip(texts, held) if h], toxic[held]), return_counts=True)
+                nothing = [pa.array(np.zeros(len(at), np.int64))] * len(_CHANGES)
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - at), pa.array(n), *nothing], names=["at", "n", *_CHANGES])
+            if held.all():
+                continue
+            state = State(start.buckets, start.values.copy(), start.squares.copy())
+            rng = np.random.default_rng([7, number, shard])
+            at = np.flatnonzero(train(state, [t for t, h in zip(texts, held) if not h], toxic[~held], share, rng))
+            for some in np.array_split(at, -(-len(at) // CHUNK)):
+                moved = np.concatenate([x[some].astype(np.float64) - y[some] for x, y in ((state.values, start.values), (state.squares, start.squares))], 1)
+                moved = np.rint(moved * UNIT).astype(np.int64)
+                columns = [pa.array(np.ascontiguousarray(moved[:, k])) for k in range(moved.shape[1])]
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.ones(len(some), np.int64)), *columns], names=["at", "n", *_CHANGES])
+
+    return run
+
+
+def _held_by_language(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: State = sent.value
+        for _, texts, toxic, held, lang in _shards(batches, _places(state.buckets)):
+            if held.any():
+                counted = _counted_held(state, [t for t, h in zip(texts, held) if h], toxic[held])
+                yield pa.RecordBatch.from_arrays([pa.array([x or "" for x, h in zip(lang, held) if h], pa.string()), pa.array(counted)], names=["lang", "at"])
+
+    return run
+
+
+def _by_class(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of toxic and of clean rows by step."""
+    counts = np.zeros(2 * (2 * EDGE * STEPS + 1), np.int64)
+    np.add.at(counts, at, n)
+    return counts[1::2], counts[::2]
+
+
+def _calibrated(rows: DataFrame, state: State, share: float) -> tuple[Model, float]:
+    """The model with thresholds that all held rows give, and their loss."""
+    sent = rows.sparkSession.sparkContext.broadcast(state)
+    counted = rows.where("held").mapInArrow(_held_by_language(sent), "lang string, at bigint").groupBy("lang", "at").agg(F.count("*").alias("n"))
+    # languages with few rows of a class have no threshold: theirs count in the total only
+    classes = [F.sum(F.when(F.col("at") % 2 == k, F.col("n")).otherwise(0)).over(Window.partitionBy("lang")) for k in (0, 1)]
+    kept = counted.withColumn("lang", F.when(F.least(*classes) >= LEAST_HELD, F.col("lang")))
+    table = kept.groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
+    sent.destroy()
+    m = state.model()
+    toxic, clean = _by_class(table["at"].to_numpy(np.int64), table["n"].to_numpy(np.int64))
+    loss = _loss(toxic, clean, share)
+    if toxic.any() and clean.any():
+        cut = _best_cut(toxic, clean)
+        m.bias -= cut
+        for language, own in table.dropna().groupby("lang"):
+            # half way to the language's own best cut: its rows are fewer than all
+            own_cut = _best_cut(*_by_class(own["at"].to_numpy(np.int64), own["n"].to_numpy(np.int64))) - cut
+            m.thresholds[language] = float(1 / (1 + np.exp(-0.5 * own_cut)))
+    return m, loss
+
+
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The texts to learn from with their class, in shards by hash of the id; each shard's rows lie together, in one order."""
     known = (
         labels.where("toxic in (0, 1) and doc_id is not null")
         .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
+        .agg(F.max("toxic").cast("int").alias("toxic"))
         .where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0)
-        .withColumn("order", F.xxhash64("doc_id"))
     )
-    chosen = [
-        known.where(F.col("toxic") == toxic).orderBy("order", "doc_id").limit(n) for toxic, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))
-    ]
-    ids = chosen[0].union(chosen[1])
+    few = known.count() <= SENT_IDS
+    if few:
+        known = F.broadcast(known)
     language = F.col("lang") if "lang" in docs.columns else F.lit(None)
-    texts = docs.select("doc_id", "text", language.cast("string").alias("lang"))
-    rows = texts.where(F.length("text") > 0).join(F.broadcast(ids), "doc_id")  # bounded by the sample
-    rows = rows.where(F.expr("length(text) - length(replace(text, ' ', ''))") < SAMPLE_WORDS)
-    schema = "rows array<int>, toxic int, lang string"
-    found = rows.select("text", F.col("toxic").cast("int").alias("toxic"), "lang").mapInArrow(_as_buckets, schema)
-    table = found.orderBy(F.xxhash64("rows"), "toxic").toArrow()
-    texts = [np.asarray(x.values, np.int32).reshape(-1, 1 + len(STARTS)) for x in table["rows"] if len(x.values)]
-    keep = [i for i, x in enumerate(table["rows"]) if len(x.values)]
-    toxic, languages = np.array(table["toxic"].to_pylist(), np.int64), table["lang"].to_pylist()
-    return train(texts, toxic[keep], [languages[i] for i in keep])
+    texts = docs.select("doc_id", "text", language.cast("string").alias("lang"), F.length("text").alias("size")).where("size > 0")
+    rows, chars = texts.select("doc_id", "size").join(known, "doc_id").agg(F.count("*"), F.sum("size")).first()
+    shards = max(1, -(-rows // SHARD_ROWS), -(-(chars or 0) // SHARD_CHARS))
+    if not few:  # Spark shuffles anew for a join in fewer parts than it is set to
+        shards = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # the partition that an id goes to, so that a join by shuffle has its rows there already
+    number = F.pmod(F.hash("doc_id"), F.lit(shards))
+    held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD)) == 0
+    if few:
+        placed = texts.join(known, "doc_id").repartition(shards, "doc_id")
+    else:
+        placed = texts.repartition(shards, "doc_id").join(known.repartition(shards, "doc_id"), "doc_id")
+    placed = placed.withColumns({"shard": number, "held": held}).sortWithinPartitions("shard", F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text", "lang")
+    return written(placed.select("text", "toxic", "lang", "shard", "held").mapInArrow(_packed, "rows binary, toxic int, lang string, shard int, held boolean"))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from all labelled rows; only those whose crc32(doc_id as text) mod 5 is not 0 are learnt from.
+
+    A round passes all rows: each shard trains from the round's model, and the next one has, of each parameter, the mean change
+    of the shards that changed it. Every fifth row is held back: the round that does best on them all stays, and
+    they calibrate the thresholds. What comes to the driver is bounded by the model's size.
+    """
+    rows = _labelled(docs, labels)
+    counts = {(r["toxic"], r["held"]): r["count"] for r in rows.groupBy("toxic", "held").count().collect()}
+    classes = {toxic for toxic, _ in counts}
+    if len(classes) < 2:
+        discard(rows)
+        return Model(bias=20.0 if classes == {1} else -20.0)
+    share = float(np.clip(counts.get((0, False), 0) / max(1, counts.get((1, False), 0)), 1, 10))
+    seen = rows.mapInArrow(_texts_by_bucket, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS)
+    state = State.new(np.sort(seen.select("at").toArrow().column(0).to_numpy()).astype(np.int32))
+    schema = ", ".join(f"{c} bigint" for c in ("at", "n", *_CHANGES))
+    least, best = np.inf, None
+    for number in range(ROUNDS):
+        sent = rows.sparkSession.sparkContext.broadcast(state)
+        told = rows.mapInArrow(_round(sent, number, share), schema).groupBy("at").agg(*[F.sum(c).alias(c) for c in ("n", *_CHANGES)]).toArrow()
+        sent.destroy()
+        at, n = told.column("at").to_numpy(), told.column("n").to_numpy()
+        held = at < 0
+        loss = _loss(*_by_class(-1 - at[held], n[held]), share)
+        if number and loss < least:
+            least, best = loss, state
+        moved = np.stack([told.column(c).to_numpy()[~held] for c in _CHANGES], 1) / UNIT / n[~held, None]
+        state = State(state.buckets, state.values.copy(), state.squares.copy())
+        state.values[at[~held]] += moved[:, :DIM].astype(np.float32)
+        state.squares[at[~held]] += moved[:, DIM:].astype(np.float32)
+    model, loss = _calibrated(rows, state, share)
+    if best is not None and loss > least:  # the round that does best on the held texts stays
+        model, _ = _calibrated(rows, best, share)
+    discard(rows)
+    return model
 
 
 def _score(sent, names: list[str], text: str):

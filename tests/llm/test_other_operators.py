@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from cases import CLASHES, documents, edited, prose, save
 
 from gapscan.llm import chat, embedding_pq, packing, sharding, toxicity, url_filter
@@ -230,6 +231,34 @@ def test_toxicity_on_held_out_rows(spark):
     assert not toxicity.score(docs, nothing).where("predicted = 1").count()
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    ids = spark.range(3000).where("crc32(cast(id as string)) % 5 <> 0")
+    last = ids.orderBy(F.xxhash64("id").desc()).limit(40)
+    toxic = ids.join(last.withColumn("late", F.lit("zzrareword")), "id", "left")
+    docs = toxic.selectExpr("id as doc_id", "concat_ws(' ', 'vilex some words', late) as text", "'en' as lang")
+    docs = docs.unionByName(spark.range(5000, 5200).selectExpr("id as doc_id", "'mild and some words' as text", "'en' as lang"))
+    labels = docs.selectExpr("doc_id", "if(doc_id < 5000, 1, 0) as toxic")
+    model = toxicity.fit(docs, labels)
+    buckets, _ = toxicity.features(pa.array(["zzrareword"]))
+    assert set(buckets[0].tolist()) <= set(model.buckets.tolist())
+
+
+def test_toxicity_in_many_shards(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 150)
+    models = [toxicity.fit(docs, labels)]
+    monkeypatch.setattr(toxicity, "SENT_IDS", 0)  # ids meet their texts in a shuffle
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        models.append(toxicity.fit(docs.repartition(5), labels))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert models[0].bias == models[1].bias and (models[0].vectors == models[1].vectors).all()
+    held = [r for r in toxicity.score(docs, models[0]).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in held]) > 0.9
+
+
 def random_model(seed=1):
     rng = np.random.default_rng(seed)
     normal = lambda *shape: rng.normal(size=shape).astype(np.float32)
