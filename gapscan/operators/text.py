@@ -68,16 +68,17 @@ def clean_rules(df: DataFrame, id: str, text: str) -> DataFrame:
 
     A declaration stays when it changes what the selector had for the attribute, a
     rule when its remaining declarations are new for the selector. One row per declaration
-    that stays, with the position of its rule and of the selector's first rule.
+    that stays, with the position of its rule and of the selector's first rule. A text lies in one row, which
+    bounds what its windows hold: they share one partitioning, by text if the table has that already.
     """
     first = F.min("pos").over(Window.partitionBy(id, "selector"))
     declarations = _declarations(_rules(df.select(id, text), text).withColumn("first_pos", first))
     key = [id, "selector", "first_pos"]
     order = ["pos", "declaration_pos"]
-    changed = changes_only(declarations, [*key, "attribute"], order, "value", F.floor(F.col("pos") / 1000))
-    piece = F.floor(F.col("declaration_pos") / 1000)
-    blocks = distinct_blocks(changed, key, "pos", order, "attribute", "value", piece)
-    return blocks.orderBy(id, "first_pos", "pos", "ordinal")
+    changed = changes_only(declarations, [*key, "attribute"], order, "value", None)
+    blocks = distinct_blocks(changed, key, "pos", order, "attribute", "value", None)
+    # a sort looks at its rows twice, once for its borders: what it sorts is shuffled before, so that nothing is worked out twice
+    return blocks.repartition(id).orderBy(id, "first_pos", "pos", "ordinal")
 
 
 # What ends a stretch of style text.

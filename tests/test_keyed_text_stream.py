@@ -187,3 +187,15 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
     assert sorted(r.id for r in again.collect()) == [0, 1, 2, 3]
     newest = snapshots.latest_snapshots(again, "snapshot_time", 1).collect()
     assert [r.id for r in newest] == [3]
+
+
+def test_cleaned_rules_shuffle_by_text_only(spark):
+    sheets = spark.createDataFrame([(1, "a{x:1;y:2} a{x:1;y:2} b{x:1} a{x:3}"), (2, "a{x:1} a{y:1} a{x:1;y:2}")], "id int, text string")
+    found = text.clean_rules(sheets, "id", "text")
+    # one for the windows, two for the order; there were over ten
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 3
+    rows = [tuple(r) for r in found.select("id", "selector", "first_pos", "pos", "ordinal", "attribute", "value").collect()]
+    assert rows == [
+        (1, "a", 0, 0, 1, "x", "1"), (1, "a", 0, 0, 2, "y", "2"), (1, "a", 0, 3, 1, "x", "3"), (1, "b", 2, 2, 1, "x", "1"),
+        (2, "a", 0, 0, 1, "x", "1"), (2, "a", 0, 1, 1, "y", "1"), (2, "a", 0, 2, 1, "y", "2"),
+    ]
