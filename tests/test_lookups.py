@@ -10,7 +10,7 @@ from gapscan.operators import lookups
 from gapscan.sources.bars import bars as typed_bars
 from gapscan.sources.bars import dedupe_bars
 
-from helpers import close, day, frame, random_bars, rows_by
+from helpers import bar, close, day, frame, random_bars, rows_by
 
 
 def at(n):
@@ -85,3 +85,23 @@ def test_vwap_since_an_anchor_of_each_row(spark):
         wanted = None if not part else sum(t * r.volume for t, r in zip(typical, part)) / volume if volume else sum(typical) / len(typical)
         assert (got[i].vwap is None) == (wanted is None) and (wanted is None or close(got[i].vwap, wanted)), (i, got[i], wanted)
     unique.unpersist()
+
+
+def test_vwaps_since_anchors_take_one_pass_over_the_bars(spark):
+    bars = frame(spark, [bar("A", n, 50 + n, volume=10 + n) for n in (0, 1, 3, 8)])
+    rows = spark.createDataFrame([("A", day(3), day(1)), ("A", day(5), day(2)), ("A", day(9), None), ("B", day(3), day(1))], "symbol string, date date, anchor date")
+    found = lookups.avwap_since(rows, bars, "anchor")
+    # one window gives both lookups their sums, and is planned once for each; there were eight
+    assert found._jdf.queryExecution().executedPlan().toString().count("Window [") <= 2
+    exact = lambda *days: sum((50 + n) * (10 + n) for n in days) / sum(10 + n for n in days)
+    got = {(r.symbol, r.date): r.anchored_vwap for r in found.collect()}
+    assert got.pop(("B", day(3))) is None
+    assert got == pytest.approx({("A", day(3)): exact(1, 3), ("A", day(5)): exact(3), ("A", day(9)): exact(0, 1, 3, 8)})
+
+
+def test_anchors_with_a_time_of_day(spark):
+    bars = frame(spark, [bar("A", n, 50 + n, volume=10) for n in (0, 1, 2)])
+    rows = spark.createDataFrame([("A", day(2), day(1))], "symbol string, date date, anchor date")
+    noon = rows.selectExpr("symbol", "date", "cast(anchor as timestamp) + interval 12 hours as anchor")
+    assert lookups.avwap_since(rows, bars, "anchor").first().anchored_vwap == pytest.approx(51.5)
+    assert lookups.avwap_since(noon, bars, "anchor").first().anchored_vwap == pytest.approx(52)
