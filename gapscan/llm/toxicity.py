@@ -434,14 +434,16 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shards = max(1, -(-rows // SHARD_ROWS), -(-(chars or 0) // SHARD_CHARS))
     if not few:  # Spark shuffles anew for a join in fewer parts than it is set to
         shards = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # the partition that an id goes to, so that a join by shuffle has its rows there already
+    # the partition that an id goes to, so that a join by shuffle has its rows there already; else rows are dealt by this number
+    # itself, so that a shard is one task's however many partitions a key would be hashed to
     number = F.pmod(F.hash("doc_id"), F.lit(shards))
     held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD)) == 0
     if few:
-        placed = texts.join(known, "doc_id").repartition(shards, "doc_id")
+        placed = texts.join(known, "doc_id").withColumns({"shard": number, "held": held}).repartitionById(shards, "shard")
     else:
         placed = texts.repartition(shards, "doc_id").join(known.repartition(shards, "doc_id"), "doc_id")
-    placed = placed.withColumns({"shard": number, "held": held}).sortWithinPartitions("shard", F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text", "lang")
+        placed = placed.withColumns({"shard": number, "held": held})
+    placed = placed.sortWithinPartitions("shard", F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text", "lang")
     return written(placed.select("text", "toxic", "lang", "shard", "held").mapInArrow(_packed, "rows binary, toxic int, lang string, shard int, held boolean"))
 
 

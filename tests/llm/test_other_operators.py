@@ -243,6 +243,19 @@ def test_toxicity_learns_from_all_labelled_rows(spark):
     assert set(buckets[0].tolist()) <= set(model.buckets.tolist())
 
 
+def test_a_shard_of_toxicity_is_whole_however_many_partitions_a_key_has(spark, monkeypatch):
+    docs = spark.range(1200).selectExpr("id as doc_id", "concat('word', id % 7, ' and more') as text", "'en' as lang")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) as toxic")
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 200)
+    kind = type(docs)
+    dealt = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *keys: dealt(self, max(n, 31) if keys else n, *keys))
+    rows = toxicity._labelled(docs, labels)
+    files = rows.select("shard", F.input_file_name().alias("file")).groupBy("shard", "file").count().collect()
+    assert len(files) == len({r["shard"] for r in files}) == 5
+    assert sum(r["count"] for r in files) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1200))
+
+
 def test_toxicity_in_many_shards(spark, monkeypatch):
     docs, labels = labelled(spark)
     monkeypatch.setattr(toxicity, "SHARD_ROWS", 150)
