@@ -156,7 +156,9 @@ def gap_histogram(outcomes: DataFrame, bins: int = 40) -> DataFrame:
 
 def histogram_of(counted: DataFrame, bins: int = 40) -> DataFrame:
     """The histogram of gaps that occur n times each."""
-    lowest, highest = (counted.agg(bound("gap")).scalar() for bound in (F.min, F.max))
+    # the bounds read the counts too, so that they share the shuffle of what is counted
+    there = F.when(F.col("n") > 0, F.col("gap"))
+    lowest, highest = (counted.agg(bound(there)).scalar() for bound in (F.min, F.max))
     number = F.when(
         F.col("highest") > F.col("lowest"), F.least(F.expr(f"width_bucket(gap, lowest, highest, {bins})"), F.lit(bins))
     ).otherwise(F.lit(1))

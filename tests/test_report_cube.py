@@ -56,3 +56,12 @@ def test_outcomes_are_scanned_once_and_combined_before_the_shuffle(spark, tmp_pa
     table = spark.read.parquet(path)
     plan = Cube.of(table).sums._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "partial_sum" in plan
+
+
+def test_histogram_bounds_and_counts_come_from_one_scan(spark, tmp_path):
+    path = str(tmp_path / "outcomes")
+    catalog.published(spark, SF_DIR).write.parquet(path)
+    table = spark.read.parquet(path)
+    for histogram in (Cube.of(table).reports()["gap_histogram"], REPORTS["gap_histogram"](table)):
+        histogram.collect()
+        assert "ReusedExchange" in histogram._jdf.queryExecution().executedPlan().toString()
