@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from gapscan.catalog import queries as catalog
 from gapscan.operators import forward, text
 from gapscan.sources.bars import bars as typed_bars
 from gapscan.sources.bars import dedupe_bars
@@ -104,3 +105,12 @@ def test_far_touch_needs_few_columns_and_a_horizon(spark):
             forward.far_touch(table, "level", "up", **bad)
     with pytest.raises(ValueError):
         forward.far_touch(table, "level", "both", bars=5)
+
+
+def test_far_touches_of_both_modes_come_from_one_pass(spark):
+    unique = dedupe_bars(typed_bars(frame(spark, random_bars(9, symbols=("A", "B"), days=200)))).withColumn("level", F.expr("close * 1.02"))
+    both = forward.far_touches(unique, {"up": "level", "down": "level"}, bars=60).collect()
+    single = [(m, *r) for m in ("up", "down") for r in forward.far_touch(unique, "level", m, bars=60).collect()]
+    assert sorted(map(tuple, both), key=repr) == sorted(single, key=repr)
+    plan = catalog.QUERIES["first_touch_250"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and "Join" not in plan  # lines, and lines by date for the benchmark
