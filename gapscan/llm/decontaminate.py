@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapscan.llm.common import PIECE_BYTES, Words, buffers, pieces
+from gapscan.llm.common import PIECE_BYTES, Words, buffers, pieces, tidy
 
 #: Bytes of benchmark text in a broadcast block.
 BLOCK_BYTES = 8 << 20
@@ -194,6 +194,7 @@ def _merge(starts: list, ends: list) -> tuple[list[int], list[int]]:
 
 
 def _pass(broadcast, size: int, text: str, own: list[str]):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = None
         for batch in batches:
@@ -253,6 +254,7 @@ def find_contamination(
 
 
 def _cut(text: str, names: list[str]):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, first, last = names.index(text), names.index("hit_starts"), names.index("hit_ends")
         for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapscan.llm.common import PIECE_BYTES, Words, components, mix, pieces, sequence_hashes, written
+from gapscan.llm.common import PIECE_BYTES, Words, components, mix, pieces, sequence_hashes, tidy, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -123,6 +123,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1 / (x_from[at] / x[both] + y_before[at] / y[both])).sum())
 
 
+@tidy
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "digest", "signature"]
     for batch in batches:
@@ -149,6 +150,7 @@ def signed(docs: DataFrame) -> DataFrame:
     )
 
 
+@tidy
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by group, a group's own text first; that one's shingles stay while others pass."""
     key, own = None, None
@@ -255,6 +257,7 @@ def _counted(sketch: bytes | None) -> tuple[np.ndarray, np.ndarray] | None:
     return None if sketch is None else np.unique(np.frombuffer(sketch, np.uint32), return_counts=True)
 
 
+@tidy
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, id, null) for close members, or (bucket, id, id) for similar pairs."""
     key, rows, block, waiting = None, [], None, []
@@ -296,6 +299,7 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 APART = "bucket bigint, a bigint, b bigint"
 
 
+@tidy
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All shingles of each text, repeated ones too, as sorted 32-bit hashes."""
     for batch in batches:

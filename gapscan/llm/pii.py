@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscan.llm.common import pieces, prefix_hashes, range_hashes
+from gapscan.llm.common import pieces, prefix_hashes, range_hashes, tidy
 
 KINDS = ["email", "ip", "card", "phone"]
 PIECE = 1 << 18
@@ -350,6 +350,7 @@ SPANS = "array<struct<kind: string, start: bigint, end: bigint>>"
 def _find(sent, names: list[str], text: str):
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text, PIECE):
@@ -373,6 +374,7 @@ def find_personal_data(docs: DataFrame, field: Field, text: str = "text") -> Dat
 
 
 def _mask(sent, names: list[str], text: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text)
         for batch in batches:

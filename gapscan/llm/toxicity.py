@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapscan.llm.common import Words, discard, pieces, prefix_hashes, range_hashes, written
+from gapscan.llm.common import Words, discard, pieces, prefix_hashes, range_hashes, tidy, written
 
 WIDTHS = (1, 2, 3)
 FILTERS, DIM = 8, 8
@@ -278,6 +278,7 @@ def _loss(toxic: np.ndarray, clean: np.ndarray, share: float) -> float:
     return float((toxic * np.logaddexp(0, -middles)).sum() * share + (clean * np.logaddexp(0, middles)).sum())
 
 
+@tidy
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with words as the bucket numbers of their words, eight bytes a word."""
     for batch in batches:
@@ -320,6 +321,7 @@ def _shards(batches: Iterator[pa.RecordBatch], place: np.ndarray):
         yield now, texts, np.array(toxic, np.int64), np.array(held, bool), lang
 
 
+@tidy
 def _texts_by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(BUCKETS, np.int64)
     for batch in batches:
@@ -356,6 +358,7 @@ def _counted_held(state: State, texts: list[np.ndarray], toxic: np.ndarray) -> n
 
 
 def _round(sent, number: int, share: float):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start: State = sent.value
         for shard, texts, toxic, held, _ in _shards(batches, _places(start.buckets)):
@@ -378,6 +381,7 @@ def _round(sent, number: int, share: float):
 
 
 def _held_by_language(sent):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: State = sent.value
         for _, texts, toxic, held, lang in _shards(batches, _places(state.buckets)):
@@ -486,6 +490,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def _score(sent, names: list[str], text: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
         products = None

@@ -7,10 +7,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import CLASHES, documents, edited, prose
 
-from gapscan.llm import decontaminate, minhash, pii, suffix_dedup
+from gapscan.llm import common, decontaminate, minhash, pii, suffix_dedup
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SMALL = {c: c + 32 for c in range(65, 91)}
@@ -296,3 +297,9 @@ def test_digest_columns(spark, tmp_path, given):
     for r in QUERIES["op3_suffix"](spark, folder).collect():
         if r.doc_id not in (None, 19):
             assert r.kept_sha256 == hashlib.sha256(want[r.doc_id][2]).hexdigest() and r.n_removed == r.n_bytes - len(want[r.doc_id][2])
+
+
+def test_a_finished_task_leaves_nothing_in_its_worker():
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [prose(1, 300)], "digest": [b"d"]})
+    assert sum(part.num_rows for part in minhash._sign(iter([batch]))) == 1
+    assert [len(x) for x in common._POWERS] == [1, 1]
