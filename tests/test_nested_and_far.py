@@ -107,10 +107,12 @@ def test_far_touch_needs_few_columns_and_a_horizon(spark):
         forward.far_touch(table, "level", "both", bars=5)
 
 
-def test_far_touches_of_both_modes_come_from_one_pass(spark):
+def test_far_touches_of_both_modes_come_from_one_pass(spark, tmp_path):
     unique = dedupe_bars(typed_bars(frame(spark, random_bars(9, symbols=("A", "B"), days=200)))).withColumn("level", F.expr("close * 1.02"))
     both = forward.far_touches(unique, {"up": "level", "down": "level"}, bars=60).collect()
     single = [(m, *r) for m in ("up", "down") for r in forward.far_touch(unique, "level", m, bars=60).collect()]
     assert sorted(map(tuple, both), key=repr) == sorted(single, key=repr)
-    plan = catalog.QUERIES["first_touch_250"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    lines = spark.range(50).selectExpr("1 + id % 2 as l_suppkey", "100D + id as l_extendedprice", "1D as l_quantity", "timestamp '2020-01-01' + make_interval(0, 0, 0, int(id)) as l_shipdate")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = catalog.QUERIES["first_touch_250"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 2 and "Join" not in plan  # lines, and lines by date for the benchmark

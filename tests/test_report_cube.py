@@ -4,8 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from gapscan.catalog import queries as catalog
+from gapscan.plans.outcomes import gap_outcomes
 from gapscan.plans.report_cube import Cube
 from gapscan.plans.reports import REPORTS
+from gapscan.sources.bars import bars as typed_bars
+from gapscan.sources.outcome_files import publish
+
+from helpers import frame, random_bars
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -60,7 +65,7 @@ def test_outcomes_are_scanned_once_and_combined_before_the_shuffle(spark, tmp_pa
 
 def test_histogram_bounds_and_counts_come_from_one_scan(spark, tmp_path):
     path = str(tmp_path / "outcomes")
-    catalog.published(spark, SF_DIR).write.parquet(path)
+    publish(gap_outcomes(typed_bars(frame(spark, random_bars(3))), min_price=5)).write.parquet(path)
     table = spark.read.parquet(path)
     for histogram in (Cube.of(table).reports()["gap_histogram"], REPORTS["gap_histogram"](table)):
         histogram.collect()
