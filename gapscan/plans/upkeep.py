@@ -31,21 +31,24 @@ TOGETHER = 31
 def changed_dates(bars: DataFrame, arrived: DataFrame, benchmark: str = "SPY") -> DataFrame:
     """The dates whose outcomes can differ once the bars of `arrived` (symbol, date) are among `bars`, ascending.
 
-    Only symbols and dates of the bars are read, and only of symbols that have new bars. Missing dates belong to no date's outcomes.
+    Only symbols and dates of the bars are read. Missing dates and symbols belong to no date's outcomes. Each bar looks up the last new bar up to
+    itself, and up to the last bar it looks ahead to, in running maxima: what a bar costs does not depend on how far it looks.
     """
-    new = arrived.where("date is not null").select("symbol", F.col("date").cast("date").alias("date")).distinct().withColumn("_new", F.lit(1))
-    known = bars.where("date is not null").select("symbol", "date").join(new.select("symbol").distinct(), "symbol", "left_semi").distinct()
-    marked = known.join(new, ["symbol", "date"], "left")
-    near = add(marked, {
-        "_ahead": f"max(_new) over ({BY_SYMBOL} rows between current row and {AHEAD} following)",
-        "_back": f"max(_new) over ({BY_SYMBOL} rows between {BACK_BARS} preceding and current row)",
-        "_since": f"max(_new) over ({BY_SYMBOL} range between interval {BACK_DAYS} days preceding and current row)",
+    known = bars.selectExpr("symbol", "date", "1 as _known", "null as _new")
+    new = arrived.selectExpr("symbol", "cast(date as date) as date", "null as _known", "1 as _new")
+    both = known.unionByName(new).where("symbol is not null and date is not null").groupBy("symbol", "date")
+    marked = both.agg(F.max("_known").alias("_known"), F.max("_new").alias("_new")).where("_known is not null").drop("_known")
+    so_far = f"over ({BY_SYMBOL} rows between unbounded preceding and current row)"
+    numbered = add(marked, {"_bar": f"row_number() over ({BY_SYMBOL})"})
+    last = add(numbered, {"_last_bar": f"max(if(_new = 1, _bar, 0)) {so_far}", "_last_date": f"max(if(_new = 1, date, null)) {so_far}"})
+    near = add(last, {
+        "_last_ahead": f"coalesce(lead(_last_bar, {AHEAD}) over ({BY_SYMBOL}), max(_last_bar) over (partition by symbol))",
         "_before": f"lag(_new) over ({BY_SYMBOL})",
     })
+    changed = f"_last_ahead >= _bar or _bar - nullif(_last_bar, 0) <= {BACK_BARS} or datediff(date, _last_date) <= {BACK_DAYS}"
     # the benchmark's own gaps change like any symbol's, and with its gains those of every symbol
-    changed = near.where("coalesce(_ahead, _back, _since) is not null").select("date")
-    gains = near.where((F.col("symbol") == benchmark) & F.expr("coalesce(_new, _before) is not null")).select("date")
-    return changed.union(gains).distinct().orderBy("date")
+    gains = (F.col("symbol") == benchmark) & F.expr("coalesce(_new, _before) is not null")
+    return near.where(F.expr(changed) | gains).select("date").distinct().orderBy("date")
 
 
 def runs_of(dates: list[dt.date]) -> list[list[dt.date]]:

@@ -74,3 +74,20 @@ def test_which_dates_change(spark):
     assert runs_of([day(1), day(2), day(40), day(41), day(200)]) == [[day(1), day(2)], [day(40), day(41)], [day(200)]]
     with pytest.raises(ValueError):
         update_outcomes(table, table, "nowhere", "sideways")
+
+
+def test_what_a_bar_costs_does_not_depend_on_how_far_it_looks(spark):
+    """Running maxima instead of frames that go through hundreds of bars for each bar, and one pass over the bars."""
+    rng = random.Random(5)
+    bars = [(s, day(n), *[1.0] * 4, 1) for s in ("A", "B", "SPY", None) for n in range(0, 1500, 3) if rng.random() < 0.8] + [("A", None, *[1.0] * 4, 1)]
+    new = rng.sample(bars, 4) + [("Z", day(0), *[1.0] * 4, 1)]
+    found = changed_dates(frame(spark, bars), frame(spark, new))
+    expected = set()
+    for symbol in ("A", "B", "SPY"):
+        dates = sorted({b[1] for b in bars if b[0] == symbol and b[1]})
+        at = [i for i, d in enumerate(dates) if any(b[0] == symbol and b[1] == d for b in new)]
+        expected |= {d for i, d in enumerate(dates) if any(i <= j <= i + 10 or 0 <= i - j <= 330 or 0 <= (d - dates[j]).days <= 457 for j in at)}
+        expected |= {dates[j + k] for j in at for k in (0, 1) if symbol == "SPY" and j + k < len(dates)}
+    assert [r.date for r in found.collect()] == sorted(expected) and 0 < len(expected) < 500
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "330" not in "".join(line for line in plan.splitlines() if "Window [" in line) and plan.count("Join") == 0
