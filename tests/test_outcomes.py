@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from gapscan.functions import prices
 from gapscan.operators import forward, gaps, indicators
 from gapscan.operators.gaps import add_features
 from gapscan.plans.outcomes import gap_outcomes
@@ -292,3 +293,14 @@ def test_money_sums_are_exact_at_real_volumes(spark):
         assert gaps.vwap_by_symbol(table).first().vwap == want
     quarterly = [sorted(map(tuple, indicators.with_anchored_vwap_distances(frame(spark, b)).collect()), key=repr) for b in (bars, bars[::-1])]
     assert quarterly[0] == quarterly[1]
+
+
+def test_whole_units_become_decimals_without_their_text(spark):
+    """Typical prices count as before, also beyond what doubles hold exactly, and their way over BIGINT is the one that is taken."""
+    odd = [0.0, -0.0, 1e-7, 0.015, 33.333333, -12.5, 1234567.891, 2.9e9, 3.0e9, 3.1e9, 8.99e9, 9.1e9, 1.2345678901e10, 9.9e11, 1e12, 3e13, 1e300, -2e12, float("inf"), -float("inf"), float("nan"), None]
+    table = spark.createDataFrame([(i, v, 0.0, 0.000001) for i, v in enumerate(odd * 2)], "i int, high double, low double, close double")
+    was = f"try_cast({prices.price_units('high + low + close')} as decimal(18,0))"
+    rows = table.selectExpr("high", f"{prices._TYPICAL} as now", f"{was} as was", f"typeof({prices._TYPICAL}) as kind").collect()
+    assert all(r.now == r.was and r.kind == "decimal(18,0)" for r in rows), rows
+    assert sum(r.now is not None for r in rows) >= 28 and sum(r.now is None for r in rows) >= 8
+    assert "as bigint" in prices._TYPICAL
