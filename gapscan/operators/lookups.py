@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapscan.functions.prices import VWAP_SUMS, percent_from, vwap
+from gapscan.functions.prices import TYPICAL, VWAP_SUMS, percent_from, vwap, vwap_sums
 from gapscan.functions.columns import add
 
 Piece = Callable[[Column], Column]
@@ -69,39 +69,31 @@ def asof_join(
     return found.select("_own.*", *[F.col(f"_found.{n}").alias(n) for n in carried])
 
 
-def sums_on_days(bars: DataFrame, days: DataFrame) -> DataFrame:
-    """Each different (symbol, _day) of `days` with the date of the symbol's last bar up to that day and the sums of a VWAP over all its bars so far.
-
-    Bars are unique, so a symbol has one a day, and so it has of the days asked for: one window by symbol, bounded by the calendar.
-    """
-    asked = days.where("symbol is not null and _day is not null").select("symbol", "_day").distinct().withColumn("_bar", F.lit(False))
-    prices = ("high", "low", "close", "volume")
-    told = bars.select("symbol", F.col("date").alias("_day"), F.lit(True).alias("_bar"), *prices)
-    # rows of one day are peers in the frames, so a day sees the bar of its own date
-    by_day = "partition by symbol order by _day"
-    rows = add(told.unionByName(asked, allowMissingColumns=True), {"_seen": f"max(if(_bar, _day, null)) over ({by_day})"} | {f"_{n}": f"{sql} over ({by_day})" for n, sql in VWAP_SUMS.items()})
-    return rows.where("not _bar").select("symbol", "_day", F.col("_seen").alias("_last"), *[f"_{n}" for n in VWAP_SUMS])
-
-
 def avwap_since(rows: DataFrame, bars: DataFrame, anchor: str, date: str = "date", name: str = "anchored_vwap") -> DataFrame:
     """Rows (with a symbol) and the VWAP of the symbol's bars from each row's anchor to its date, both included.
 
-    Sums over a range of dates are a difference of two running sums: those up to the date, and those before the anchor. All different days
-    that rows ask for get theirs in one pass over the bars, and each row meets its two days in joins by symbol and day. No row meets
-    the bars between. Null without a bar in the range, with an anchor after the date, or with a missing date;
-    a missing anchor reaches back to the first bar.
+    Sums over a range of dates are a difference of two running sums: those before the anchor, and those up to the date. Rows and bars are
+    brought together by symbol once; rows go among the bars first at the day before their anchor, then at their date. No row meets the bars
+    between, and none is joined. What is already dealt by symbol, such as the result of another lookup, stays where it is. Bars are
+    unique, so a symbol has one a day; all rows of a symbol are in one task. Null without a bar in the range, with an anchor after the date,
+    or with a missing symbol or date; a missing anchor reaches back to the first bar.
     """
     # what is before a time is what is up to the microsecond before it
-    days = {"_to": f"cast(cast({date} as timestamp) as date)", "_at": f"cast(cast({anchor} as timestamp) - interval 1 microsecond as date)"}
-    asked = rows.select("symbol", F.explode(F.array(*[F.expr(sql) for sql in days.values()])).alias("_day"))
-    sums = sums_on_days(bars, asked)
-    found = add(rows, {f"{side}_day": sql for side, sql in days.items()})
+    days = {"_at": f"cast(cast({anchor} as timestamp) - interval 1 microsecond as date)", "_to": f"cast(cast({date} as timestamp) as date)"}
+    own = F.struct(*[f"`{c}`" for c in rows.columns if c != "symbol"]).alias("_own")
+    asked = add(rows, days).select(F.col("symbol").alias("_symbol"), *days, own)
+    told = bars.selectExpr("symbol as _symbol", "date", f"{TYPICAL} as _typical", "volume").repartition("_symbol")
+    found = add(told, dict.fromkeys(days, "date")).drop("date").unionByName(asked.repartition("_symbol"), allowMissingColumns=True)
     for side in days:
-        told = sums.select(F.col("symbol").alias(f"{side}_symbol"), F.col("_day").alias(f"{side}_asked"), *[F.col(f"_{n}").alias(f"{side}_{n}") for n in (*VWAP_SUMS, "last")])
-        found = found.join(told, (F.col("symbol") == F.col(f"{side}_symbol")) & (F.col(f"{side}_day") == F.col(f"{side}_asked")), "left")
-    inside = f"_to_last is not null and ({anchor} is null or _to_last >= cast({anchor} as date))"
+        # rows of one day are peers in the frames, so a day sees the bar of its own date
+        by_day = f"partition by _symbol order by {side}"
+        sums = {"last": f"max(if(_own is null, {side}, null))"} | vwap_sums("_typical")
+        found = add(found, {f"{side}_{n}": f"{sql} over ({by_day})" for n, sql in sums.items()})
+    inside = "_symbol is not null and _to_last is not null and (_at is null or _to_last > _at)"
     value = vwap(*[f"(_to_{n} - if(_at_last is null, 0, _at_{n}))" for n in VWAP_SUMS])
-    return found.selectExpr(*[f"`{c}`" for c in rows.columns], f"case when {inside} then {value} end as {name}")
+    symbol = f"cast(_symbol as {asked.schema['_symbol'].dataType.simpleString()}) as symbol"
+    kept = [symbol if c == "symbol" else f"_own.`{c}` as `{c}`" for c in rows.columns]
+    return found.where("_own is not null").selectExpr(*kept, f"case when {inside} then {value} end as {name}")
 
 
 def with_distance_since(rows: DataFrame, bars: DataFrame, anchor: str, name: str = "avwap_distance_percent") -> DataFrame:

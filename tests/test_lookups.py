@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gapscan.catalog import queries as catalog
 from gapscan.operators import lookups
 from gapscan.sources.bars import bars as typed_bars
 from gapscan.sources.bars import dedupe_bars
@@ -105,3 +106,52 @@ def test_anchors_with_a_time_of_day(spark):
     noon = rows.selectExpr("symbol", "date", "cast(anchor as timestamp) + interval 12 hours as anchor")
     assert lookups.avwap_since(rows, bars, "anchor").first().anchored_vwap == pytest.approx(51.5)
     assert lookups.avwap_since(noon, bars, "anchor").first().anchored_vwap == pytest.approx(52)
+
+
+def shuffles(found):
+    """Shuffles that are written, and joins, of the plan."""
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    return plan.replace("ReusedExchange", "").count("- Exchange "), plan.count("Join")
+
+
+@pytest.fixture
+def planned_once(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_lookups_after_one_another_write_bars_and_rows_once(spark, planned_once):
+    bars = frame(spark, [bar("A", n, 50 + n, volume=10 + n) for n in (0, 1, 3, 8)] + [bar(None, 1, 7)])
+    asked = [("A", day(3), 53.0, day(1)), ("A", day(3), 53.0, day(1)), ("A", day(9), 60.0, None), ("A", None, 1.0, day(1)), ("B", day(3), 1.0, day(1)), (None, day(3), 1.0, day(1))]
+    rows = spark.createDataFrame(asked, "symbol string, date date, close double, anchor date")
+    found = lookups.with_distance_since(lookups.avwap_since(rows, bars, "anchor"), bars, "anchor")
+    # there were 12 shuffles and 6 joins
+    assert shuffles(found) == (2, 0)
+    assert found.columns == [*rows.columns, "anchored_vwap", "avwap_distance_percent"]
+    exact = lambda *days: sum((50 + n) * (10 + n) for n in days) / sum(10 + n for n in days)
+    wanted = [exact(1, 3), exact(1, 3), exact(0, 1, 3, 8), None, None, None]
+    key = lambda r: tuple((x is None, x) for x in r[:4])
+    got = sorted((tuple(r) for r in found.collect()), key=key)
+    assert [r[:4] for r in got] == sorted(asked, key=key)
+    for r, v in zip(got, [w for _, w in sorted(zip(asked, wanted), key=lambda x: key(x[0]))]):
+        assert r[4] == pytest.approx(v) and r[5] == pytest.approx(v and (r[2] - v) / v * 100), r
+
+
+def test_avwap_since_of_the_catalog_writes_each_shuffle_once(spark, planned_once, tmp_path):
+    lines = spark.range(60).selectExpr("id % 4 as l_suppkey", "cast(date_add(date '1995-01-01', cast(id * 7 % 90 as int)) as timestamp_ntz) as l_shipdate", "1000D + id * 13 as l_extendedprice", "1D + id % 9 as l_quantity")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalog.QUERIES["avwap_since"](spark, str(tmp_path))
+    # days of the benchmark, raw bars to be told apart, and the bars as such and as rows that ask; there were 8 and 6 joins
+    assert shuffles(found) == (4, 0)
+    assert found.where("anchored_vwap is null").count() == 0 and found.count() == catalog.unique(spark, str(tmp_path)).count()
+
+
+def test_avwap_since_without_rows_or_bars(spark):
+    bars = frame(spark, [bar("A", n, 50 + n) for n in range(3)])
+    rows = spark.createDataFrame([("A", day(2), day(1)), ("B", day(2), day(1))], "symbol string, date date, anchor date")
+    none = frame(spark, [])
+    assert lookups.avwap_since(rows.where("symbol > 'C'"), bars, "anchor").collect() == []
+    assert [r.anchored_vwap for r in lookups.avwap_since(rows, none, "anchor").collect()] == [None, None]
+    twice = lookups.with_distance_since(lookups.avwap_since(rows, none, "anchor").selectExpr("*", "1D as close"), bars, "anchor")
+    assert {r.symbol: (r.anchored_vwap, r.avwap_distance_percent is None) for r in twice.collect()} == {"A": (None, False), "B": (None, True)}
