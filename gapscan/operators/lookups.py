@@ -84,13 +84,15 @@ def avwap_since(rows: DataFrame, bars: DataFrame, anchor: str, date: str = "date
     asked = add(rows, days).select(F.col("symbol").alias("_symbol"), *days, own)
     told = bars.selectExpr("symbol as _symbol", "date", f"{TYPICAL} as _typical", "volume").repartition("_symbol")
     found = add(told, dict.fromkeys(days, "date")).drop("date").unionByName(asked.repartition("_symbol"), allowMissingColumns=True)
-    for side in days:
-        # rows of one day are peers in the frames, so a day sees the bar of its own date
-        by_day = f"partition by _symbol order by {side}"
-        sums = {"last": f"max(if(_own is null, {side}, null))"} | vwap_sums("_typical")
-        found = add(found, {f"{side}_{n}": f"{sql} over ({by_day})" for n, sql in sums.items()})
-    inside = "_symbol is not null and _to_last is not null and (_at is null or _to_last > _at)"
-    value = vwap(*[f"(_to_{n} - if(_at_last is null, 0, _at_{n}))" for n in VWAP_SUMS])
+    # rows of one day are peers in the frames, so a day sees the bar of its own date
+    sums = {"last": "max(if(_own is null, _at, null))"} | vwap_sums("_typical")
+    found = add(found, {f"_{n}": f"{sql} over (partition by _symbol order by _at)" for n, sql in sums.items()})
+    # a row keeps the sums before its anchor, a bar its own for the rows whose date comes next
+    sofar = f"struct({', '.join(f'_{n}' for n in sums)})"
+    found = found.selectExpr("_symbol", *days, "_own", f"if(_own is null, null, {sofar}) as _before", f"if(_own is null, {sofar}, null) as _bar")
+    found = add(found, {"_upto": "last(_bar, true) over (partition by _symbol order by _to)"})
+    inside = "_symbol is not null and _upto._last is not null and (_at is null or _upto._last > _at)"
+    value = vwap(*[f"(_upto._{n} - if(_before._last is null, 0, _before._{n}))" for n in VWAP_SUMS])
     symbol = f"cast(_symbol as {asked.schema['_symbol'].dataType.simpleString()}) as symbol"
     kept = [symbol if c == "symbol" else f"_own.`{c}` as `{c}`" for c in rows.columns]
     return found.where("_own is not null").selectExpr(*kept, f"case when {inside} then {value} end as {name}")
